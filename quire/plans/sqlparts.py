@@ -146,3 +146,54 @@ def json_safe(x: str) -> str:
                     (" ", "\\u2029")):
         out = f"replace({out}, {q(ch)}, {q(rep)})"
     return out
+
+
+# --- normalisation stages ------------------------------------------------------------------------------------------
+
+def zip_tokens(src: str, keep: str, col: str, pattern: str, token_fn: str, out: str) -> str:
+    """Subquery: ``col`` with every match of ``pattern`` replaced by ``token_fn`` (a lambda body over ``tk``)."""
+    pat = q(pattern)
+    return f"""(SELECT {keep}, array_to_string(list_transform(regexp_split_to_array(x__, {pat}),
+        lambda p, i: p || coalesce(toks__[i], '')), '') AS {out}
+      FROM (SELECT {keep}, {col} AS x__, list_transform(regexp_extract_all({col}, {pat}, 0), lambda tk: {token_fn})
+            AS toks__ FROM {src}))"""
+
+
+def char_ref(c: str) -> str:
+    return f"('&#' || CAST(unicode({c}) AS VARCHAR) || ';')"
+
+
+def expand_tabs(t: str, n: int = 4) -> str:
+    ps = "string_split(ln, chr(9))"
+    line = (f"list_reduce({ps}[1:len({ps}) - 1], lambda acc, p: rpad(acc || p, CAST((length(acc || p) // {n} + 1) "
+            f"* {n} AS INTEGER), ' '), '') || {ps}[-1]")
+    return (f"(CASE WHEN instr({t}, chr(9)) > 0 THEN array_to_string(list_transform(string_split({t}, chr(10)), "
+            f"lambda ln: {line}), chr(10)) ELSE {t} END)")
+
+
+def eol_crlf(t: str) -> str:
+    return f"replace(replace({t}, chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10))"
+
+
+def eol_lf(t: str) -> str:
+    return f"replace({t}, chr(13) || chr(10), chr(10))"
+
+
+def wrap_auto(t: str, columns: int = 72) -> str:
+    step = (f"CASE WHEN acc.n = 0 THEN {{'out': w, 'n': length(w)}} "
+            f"WHEN acc.n + 1 + length(w) <= {columns} THEN {{'out': acc.out || ' ' || w, 'n': acc.n + 1 + length(w)}} "
+            f"ELSE {{'out': acc.out || chr(10) || w, 'n': length(w)}} END")
+    line = (f"list_reduce(list_filter(string_split(ln, ' '), lambda w: w <> ''), lambda acc, w: {step}, "
+            f"{{'out': '', 'n': CAST(0 AS BIGINT)}}).out")
+    return f"array_to_string(list_transform(string_split({t}, chr(10)), lambda ln: {line}), chr(10))"
+
+
+def wrap_none(t: str) -> str:
+    return (f"array_to_string(list_transform(string_split({t}, {NL2}), lambda p: replace(p, chr(10), ' ')), "
+            f"{NL2})")
+
+
+def track(t: str, mode: str) -> str:
+    drop, unwrap = ("del", "ins") if mode == "accept" else ("ins", "del")
+    return (f"regexp_replace(regexp_replace({t}, '(?s)<{drop}\\b[^>]*>.*?</{drop}\\s*>', '', 'g'), "
+            f"'</?{unwrap}\\b[^>]*>', '', 'g')")
