@@ -24,11 +24,12 @@ def documents_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents marked up as markdown: a title heading, lines starting with E become items, lines starting with A
-    start a new paragraph, lines starting with T become level-2 headings."""
+    start a new paragraph, lines starting with T become level-2 headings and lines starting with O level-3 ones."""
     t = F.col("text")
     md = F.regexp_replace(t, r"(?m)^E", "- E")
     md = F.regexp_replace(md, r"(?m)^A", "\nA")
     md = F.regexp_replace(md, r"(?m)^T", "## T")
+    md = F.regexp_replace(md, r"(?m)^O", "### O")
     md = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), md)
     return table(spark, sf_dir, "documents").select("doc_id", md.alias("content"))
 

@@ -9,8 +9,8 @@ PAGES = "(SELECT page_id AS doc_id, html AS content FROM pages)"
 DOCS = "(SELECT doc_id, text AS content FROM documents)"
 MD_DOCS = (
     "(SELECT doc_id, '# Document ' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || "
-    "regexp_replace(regexp_replace(regexp_replace(text, '(?m)^E', '- E', 'g'), '(?m)^A', chr(10) || 'A', 'g'), "
-    "'(?m)^T', '## T', 'g') AS content FROM documents)"
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^E', '- E', 'g'), '(?m)^A', "
+    "chr(10) || 'A', 'g'), '(?m)^T', '## T', 'g'), '(?m)^O', '### O', 'g') AS content FROM documents)"
 )
 BAD_PAYLOADS = """(SELECT doc_id, source, CASE WHEN doc_id % 19 = 0 THEN '' WHEN doc_id % 17 = 0 THEN '$' || p
       WHEN doc_id % 13 = 0 AND ends_with(p, '=') THEN substr(p, 1, length(p) - 1) ELSE p END AS payload
