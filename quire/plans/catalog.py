@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import oracle, oracle_links, oracle_outline, oracle_text  # noqa: F401
-from quire.plans import queries, queries_links, queries_outline, queries_text  # noqa: F401
+from quire.plans import oracle, oracle_links, oracle_outline, oracle_results, oracle_text  # noqa: F401
+from quire.plans import queries, queries_links, queries_outline, queries_results, queries_text  # noqa: F401
 from quire.plans.oracle import SQL
 from quire.plans.queries import QUERIES
 
