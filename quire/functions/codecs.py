@@ -90,12 +90,23 @@ def decode_entity(tok: Column) -> Column:
     return F.when(cp.isNull(), tok).otherwise(codepoint_char(cp))
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it many times in ``fn`` (a one-element ``transform``). Keeps an expensive
+    intermediate (a whole cleaned document) from being recomputed where subexpression elimination does not reach
+    (filters, generators, lambda bodies)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def html_unescape(s: Column) -> Column:
     """Decode character references in one pass: split around the references and zip the decoded tokens back in."""
-    toks = F.regexp_extract_all(s, F.lit(ENTITY_RE), 0)
-    parts = F.split(s, ENTITY_RE, -1)
-    merged = F.zip_with(parts, F.transform(toks, decode_entity), lambda p, d: F.concat(p, F.coalesce(d, F.lit(""))))
-    return F.when(F.instr(s, "&") > 0, F.array_join(merged, "")).otherwise(s)
+
+    def body(x):
+        toks = F.regexp_extract_all(x, F.lit(ENTITY_RE), 0)
+        parts = F.split(x, ENTITY_RE, -1)
+        merged = F.zip_with(parts, F.transform(toks, decode_entity), lambda p, d: F.concat(p, F.coalesce(d, F.lit(""))))
+        return F.when(F.instr(x, "&") > 0, F.array_join(merged, "")).otherwise(x)
+
+    return let(s, body)
 
 
 def collapse_blanks(s: Column) -> Column:

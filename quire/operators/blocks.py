@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.codecs import collapse_blanks, html_unescape
+from quire.sources.requests import compute_once
 
 BLOCK_TYPE = "array<struct<block_no:int,kind:string,level:int,text:string>>"
 
@@ -97,8 +98,11 @@ def drop_empty_paras(blocks: Column) -> Column:
 
 
 def explode_blocks(df: DataFrame, col: str = "blocks", key: str = "doc_id") -> DataFrame:
-    """In-row blocks -> block table (narrow: keeps the partitioning of ``df``)."""
-    return df.select(key, F.inline(F.col(col)))
+    """In-row blocks -> block table (narrow: keeps the partitioning of ``df``).
+
+    The array is materialised first (``compute_once``): Catalyst infers a ``size(array) > 0`` filter for the explode
+    and pushes it down, which would otherwise parse every document twice."""
+    return compute_once(df.select(key, F.col(col).alias("b__")), bl__=F.col("b__")).select(key, F.inline("bl__"))
 
 
 def html_blocks(docs: DataFrame, content: str = "content") -> DataFrame:

@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.codecs import let
+
 COMMENT_RE = r"(?s)<!--.*?-->"
 NON_ASCII_RE = r"[^\x00-\x7F]"
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -45,8 +47,8 @@ def expand_tabs(t: Column, tab_stop: int = 4) -> Column:
         )
         return F.concat(filled, F.element_at(pieces, -1))
 
-    expanded = F.array_join(F.transform(F.split(t, "\n", -1), line), "\n")
-    return F.when(F.instr(t, "\t") > 0, expanded).otherwise(t)
+    return let(t, lambda x: F.when(F.instr(x, "\t") > 0, F.array_join(F.transform(F.split(x, "\n", -1), line), "\n"))
+               .otherwise(x))
 
 
 def eol(t: Column, mode: str = "lf") -> Column:
@@ -59,17 +61,13 @@ def eol(t: Column, mode: str = "lf") -> Column:
 
 
 def _fill(line: Column, columns: int) -> Column:
-    words = F.filter(F.split(line, " ", -1), lambda w: w != "")
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
-
-    def step(acc, w):
-        lw = F.length(w)
-        first = F.struct(w.alias("out"), lw.alias("n"))
-        same = F.struct(F.concat(acc["out"], F.lit(" "), w).alias("out"), (acc["n"] + 1 + lw).alias("n"))
-        new = F.struct(F.concat(acc["out"], F.lit("\n"), w).alias("out"), lw.alias("n"))
-        return F.when(acc["n"] == 0, first).when(acc["n"] + 1 + lw <= columns, same).otherwise(new)
-
-    return F.aggregate(words, init, step)["out"]
+    """Greedy fill of one line: words (split on blanks) go on the current line while it stays within ``columns``
+    characters; a longer word stands alone. Done as one bounded regex pass (linear) rather than a fold over the
+    words, which would copy the growing line at every step: each match is the longest run of at most ``columns``
+    characters that ends at a blank (or a single over-long word)."""
+    words = F.regexp_replace(F.trim(line), " +", " ")
+    broken = F.regexp_replace(words, r"(?s)(.{1," + str(columns) + r"}|[^ ]+)(?: |\z)", "$1\n")
+    return F.regexp_replace(broken, r"\n\z", "")
 
 
 def wrap(t: Column, mode: str = "auto", columns: int = 72) -> Column:
@@ -94,12 +92,12 @@ def _zip_tokens(t: Column, pattern: str, fn) -> Column:
 
 
 def ascii_refs(t: Column) -> Column:
-    return F.when(t.rlike(NON_ASCII_RE), _zip_tokens(t, NON_ASCII_RE, _char_ref)).otherwise(t)
+    return let(t, lambda x: F.when(x.rlike(NON_ASCII_RE), _zip_tokens(x, NON_ASCII_RE, _char_ref)).otherwise(x))
 
 
 def email_refs(t: Column) -> Column:
     enc = lambda e: F.array_join(F.transform(F.regexp_extract_all(e, F.lit("."), 0), _char_ref), "")
-    return F.when(F.instr(t, "@") > 0, _zip_tokens(t, EMAIL_RE, enc)).otherwise(t)
+    return let(t, lambda x: F.when(F.instr(x, "@") > 0, _zip_tokens(x, EMAIL_RE, enc)).otherwise(x))
 
 
 def abbreviation_pattern(abbreviations: list[str] | tuple[str, ...]) -> str:

@@ -53,6 +53,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
+def spread(df: DataFrame, key: str = "doc_id", min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition by ``key`` only when the scan gives fewer partitions than the cluster has cores.
+
+    A large input already arrives in many splits and is left alone (no extra shuffle). A small input stored as one
+    row group would otherwise run every per-document expression in one task. Partitioning by the document key also
+    lets a later per-document regroup or window reuse this partitioning instead of shuffling again. The decision
+    reads plan metadata only (number of scan splits), never data."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
+# Document-like tables and their keys: these are spread (see ``spread``) when read.
+DOC_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id",
+            "events": "event_id", "labels": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one test table. Column pruning and filters reach the Parquet scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = DOC_KEYS.get(name)
+    return spread(df, key) if key else df
