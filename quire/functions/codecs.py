@@ -24,7 +24,7 @@ ENTITY_RE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 ESCAPES = [("&", "&amp;"), ("'", "&#39;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;")]
 
 # Characters JSON output writes as \\u escapes (HTML-safe JSON).
-JSON_SAFE = [("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")]
+JSON_SAFE = [("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")]
 
 B64_RE = r"^[A-Za-z0-9+/]*={0,2}$"
 
@@ -68,7 +68,7 @@ def json_html_safe(s: Column) -> Column:
 def codepoint_char(cp: Column) -> Column:
     """Code point -> one-character string; invalid code points give U+FFFD."""
     valid = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
 
 def entity_codepoint(tok: Column) -> Column:

@@ -28,7 +28,7 @@ from quire.functions.codecs import let
 COMMENT_RE = r"(?s)<!--.*?-->"
 NON_ASCII_RE = r"[^\x00-\x7F]"
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-NBSP = " "
+NBSP = "\u00a0"
 MAX_ABBREVIATIONS = 1000
 
 
@@ -101,19 +101,22 @@ def email_refs(t: Column) -> Column:
 
 
 def abbreviation_pattern(abbreviations: list[str] | tuple[str, ...]) -> str:
-    """One alternation of the quoted abbreviations (longest first), matched at a word start and followed by a blank.
-
-    The list is job configuration held on the driver and compiled into the plan, so its size is checked."""
-    if len(abbreviations) > MAX_ABBREVIATIONS:
-        raise ValueError(f"{len(abbreviations)} abbreviations; the compiled pattern takes at most {MAX_ABBREVIATIONS}")
+    """One alternation of the quoted abbreviations (longest first), matched at a word start and followed by a blank."""
     alts = "|".join(re.escape(a) for a in sorted(set(abbreviations), key=lambda a: (-len(a), a)))
     return r"\b(" + alts + ") "
 
 
 def abbreviations(t: Column, abbrevs) -> Column:
+    """The list is job configuration held on the driver and compiled into the plan. Long lists are applied as
+    successive patterns of at most ``MAX_ABBREVIATIONS`` entries each; every pass only turns the blank after one of
+    its own abbreviations into U+00A0, so the passes together give the same text as one pattern would."""
     if not abbrevs:
         return t
-    return F.regexp_replace(t, abbreviation_pattern(abbrevs), "$1" + NBSP)
+    ordered = sorted(set(abbrevs), key=lambda a: (-len(a), a))
+    out = t
+    for i in range(0, len(ordered), MAX_ABBREVIATIONS):
+        out = F.regexp_replace(out, abbreviation_pattern(ordered[i:i + MAX_ABBREVIATIONS]), "$1" + NBSP)
+    return out
 
 
 def track_changes(t: Column, mode: str = "accept") -> Column:

@@ -30,7 +30,7 @@ def entity_dec(t: str) -> str:
     cp = entity_cp(t)
     return (
         f"(CASE WHEN {cp} IS NULL THEN {t} WHEN {cp} > 0 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
-        f"THEN chr(CAST({cp} AS INTEGER)) ELSE '�' END)"
+        f"THEN chr(CAST({cp} AS INTEGER)) ELSE '\ufffd' END)"
     )
 
 
@@ -142,8 +142,8 @@ def b64_valid(x: str) -> str:
 
 def json_safe(x: str) -> str:
     out = x
-    for ch, rep in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"),
-                    (" ", "\\u2029")):
+    for ch, rep in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"),
+                    ("\u2029", "\\u2029")):
         out = f"replace({out}, {q(ch)}, {q(rep)})"
     return out
 

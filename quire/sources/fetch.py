@@ -51,6 +51,9 @@ def fetch_snapshot(rows: DataFrame, options: dict) -> DataFrame:
     A left equi-join: AQE picks broadcast when the routed requests are small and sort-merge otherwise; a hot url is
     split by AQE skew handling (the crawl side holds one row per key). Status other than 200 and a url missing from
     the crawl are errors; the ``replace`` map is applied to the body."""
+    if options.get("crawl") is None:
+        return rows.withColumn("data", F.lit(None).cast("binary")).withColumn(
+            "fetch_error", F.lit("[fetcher-http]: no crawl snapshot table is configured"))
     crawl = options["crawl"].select(
         F.col("url").alias("c_url"), F.col("method").alias("c_method"), F.col("status").alias("c_status"),
         F.col("body").alias("c_body"),
