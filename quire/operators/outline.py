@@ -98,12 +98,20 @@ def split_sections(blocks: DataFrame, level: int = 1, unit: str = "section") ->
     )
 
 
-def concat_documents(parts: DataFrame, by: str, order: str, text: str = "text", sep: str = "\n\n") -> DataFrame:
-    """Many documents -> one per key, in ``order``. A combined document is one row, like any document."""
-    s = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return parts.groupBy(by).agg(s.alias("p")).select(
-        by, F.size("p").cast("bigint").alias("n_parts"), F.array_join(F.transform("p", lambda x: x["t"]), sep)
-        .alias("text"))
+def concat_documents(parts: DataFrame, by: str, order: str, text: str = "text", sep: str = "\n\n",
+                     bucket_width: int = 1024) -> DataFrame:
+    """Many documents -> one per key, in ``order`` (numeric). A combined document is one row, like any document.
+
+    Two levels, so a key holding a large share of all parts is not gathered as one list in one task: parts are
+    first joined within ranges of ``order`` (``floor(order / bucket_width)``, which spreads a hot key over many
+    tasks and keeps the order between ranges), then the range texts are joined per key."""
+    bucket = F.floor(F.col(order) / bucket_width)
+    s1 = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    level1 = parts.groupBy(by, bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.transform(s1, lambda x: x["t"]), sep).alias("t"))
+    s2 = F.array_sort(F.collect_list(F.struct("bucket", "t")))
+    return level1.groupBy(by).agg(F.sum("n").cast("bigint").alias("n_parts"), s2.alias("p")).select(
+        by, "n_parts", F.array_join(F.transform("p", lambda x: x["t"]), sep).alias("text"))
 
 
 def concat_blocks(blocks: DataFrame, groups: DataFrame, by: str, order: str, file_scope: bool) -> DataFrame:

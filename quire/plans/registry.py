@@ -20,6 +20,7 @@ TemplateFn = Callable[[Column, Column], Column]
 BlockFilter = Callable[[DataFrame], DataFrame]
 
 _DRIVERS: dict[str, FetchDriver] = {}
+_ROW_DRIVERS: dict[str, Callable] = {}
 _TEMPLATES: dict[str, TemplateFn] = {}
 
 
@@ -27,8 +28,11 @@ class RegistryError(ValueError):
     pass
 
 
-def register_fetcher(name: str, fn: FetchDriver) -> None:
-    """Empty name, missing function and duplicate name are errors."""
+def register_fetcher(name: str, fn: FetchDriver, row_fn: Callable | None = None) -> None:
+    """Empty name, missing function and duplicate name are errors.
+
+    ``row_fn(params: Column, options) -> (data, error)`` optionally gives the same driver as column expressions; such
+    drivers need no join and are evaluated together in one projection by ``dispatch_fetch``."""
     if not name:
         raise RegistryError("fetcher driver name is empty")
     if fn is None:
@@ -36,6 +40,12 @@ def register_fetcher(name: str, fn: FetchDriver) -> None:
     if name in _DRIVERS:
         raise RegistryError(f"driver of {name} already exist")
     _DRIVERS[name] = fn
+    if row_fn is not None:
+        _ROW_DRIVERS[name] = row_fn
+
+
+def row_driver(name: str) -> Callable | None:
+    return _ROW_DRIVERS.get(name)
 
 
 def fetch_driver(name: str) -> FetchDriver:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions.codecs import b64_decode, utf8
 from quire.model import DATA_PARAMS, JobConfig
 from quire.operators.validate import http_method, http_params
-from quire.plans.registry import configure_fetchers, fetch_driver, register_fetcher
+from quire.plans.registry import configure_fetchers, fetch_driver, register_fetcher, row_driver
 
 DATA_URI_RE = r"^data:(.*?);(.*?),(.*)$"
 
@@ -25,15 +25,20 @@ def replace_map(content: Column, m: Column) -> Column:
     return F.when(m.isNull(), content).otherwise(out)
 
 
-def fetch_inline(rows: DataFrame, options: dict | None = None) -> DataFrame:
-    """S3: ``params.data`` is standard padded base64; decoded to bytes. Bad or empty payloads are errors."""
-    data = F.from_json(F.col("fetcher.params"), DATA_PARAMS)["data"]
-    raw = b64_decode(data)
+def inline_columns(params: Column, options: dict | None = None) -> tuple[Column, Column]:
+    """S3 as a row driver: (data, error) from the params JSON of one request."""
+    raw = b64_decode(F.from_json(params, DATA_PARAMS)["data"])
     err = (
         F.when(raw.isNull(), F.lit("parse param failure"))
         .when(F.length(raw) == 0, F.lit("[fetcher-data]: params of data is empty"))
     )
-    return rows.withColumn("data", F.when(err.isNull(), raw)).withColumn("fetch_error", err)
+    return F.when(err.isNull(), raw), err
+
+
+def fetch_inline(rows: DataFrame, options: dict | None = None) -> DataFrame:
+    """S3: ``params.data`` is standard padded base64; decoded to bytes. Bad or empty payloads are errors."""
+    data, err = inline_columns(F.col("fetcher.params"), options)
+    return rows.withColumn("data", data).withColumn("fetch_error", err)
 
 
 def crawl_from_pages(pages: DataFrame) -> DataFrame:
@@ -73,25 +78,37 @@ def fetch_snapshot(rows: DataFrame, options: dict) -> DataFrame:
     return out.drop("h_url", "h_method", "h_replace", "c_url", "c_method", "c_status", "c_body")
 
 
-register_fetcher("data", fetch_inline)
+register_fetcher("data", fetch_inline, row_fn=inline_columns)
 register_fetcher("http", fetch_snapshot)
 
 
 def dispatch_fetch(validated: DataFrame, conf: JobConfig = JobConfig(), options: dict | None = None) -> DataFrame:
-    """Route each valid row to its driver; rows that failed validation pass through with no data."""
+    """Route each valid row to its driver; rows that failed validation pass through with no data.
+
+    Row drivers (inline data) are evaluated in one projection together with the failed rows, so the request table
+    is read once for all of them; only drivers that need a join (crawl snapshots) get a branch of their own, which
+    carries just their rows into the join. Branches are unioned, so every request comes out exactly once."""
     options = options or {}
-    failed = validated.filter(F.col("rule").isNotNull()).withColumn("data", F.lit(None).cast("binary")).withColumn(
-        "fetch_error", F.lit(None).cast("string"))
-    ok = validated.filter(F.col("rule").isNull())
-    branches = [failed]
-    for name, driver in sorted(configure_fetchers(conf).items()):
-        rows = ok.filter(F.col("fetcher.name") == name)
-        inst = dict(dict(conf.fetchers)[name].options)
-        inst.update(options.get(name, {}))
-        branches.append(fetch_driver(driver)(rows, inst).select(*failed.columns))
-    out = branches[0]
-    for b in branches[1:]:
-        out = out.unionByName(b)
+    instances = configure_fetchers(conf)
+    wide = sorted(n for n, d in instances.items() if row_driver(d) is None)
+    narrow = sorted(n for n, d in instances.items() if row_driver(d) is not None)
+
+    def inst_options(name: str) -> dict:
+        o = dict(dict(conf.fetchers)[name].options)
+        o.update(options.get(name, {}))
+        return o
+
+    valid, name = F.col("rule").isNull(), F.col("fetcher.name")
+    main = validated.filter(~F.coalesce(valid & name.isin(*wide), F.lit(False))) if wide else validated
+    data, err = F.lit(None).cast("binary"), F.lit(None).cast("string")
+    for n in narrow:
+        d, e = row_driver(instances[n])(F.col("fetcher.params"), inst_options(n))
+        hit = valid & (name == n)
+        data, err = F.when(hit, d).otherwise(data), F.when(hit, e).otherwise(err)
+    out = main.withColumn("data", data).withColumn("fetch_error", err)
+    for n in wide:
+        rows = validated.filter(valid & (name == n))
+        out = out.unionByName(fetch_driver(instances[n])(rows, inst_options(n)).select(*out.columns))
     return out
 
 
