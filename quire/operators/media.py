@@ -71,12 +71,18 @@ def self_contained(docs: DataFrame, resources: DataFrame, media_dir: str = "medi
 
 def resolve_resources(refs: DataFrame, files: DataFrame, path_list: Column) -> DataFrame:
     """M3: ``refs(doc_id, n, ref)`` x ``:``-separated search path -> first directory holding ``dir/ref`` wins
-    (``resolved`` NULL when none). ``files(path)`` is a listing with one row per path."""
-    cand = refs.select("doc_id", "n", "ref", F.posexplode(F.split(path_list, ":", -1)).alias("pos", "dir"))
+    (``resolved`` NULL when none). ``files(path)`` is a listing with one row per path. The winner is found as the
+    smallest matching position (a hash aggregate on an integer), then rebuilt from the path list."""
+    r = refs.withColumn("path_list__", path_list)
+    cand = r.select("doc_id", "n", "ref", "path_list__",
+                    F.posexplode(F.split("path_list__", ":", -1)).alias("pos", "dir"))
     cand = cand.withColumn("path", F.concat(F.col("dir"), F.lit("/"), F.col("ref")))
     hit = cand.join(files.select("path", F.lit(True).alias("exists")), "path", "left")
-    return hit.groupBy("doc_id", "n", "ref").agg(
-        F.min_by(F.when(F.col("exists"), F.col("path")), F.when(F.col("exists"), F.col("pos"))).alias("resolved"))
+    best = hit.groupBy("doc_id", "n", "ref", "path_list__").agg(
+        F.min(F.when(F.col("exists"), F.col("pos"))).alias("best"))
+    resolved = F.when(F.col("best").isNotNull(), F.concat(
+        F.element_at(F.split("path_list__", ":", -1), F.col("best") + 1), F.lit("/"), F.col("ref")))
+    return best.select("doc_id", "n", "ref", resolved.alias("resolved"))
 
 
 def warnings(*parts: DataFrame) -> DataFrame:

@@ -42,11 +42,11 @@ def number_sections(blocks: DataFrame, offset: int = 0) -> DataFrame:
 
     counter_k = (level-k headings so far) - (that count at the last heading shallower than k)."""
     h = blocks.filter(F.col("kind") == "heading").select("doc_id", "block_no", "level", "text")
-    for k in range(1, MAX_LEVEL + 1):
-        h = h.withColumn(f"cum{k}", F.sum(F.when(F.col("level") == k, 1).otherwise(0)).over(running()))
-    for k in range(2, MAX_LEVEL + 1):
-        mark = F.when(F.col("level") < k, F.col(f"cum{k}"))
-        h = h.withColumn(f"base{k}", F.coalesce(F.last(mark, ignorenulls=True).over(running()), F.lit(0)))
+    # one select per pass: Spark evaluates all window functions of a select with the same spec in one operator
+    h = h.select("*", *[F.sum(F.when(F.col("level") == k, 1).otherwise(0)).over(running()).alias(f"cum{k}")
+                        for k in range(1, MAX_LEVEL + 1)])
+    h = h.select("*", *[F.coalesce(F.last(F.when(F.col("level") < k, F.col(f"cum{k}")), ignorenulls=True)
+                                   .over(running()), F.lit(0)).alias(f"base{k}") for k in range(2, MAX_LEVEL + 1)])
     parts = [F.when(F.col("level") >= 1, (F.col("cum1") + offset).cast("string"))]
     parts += [F.when(F.col("level") >= k, (F.col(f"cum{k}") - F.col(f"base{k}")).cast("string"))
               for k in range(2, MAX_LEVEL + 1)]

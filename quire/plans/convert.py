@@ -122,7 +122,9 @@ def convert_distinct(docs: DataFrame, frm: str, to: str, conv_struct: Column | N
     reduced per task before the shuffle; the join back is on the (hash, length) key, where AQE splits a hot key on
     the many-rows side (the distinct side holds one row per key)."""
     keyed = docs.select("doc_id", md5_text(F.col(content)).alias("h"), F.length(content).alias("n"), content)
-    distinct = keyed.groupBy("h", "n").agg(F.first(content).alias("c"))
+    # the representative of each distinct text is its smallest doc_id: a hash aggregate with a fixed-width buffer
+    reps = keyed.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    distinct = keyed.join(reps, "doc_id", "left_semi").select("h", "n", F.col(content).alias("c"))
     blocks = B.block_array(F.col("c"), frm)
     conv = conv_struct if conv_struct is not None else F.struct(
         F.lit(False).alias("strip_empty_paragraphs"), F.lit(0).alias("base_header_level"),

@@ -72,21 +72,29 @@ def outcome_summary(spark, sf_dir):
     return _summary(o, "driver", "dst_format", "code", "rule")
 
 
+def _entries(*items):
+    """Long rows from one row: ``items`` are (condition, struct) pairs; one generator, one scan."""
+    return F.filter(F.array(*[F.when(c, e) for c, e in items]), lambda x: x.isNotNull())
+
+
 def template_vars_long(spark, sf_dir):
+    """(doc_id, name, ord, value) variables of every document, read in one scan."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    title = d.select("doc_id", F.lit("title").alias("name"), F.lit(0).alias("ord"),
-                     F.substring_index("text", "\n", 1).alias("value"))
-    lang = d.filter(i % 7 != 0).select("doc_id", F.lit("lang").alias("name"), F.lit(0).alias("ord"),
-                                        F.col("lang").alias("value"))
-    a1 = d.select("doc_id", F.lit("author").alias("name"), F.lit(0).alias("ord"), F.col("source").alias("value"))
-    a2 = d.filter(i % 3 != 0).select("doc_id", F.lit("author").alias("name"), F.lit(1).alias("ord"),
-                                     F.concat(F.lit("editor-"), (i % 5).cast("string")).alias("value"))
-    kw = d.filter(i % 2 == 0).select("doc_id", F.lit("keywords").alias("name"),
-                                     F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("ord", "value"))
-    empty = d.filter(i % 11 == 0).select("doc_id", F.lit("keywords").alias("name"), F.lit(9).alias("ord"),
-                                         F.lit("").alias("value"))
-    return title.unionByName(lang).unionByName(a1).unionByName(a2).unionByName(kw).unionByName(empty)
+
+    def e(name, ord_, value):
+        return F.struct(F.lit(name).alias("name"), F.lit(ord_).cast("int").alias("ord"), value.alias("value"))
+
+    words = F.split("text", " ")
+    items = [
+        (F.lit(True), e("title", 0, F.substring_index("text", "\n", 1))),
+        (i % 7 != 0, e("lang", 0, F.col("lang"))),
+        (F.lit(True), e("author", 0, F.col("source"))),
+        (i % 3 != 0, e("author", 1, F.concat(F.lit("editor-"), (i % 5).cast("string")))),
+    ]
+    items += [((i % 2 == 0) & (F.size(words) > k), e("keywords", k, F.element_at(words, k + 1))) for k in range(3)]
+    items.append((i % 11 == 0, e("keywords", 9, F.lit(""))))
+    return d.select("doc_id", F.inline(_entries(*items)))
 
 
 @query
@@ -112,27 +120,29 @@ def includes(spark, sf_dir):
 
 
 def metadata_long(spark, sf_dir):
+    """(doc_id, key, value, priority, ord) from three sources: 1 request, 2 metadata file (labels), 3 document."""
     d = table(spark, sf_dir, "documents")
     lb = table(spark, sf_dir, "labels")
     i = F.col("doc_id")
 
-    def row(df, key, value, prio, ord_=F.lit(0)):
-        return df.select("doc_id", F.lit(key).alias("key"), value.cast("string").alias("value"),
-                         F.lit(prio).alias("priority"), ord_.cast("int").alias("ord"))
-
-    parts = [
-        row(d, "title", F.substring_index("text", "\n", 1), 3), row(d, "lang", F.col("lang"), 3),
-        row(d, "source", F.col("source"), 3),
-        row(lb, "quality", F.col("quality"), 2), row(lb, "toxic", F.col("toxic"), 2),
-        row(lb.filter(F.col("quality") == 1), "lang", F.lit("xx"), 2),
-        row(d.filter(i % 5 == 0), "title", F.concat(F.lit("Request "), i.cast("string")), 1),
-        row(d.filter(i % 2 == 0), "tags", F.col("lang"), 1, F.lit(0)),
-        row(d.filter(i % 2 == 0), "tags", F.col("source"), 1, F.lit(1)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def e(key, value, prio, ord_=0):
+        return F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"), F.lit(prio).alias("priority"),
+                        F.lit(ord_).cast("int").alias("ord"))
+
+    doc_rows = d.select("doc_id", F.inline(_entries(
+        (F.lit(True), e("title", F.substring_index("text", "\n", 1), 3)),
+        (F.lit(True), e("lang", F.col("lang"), 3)),
+        (F.lit(True), e("source", F.col("source"), 3)),
+        (i % 5 == 0, e("title", F.concat(F.lit("Request "), i.cast("string")), 1)),
+        (i % 2 == 0, e("tags", F.col("lang"), 1, 0)),
+        (i % 2 == 0, e("tags", F.col("source"), 1, 1)),
+    )))
+    label_rows = lb.select("doc_id", F.inline(_entries(
+        (F.lit(True), e("quality", F.col("quality"), 2)),
+        (F.lit(True), e("toxic", F.col("toxic"), 2)),
+        (F.col("quality") == 1, e("lang", F.lit("xx"), 2)),
+    )))
+    return doc_rows.unionByName(label_rows)
 
 
 @query
