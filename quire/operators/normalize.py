@@ -36,14 +36,16 @@ def strip_comments(t: Column) -> Column:
     return F.regexp_replace(t, COMMENT_RE, "")
 
 
-def expand_tabs(t: Column, tab_stop: int = 4) -> Column:
+def expand_tabs(t: Column, tab_stop: int | Column = 4) -> Column:
+    stop = F.lit(tab_stop) if isinstance(tab_stop, int) else tab_stop
+
     def line(ln):
         pieces = F.split(ln, "\t", -1)
         head = F.slice(pieces, 1, F.size(pieces) - 1)
         filled = F.aggregate(
             head, F.lit(""),
-            lambda acc, p: F.rpad(F.concat(acc, p), (F.floor(F.length(F.concat(acc, p)) / tab_stop) + 1).cast("int")
-                                  * tab_stop, " "),
+            lambda acc, p: F.rpad(F.concat(acc, p), (F.floor(F.length(F.concat(acc, p)) / stop) + 1).cast("int")
+                                  * stop, F.lit(" ")),
         )
         return F.concat(filled, F.element_at(pieces, -1))
 
@@ -66,10 +68,19 @@ def _fill(line: Column, columns: int) -> Column:
     words, which would copy the growing line at every step: each match is the longest run of at most ``columns``
     characters that ends at a blank (or a single over-long word)."""
     words = F.regexp_replace(F.trim(line), " +", " ")
-    broken = F.regexp_replace(words, r"(?s)(.{1," + str(columns) + r"}|[^ ]+)(?: |\z)", "$1\n")
+    if isinstance(columns, int):
+        pattern = F.lit(r"(?s)(.{1," + str(columns) + r"}|[^ ]+)(?: |\z)")
+    else:  # per-row width: the pattern is built in the row (compiled once per distinct width)
+        pattern = F.concat(F.lit(r"(?s)(.{1,"), columns.cast("string"), F.lit(r"}|[^ ]+)(?: |\z)"))
+    broken = F.regexp_replace(words, pattern, F.lit("$1\n"))
     return F.regexp_replace(broken, r"\n\z", "")
 
 
+def wrap_columns(t: Column, columns: Column | int) -> Column:
+    """wrap=auto with a (possibly per-row) width."""
+    return F.array_join(F.transform(F.split(t, "\n", -1), lambda ln: _fill(ln, columns)), "\n")
+
+
 def wrap(t: Column, mode: str = "auto", columns: int = 72) -> Column:
     if mode == "preserve":
         return t

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import md5_text, utf8
-from quire.model import JobConfig
+from quire.functions.codecs import let, md5_text, utf8
+from quire.model import CONVERTER_SCHEMA, JobConfig
 from quire.operators import blocks as B
+from quire.operators import inrow as I
+from quire.operators import normalize as N
 from quire.operators import render as R
 from quire.operators.results import envelope, render_binary, render_default, render_embed
 from quire.operators.templates import includes
@@ -46,21 +48,125 @@ def parse_blocks(content: Column, frm: Column) -> Column:
     )
 
 
-def render_by_options(blocks: Column, to: Column, conv: Column) -> Column:
-    strip = F.coalesce(conv["strip_empty_paragraphs"], F.lit(False))
-    base = F.coalesce(conv["base_header_level"], F.lit(0))
-    b = F.when(strip, B.drop_empty_paras(blocks)).otherwise(blocks)
-    b = F.when(base != 0, shift_block_levels(b, base)).otherwise(b)
-    atx = F.coalesce(conv["atx_headers"], F.lit(False))
-    md = F.when(atx, R.render_markdown(b, True)).otherwise(R.render_markdown(b, False))
-    html = R.render_html(b)
-    standalone = F.coalesce(conv["standalone"], F.lit(False))
-    page = includes(html, F.lit(""), F.lit(""), F.lit(""), True, F.lit(""))
-    return (
-        F.when(to == "plain", R.render_plain(b))
-        .when(to == "markdown", md)
-        .when(to == "html", F.when(standalone, page).otherwise(html))
-    )
+def _opt(conv, key: str, default):
+    """An option with its default: a Python value when the options are fixed for the job (``dict``), else a Column
+    read from the per-row converter struct."""
+    if isinstance(conv, dict):
+        v = conv.get(key)
+        return default if v is None else v
+    return F.coalesce(conv[key], F.lit(default))
+
+
+def _test(v, op: str, ref):
+    """A condition on an option: a Python bool for job-level options, a Column for per-row ones."""
+    if op == "in":
+        return v.isin(*ref) if isinstance(v, Column) else v in ref
+    if op == "==":
+        return v == ref
+    if op == "!=":
+        return v != ref
+    if op == ">":
+        return v > ref
+    raise ValueError(op)
+
+
+def _and(a, b):
+    if isinstance(a, Column) or isinstance(b, Column):
+        return (a if isinstance(a, Column) else F.lit(a)) & (b if isinstance(b, Column) else F.lit(b))
+    return a and b
+
+
+def _not(a):
+    return ~a if isinstance(a, Column) else not a
+
+
+def _pick(cond, yes, no):
+    if isinstance(cond, Column):
+        return F.when(cond, yes).otherwise(no)
+    return yes if cond else no
+
+
+def _stage(x: Column, cond, fn) -> Column:
+    """Apply ``fn`` where ``cond`` holds. A job-level condition is resolved while building the plan; a per-row one
+    becomes a CASE whose input is bound once (``let``), so stacked stages keep the plan linear in size."""
+    if isinstance(cond, Column):
+        return let(x, lambda y: F.when(cond, fn(y)).otherwise(y))
+    return fn(x) if cond else x
+
+
+def converter_struct(**options) -> Column:
+    """A full converter struct (all option fields) with the given options set and the rest unset."""
+    return F.struct(*[
+        (F.lit(options[f.name]) if f.name in options else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in CONVERTER_SCHEMA.fields
+    ])
+
+
+def prepare_input(content: Column, frm, conv) -> Column:
+    """Options that act on the source text before it is split: strip_comments, track_changes, tab expansion
+    (markdown and plain input, unless preserve_tabs; tab_stop default 4)."""
+    c = _stage(content, _opt(conv, "strip_comments", False), N.strip_comments)
+    track = _opt(conv, "track_changes", "")
+    c = _stage(c, _test(track, "==", "accept"), lambda y: N.track_changes(y, "accept"))
+    c = _stage(c, _test(track, "==", "reject"), lambda y: N.track_changes(y, "reject"))
+    tabs = _and(_test(frm, "!=", "html"), _not(_opt(conv, "preserve_tabs", False)))
+    stop_v = _opt(conv, "tab_stop", 0)
+    stop = _pick(_test(stop_v, ">", 0), stop_v, 4)
+    return _stage(c, tabs, lambda y: N.expand_tabs(y, stop))
+
+
+def render_by_options(blocks: Column, to, conv) -> Column:
+    """Block options (strip_empty_paragraphs, base_header_level, number_sections + number_offset, toc + toc_depth,
+    wrap + columns on paragraphs of text output), then the writer for ``to`` (atx_headers, id_prefix, standalone).
+    ``to`` and ``conv`` are Columns (per-row options) or Python values (options fixed for the job)."""
+    base = _opt(conv, "base_header_level", 0)
+    b = _stage(blocks, _opt(conv, "strip_empty_paragraphs", False), B.drop_empty_paras)
+    b = _stage(b, _test(base, "!=", 0), lambda y: shift_block_levels(y, F.lit(base) if not isinstance(base, Column)
+                                                                      else base))
+    offset = _opt(conv, "number_offset", 0)
+    b = _stage(b, _opt(conv, "number_sections", False),
+               lambda y: I.number_headings(y, offset if isinstance(offset, Column) else F.lit(offset)))
+    depth_v = _opt(conv, "toc_depth", 0)
+    depth = _pick(_test(depth_v, ">", 0), depth_v, 3)
+    b = _stage(b, _opt(conv, "toc", False),
+               lambda y: I.with_toc(y, depth if isinstance(depth, Column) else F.lit(depth)))
+    wrap_mode = _opt(conv, "wrap", "")
+    cols_v = _opt(conv, "columns", 0)
+    cols = _pick(_test(cols_v, ">", 0), cols_v, 72)
+    cols = cols if isinstance(cols, Column) else F.lit(cols)
+    atx = _opt(conv, "atx_headers", False)
+    prefix = _opt(conv, "id_prefix", "")
+    standalone = _opt(conv, "standalone", False)
+
+    def write(x):
+        mode = wrap_mode if isinstance(wrap_mode, Column) else F.lit(wrap_mode)
+        text_b = _stage(x, _test(wrap_mode, "in", ("auto", "none")), lambda y: I.wrap_paragraphs(y, mode, cols))
+        writers = {
+            "plain": lambda: R.render_plain(text_b),
+            "markdown": lambda: _pick(atx, R.render_markdown(text_b, True), R.render_markdown(text_b, False))
+            if isinstance(atx, Column) else R.render_markdown(text_b, atx),
+            "html": lambda: _html(x),
+        }
+        if not isinstance(to, Column):
+            return writers[to]() if to in writers else F.lit(None).cast("string")
+        return F.when(to == "plain", writers["plain"]()).when(to == "markdown", writers["markdown"]()).when(
+            to == "html", writers["html"]())
+
+    def _html(x):
+        pfx = prefix if isinstance(prefix, Column) else F.lit(prefix)
+        html = _pick(_test(prefix, "!=", ""), I.render_html_ids(x, pfx), R.render_html(x)) \
+            if isinstance(prefix, Column) else (I.render_html_ids(x, pfx) if prefix else R.render_html(x))
+        return _stage(html, standalone, lambda h: includes(h, F.lit(""), F.lit(""), F.lit(""), True, F.lit("")))
+
+    return let(b, write) if isinstance(conv, Column) else write(b)
+
+
+def finish_output(text: Column, to, conv) -> Column:
+    """Options that act on the written text: ascii, email_obfuscation=references (html output), eol."""
+    t = _stage(text, _opt(conv, "ascii", False), N.ascii_refs)
+    both = _and(_test(to, "==", "html"), _test(_opt(conv, "email_obfuscation", ""), "==", "references"))
+    t = _stage(t, both, N.email_refs)
+    return _stage(t, _test(_opt(conv, "eol", ""), "==", "crlf"), lambda y: N.eol(y, "crlf"))
 
 
 def select_template(name: Column, registered: tuple[str, ...]) -> Column:
@@ -80,8 +186,9 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     err = F.coalesce(F.col("message"), F.col("fetch_error"), F.col("conv_error"))
     f = f.select("request_id", "converter", "template", "driver", rule.alias("rule"), err.alias("error"), "data")
     ok = F.col("error").isNull()
-    f = compute_once(f, blocks__=F.when(ok, parse_blocks(F.decode("data", "UTF-8"), conv["from"])))
-    rendered = F.when(ok, render_by_options(F.col("blocks__"), conv["to"], conv))
+    source = prepare_input(F.decode("data", "UTF-8"), conv["from"], conv)
+    f = compute_once(f, blocks__=F.when(ok, parse_blocks(source, conv["from"])))
+    rendered = F.when(ok, finish_output(render_by_options(F.col("blocks__"), conv["to"], conv), conv["to"], conv))
     f = compute_once(f.drop("data"), rendered__=rendered)
     outcome = envelope(F.col("error"), utf8(F.col("rendered__")))
     to = conv["to"]
@@ -114,7 +221,7 @@ def outcome_view(out: DataFrame) -> DataFrame:
     )
 
 
-def convert_distinct(docs: DataFrame, frm: str, to: str, conv_struct: Column | None = None,
+def convert_distinct(docs: DataFrame, frm: str, to: str, options: dict | None = None,
                      content: str = "content") -> DataFrame:
     """Convert each distinct (md5, length) of content once and join the result back to every document.
 
@@ -125,11 +232,10 @@ def convert_distinct(docs: DataFrame, frm: str, to: str, conv_struct: Column | N
     # the representative of each distinct text is its smallest doc_id: a hash aggregate with a fixed-width buffer
     reps = keyed.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     distinct = keyed.join(reps, "doc_id", "left_semi").select("h", "n", F.col(content).alias("c"))
-    blocks = B.block_array(F.col("c"), frm)
-    conv = conv_struct if conv_struct is not None else F.struct(
-        F.lit(False).alias("strip_empty_paragraphs"), F.lit(0).alias("base_header_level"),
-        F.lit(False).alias("atx_headers"), F.lit(False).alias("standalone"))
-    converted = distinct.select("h", "n", render_by_options(blocks, F.lit(to), conv).alias("converted"))
+    conv = options if options is not None else {"from": frm, "to": to}
+    blocks = B.block_array(prepare_input(F.col("c"), frm, conv), frm)
+    converted = distinct.select("h", "n", finish_output(render_by_options(blocks, to, conv), to, conv)
+                                .alias("converted"))
     return keyed.select("doc_id", "h", "n").join(converted, ["h", "n"]).select("doc_id", "converted")
 
 
