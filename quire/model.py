@@ -95,8 +95,9 @@ class JobConfig:
     enable_lua_filter: bool = False
     fetchers: tuple[tuple[str, FetcherConf], ...] = (("http", FetcherConf("http")), ("data", FetcherConf("data")))
     templates: tuple[str, ...] = ("render-html", "binary")
-    max_option_sets: int = 32
     fail_if_warnings: bool = False
+    # text of the document template applied to standalone conversions (T1 syntax); None = built-in HTML page
+    document_template: str | None = None
 
     def fetcher_names(self) -> list[str]:
         return [n for n, _ in self.fetchers]

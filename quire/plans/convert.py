@@ -18,7 +18,7 @@ from quire.operators import inrow as I
 from quire.operators import normalize as N
 from quire.operators import render as R
 from quire.operators.results import envelope, render_binary, render_default, render_embed
-from quire.operators.templates import includes
+from quire.operators.templates import compile_template, includes, parse_template
 from quire.operators.validate import validate_requests
 from quire.sources.fetch import dispatch_fetch
 from quire.sources.requests import compute_once
@@ -169,15 +169,43 @@ def finish_output(text: Column, to, conv) -> Column:
     return _stage(t, _test(_opt(conv, "eol", ""), "==", "crlf"), lambda y: N.eol(y, "crlf"))
 
 
+def request_vars(conv: Column) -> Column:
+    """Template variables of one request: ``variable`` (single values) first, then ``metadata`` (lists); the first
+    source of a name wins. ``title_prefix`` is put in front of every title (``prefix - title``) and is the title
+    when there is none."""
+    var_e = F.transform(F.map_entries(F.coalesce(conv["variable"], F.create_map().cast("map<string,string>"))),
+                        lambda e: F.struct(e["key"].alias("key"), F.array(e["value"]).alias("value")))
+    meta_e = F.transform(
+        F.map_entries(F.coalesce(conv["metadata"], F.create_map().cast("map<string,array<string>>"))),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    entries = F.concat(var_e, meta_e)
+    keep = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, 1, i), lambda x: x["key"] == e["key"]))
+    prefix = F.coalesce(conv["title_prefix"], F.lit(""))
+    keep = F.transform(keep, lambda e: F.when((e["key"] == "title") & (prefix != ""), F.struct(
+        e["key"].alias("key"), F.transform(e["value"], lambda v: F.concat(prefix, F.lit(" - "), v)).alias("value")))
+        .otherwise(e))
+    has_title = F.exists(keep, lambda e: e["key"] == "title")
+    fallback = F.when((prefix != "") & ~has_title, F.array(F.struct(F.lit("title").alias("key"),
+                                                                    F.array(prefix).alias("value"))))
+    return F.map_from_entries(F.concat(keep, F.coalesce(fallback, F.array().cast(
+        "array<struct<key:string,value:array<string>>>"))))
+
+
 def select_template(name: Column, registered: tuple[str, ...]) -> Column:
     """R2: a registered name, else (empty or unknown) the default template."""
     return F.when(name.isin(*registered), name).otherwise(F.lit(DEFAULT_TEMPLATE)) if registered else F.lit(
         DEFAULT_TEMPLATE)
 
 
+def _without_standalone(conv: Column) -> Column:
+    return conv.withField("standalone", F.lit(False))
+
+
 def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_options: dict | None = None) -> DataFrame:
     """E1 over parsed requests. Output: request_id, src_format, dst_format, template, driver, rule, code, message,
     outcome (code, message, result{data}), template_used, status, content_type, response (bytes)."""
+    if conf.document_template is not None:
+        parse_template(conf.document_template)  # a bad template fails at job start, not per row
     v = validate_requests(requests, conf)
     f = dispatch_fetch(v, conf, fetch_options or {})
     conv = F.col("converter")
@@ -189,6 +217,11 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     source = prepare_input(F.decode("data", "UTF-8"), conv["from"], conv)
     f = compute_once(f, blocks__=F.when(ok, parse_blocks(source, conv["from"])))
     rendered = F.when(ok, finish_output(render_by_options(F.col("blocks__"), conv["to"], conv), conv["to"], conv))
+    if conf.document_template is not None:
+        standalone = F.coalesce(conv["standalone"], F.lit(False))
+        body = F.when(ok, render_by_options(F.col("blocks__"), conv["to"], _without_standalone(conv)))
+        page = finish_output(compile_template(conf.document_template, request_vars(conv), body), conv["to"], conv)
+        rendered = F.when(ok & standalone, page).otherwise(rendered)
     f = compute_once(f.drop("data"), rendered__=rendered)
     outcome = envelope(F.col("error"), utf8(F.col("rendered__")))
     to = conv["to"]

@@ -65,3 +65,23 @@ def test_job_level_options_equal_per_row(spark):
     raw = spark.createDataFrame([request(1, **opts)], "request_id bigint, body string")
     row = convert_job(parse_requests(raw)).select(F.decode("outcome.result.data", "UTF-8")).first()[0]
     assert job[1] == job[2] == row
+
+
+def test_standalone_with_document_template(spark):
+    from quire.model import JobConfig
+
+    tpl = "$title$|$for(author)$$author$$sep$,$endfor$|$if(draft)$D$else$F$endif$|$body$"
+    raw = spark.createDataFrame([
+        request(1, to="plain", standalone=True, variable={"title": "T"}, metadata={"author": ["a", "b"]},
+                title_prefix="P"),
+        request(2, to="plain", standalone=True, title_prefix="P"),
+        request(3, to="plain", standalone=False, variable={"title": "T"}),
+        request(4, to="plain", standalone=True, variable={"title": "V"}, metadata={"title": ["M"], "draft": ["y"]}),
+    ], "request_id bigint, body string")
+    out = convert_job(parse_requests(raw), JobConfig(document_template=tpl))
+    got = {r.request_id: r.t for r in out.select("request_id", F.decode("outcome.result.data", "UTF-8").alias("t"))
+           .collect()}
+    assert got[1].startswith("P - T|a,b|F|A\n\n")
+    assert got[2].startswith("P||F|A\n\n")
+    assert got[3].startswith("A\n\nSome text")
+    assert got[4].startswith("V||D|")
