@@ -117,11 +117,13 @@ def concat_documents(parts: DataFrame, by: str, order: str, text: str = "text",
 def concat_blocks(blocks: DataFrame, groups: DataFrame, by: str, order: str, file_scope: bool) -> DataFrame:
     """O6 on block tables: ``groups(doc_id, by, order)`` maps input documents into combined ones.
 
-    file_scope=false: blocks are renumbered over the combined document (so ids and section numbers run across
-    inputs); true: block numbers stay per input and the input's position is kept in ``part``."""
+    file_scope=false: one numbering runs over the combined document (so ids and section numbers run across
+    inputs): ``block_no`` becomes the order key ``part * 2^32 + block_no`` (gaps allowed, as after B4), computed in
+    the row, so no window has to hold a whole combined document; true: block numbers stay per input and the input's
+    position is kept in ``part``."""
     j = blocks.join(groups, "doc_id")
     if file_scope:
         return j.select(F.col(by).alias("doc_id"), F.col(order).alias("part"), "block_no", "kind", "level", "text")
-    w = Window.partitionBy(by).orderBy(order, "block_no")
-    return j.select(F.col(by).alias("doc_id"), F.col(order).alias("part"),
-                    F.row_number().over(w).cast("int").alias("block_no"), "kind", "level", "text")
+    key = F.shiftleft(F.col(order).cast("bigint"), 32) + F.col("block_no").cast("bigint")
+    return j.select(F.col(by).alias("doc_id"), F.col(order).alias("part"), key.alias("block_no"), "kind", "level",
+                    "text")

@@ -57,3 +57,18 @@ SQL["split_sections"] = sections(MD_BLOCKS, 2, "section")
 SQL["split_chapters"] = sections(CONV_BLOCKS, 2, "chapter")
 SQL["concat_documents"] = f"""SELECT conv_id, count(*) AS n_parts,
   md5(string_agg(text, {S.NL2} ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id"""
+
+TURN_BLOCKS = """(SELECT conv_id * 100000 + turn AS doc_id, conv_id, turn, b.block_no AS block_no, b.kind AS kind,
+    b.level AS level, b.text AS text
+  FROM (SELECT conv_id, turn, unnest(list_concat([struct_pack(block_no := 1, kind := 'heading', level := 2,
+      text := role)], list_transform(string_split(text, chr(10)), lambda x, i: struct_pack(
+      block_no := CAST(i + 1 AS INTEGER), kind := 'para', level := 0, text := x)))) AS b FROM conversations))"""
+COMBINED = f"""(SELECT conv_id AS doc_id, turn AS part, (CAST(turn AS BIGINT) << 32) + block_no AS block_no, kind,
+    level, text FROM {TURN_BLOCKS})"""
+SQL["concat_blocks"] = f"SELECT * FROM {COMBINED}"
+SQL["concat_header_ids"] = f"""SELECT doc_id, block_no, CASE WHEN n = 0 THEN slug ELSE slug || '-' || CAST(n AS VARCHAR) END
+    AS id
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY block_no) - 1 AS n
+    FROM (SELECT *, {_SLUG} AS slug FROM (SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(lower(text),
+            '[^a-z0-9_ -]', '', 'g')), ' +', '-', 'g'), '^[^a-z]+', '') AS s3
+          FROM {COMBINED} WHERE kind = 'heading')))"""

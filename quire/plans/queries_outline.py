@@ -66,3 +66,30 @@ def split_chapters(spark, sf_dir):
 def concat_documents(spark, sf_dir):
     c = O.concat_documents(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return c.select("conv_id", "n_parts", md5_text(F.col("text")).alias("text_md5"))
+
+
+def turn_blocks(spark, sf_dir):
+    """Each conversation turn as its own document: a role heading, then one paragraph per line."""
+    c = table(spark, sf_dir, "conversations")
+    head = F.struct(F.lit(1).alias("block_no"), F.lit("heading").alias("kind"), F.lit(2).alias("level"),
+                    F.col("role").alias("text"))
+    paras = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(
+        (i + 2).cast("int").alias("block_no"), F.lit("para").alias("kind"), F.lit(0).alias("level"), x.alias("text")))
+    return c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"), "conv_id", "turn",
+                    F.inline(F.concat(F.array(head), paras)))
+
+
+def _combined(spark, sf_dir):
+    tb = turn_blocks(spark, sf_dir)
+    groups = tb.select("doc_id", "conv_id", "turn").distinct()
+    return O.concat_blocks(tb.drop("conv_id", "turn"), groups, "conv_id", "turn", file_scope=False)
+
+
+@query
+def concat_blocks(spark, sf_dir):
+    return _combined(spark, sf_dir)
+
+
+@query
+def concat_header_ids(spark, sf_dir):
+    return O.header_ids(_combined(spark, sf_dir)).select("doc_id", "block_no", "id")

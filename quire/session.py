@@ -13,6 +13,30 @@ TABLES = (
 ).split()
 
 
+# Settings we run with on a large cluster (100 TB of documents, ~1000 executors). Documents are wide rows (KB to MB of
+# text), so splits and shuffle partitions are sized in bytes, not rows; AQE coalesces small shuffle partitions,
+# splits skewed ones, and turns a join into a broadcast only when a side is measured below the threshold at run time.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict | None = None) -> None:
+    """Set the runtime SQL settings above (those the session lets change at run time)."""
+    for k, v in {**CLUSTER_CONF, **(overrides or {})}.items():
+        spark.conf.set(k, v)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "quire") -> SparkSession:
     """A local session with the settings the tests and the bench use. UI off, UTC, AQE on."""
     spark = (
