@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import let, md5_text, utf8
+from quire.functions.codecs import html_escape, let, md5_text, utf8
 from quire.model import CONVERTER_SCHEMA, JobConfig
 from quire.operators import blocks as B
 from quire.operators import inrow as I
@@ -21,6 +21,7 @@ from quire.operators.results import envelope, render_binary, render_default, ren
 from quire.operators.templates import compile_template, includes, parse_template
 from quire.operators.validate import validate_requests
 from quire.sources.fetch import dispatch_fetch
+from quire.sources.files import resolve_file_options
 from quire.sources.requests import compute_once
 
 DEFAULT_TEMPLATE = "default"
@@ -102,9 +103,22 @@ def converter_struct(**options) -> Column:
     ])
 
 
-def prepare_input(content: Column, frm, conv) -> Column:
+def file_text(files_col: Column | None, option: str) -> Column | None:
+    return None if files_col is None else F.try_element_at(files_col, F.lit(option))
+
+
+def abbreviation_regex(lines_text: Column) -> Column:
+    """Per-row pattern from an abbreviations file (one per line): each quoted, longest first."""
+    lines = F.filter(F.transform(F.split(lines_text, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    ordered = F.array_sort(lines, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(
+        F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    alts = F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "|")
+    return F.concat(F.lit("\\b("), alts, F.lit(") "))
+
+
+def prepare_input(content: Column, frm, conv, files_col: Column | None = None) -> Column:
     """Options that act on the source text before it is split: strip_comments, track_changes, tab expansion
-    (markdown and plain input, unless preserve_tabs; tab_stop default 4)."""
+    (markdown and plain input, unless preserve_tabs; tab_stop default 4), abbreviations (from a resolved file)."""
     c = _stage(content, _opt(conv, "strip_comments", False), N.strip_comments)
     track = _opt(conv, "track_changes", "")
     c = _stage(c, _test(track, "==", "accept"), lambda y: N.track_changes(y, "accept"))
@@ -112,10 +126,27 @@ def prepare_input(content: Column, frm, conv) -> Column:
     tabs = _and(_test(frm, "!=", "html"), _not(_opt(conv, "preserve_tabs", False)))
     stop_v = _opt(conv, "tab_stop", 0)
     stop = _pick(_test(stop_v, ">", 0), stop_v, 4)
-    return _stage(c, tabs, lambda y: N.expand_tabs(y, stop))
-
-
-def render_by_options(blocks: Column, to, conv) -> Column:
+    c = _stage(c, tabs, lambda y: N.expand_tabs(y, stop))
+    abbr = file_text(files_col, "abbreviations")
+    if abbr is None:
+        return c
+    return _stage(c, abbr.isNotNull() & (F.size(F.filter(F.split(abbr, "\n", -1), lambda x: F.trim(x) != "")) > 0),
+                  lambda y: F.regexp_replace(y, abbreviation_regex(abbr), F.lit("$1" + N.NBSP)))
+
+
+def page_parts(conv, files_col: Column | None) -> tuple[Column, Column, Column]:
+    """(header, before, after) of a standalone page: css link and include_in_header / include_before_body /
+    include_after_body files (T2)."""
+    css = _opt(conv, "css", "")
+    css = css if isinstance(css, Column) else F.lit(css)
+    link = F.when(css != "", F.concat(F.lit('<link rel="stylesheet" href="'), html_escape(css), F.lit('">')))
+    inc = [file_text(files_col, k) for k in ("include_in_header", "include_before_body", "include_after_body")]
+    header = F.concat_ws("\n", link, inc[0]) if inc[0] is not None else F.coalesce(link, F.lit(""))
+    return header, F.coalesce(inc[1], F.lit("")) if inc[1] is not None else F.lit(""), \
+        F.coalesce(inc[2], F.lit("")) if inc[2] is not None else F.lit("")
+
+
+def render_by_options(blocks: Column, to, conv, files_col: Column | None = None) -> Column:
     """Block options (strip_empty_paragraphs, base_header_level, number_sections + number_offset, toc + toc_depth,
     wrap + columns on paragraphs of text output), then the writer for ``to`` (atx_headers, id_prefix, standalone).
     ``to`` and ``conv`` are Columns (per-row options) or Python values (options fixed for the job)."""
@@ -156,7 +187,8 @@ def render_by_options(blocks: Column, to, conv) -> Column:
         pfx = prefix if isinstance(prefix, Column) else F.lit(prefix)
         html = _pick(_test(prefix, "!=", ""), I.render_html_ids(x, pfx), R.render_html(x)) \
             if isinstance(prefix, Column) else (I.render_html_ids(x, pfx) if prefix else R.render_html(x))
-        return _stage(html, standalone, lambda h: includes(h, F.lit(""), F.lit(""), F.lit(""), True, F.lit("")))
+        header, before, after = page_parts(conv, files_col)
+        return _stage(html, standalone, lambda h: includes(h, header, before, after, True, F.lit("")))
 
     return let(b, write) if isinstance(conv, Column) else write(b)
 
@@ -169,7 +201,7 @@ def finish_output(text: Column, to, conv) -> Column:
     return _stage(t, _test(_opt(conv, "eol", ""), "==", "crlf"), lambda y: N.eol(y, "crlf"))
 
 
-def request_vars(conv: Column) -> Column:
+def request_vars(conv: Column, files_col: Column | None = None) -> Column:
     """Template variables of one request: ``variable`` (single values) first, then ``metadata`` (lists); the first
     source of a name wins. ``title_prefix`` is put in front of every title (``prefix - title``) and is the title
     when there is none."""
@@ -178,7 +210,17 @@ def request_vars(conv: Column) -> Column:
     meta_e = F.transform(
         F.map_entries(F.coalesce(conv["metadata"], F.create_map().cast("map<string,array<string>>"))),
         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    entries = F.concat(var_e, meta_e)
+    parts = [var_e, meta_e]
+    if files_col is not None:
+        mfile = F.from_json(file_text(files_col, "metadata_file"), "map<string,array<string>>")
+        parts.append(F.transform(F.map_entries(F.coalesce(mfile, F.create_map().cast("map<string,array<string>>"))),
+                                 lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+        for var, opt in (("header-includes", "include_in_header"), ("include-before", "include_before_body"),
+                         ("include-after", "include_after_body")):
+            t = file_text(files_col, opt)
+            parts.append(F.when(t.isNotNull(), F.array(F.struct(F.lit(var).alias("key"), F.array(t).alias("value"))))
+                         .otherwise(F.array().cast("array<struct<key:string,value:array<string>>>")))
+    entries = F.concat(*parts)
     keep = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, 1, i), lambda x: x["key"] == e["key"]))
     prefix = F.coalesce(conv["title_prefix"], F.lit(""))
     keep = F.transform(keep, lambda e: F.when((e["key"] == "title") & (prefix != ""), F.struct(
@@ -201,7 +243,8 @@ def _without_standalone(conv: Column) -> Column:
     return conv.withField("standalone", F.lit(False))
 
 
-def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_options: dict | None = None) -> DataFrame:
+def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_options: dict | None = None,
+                files: DataFrame | None = None) -> DataFrame:
     """E1 over parsed requests. Output: request_id, src_format, dst_format, template, driver, rule, code, message,
     outcome (code, message, result{data}), template_used, status, content_type, response (bytes)."""
     if conf.document_template is not None:
@@ -209,20 +252,33 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     v = validate_requests(requests, conf)
     f = dispatch_fetch(v, conf, fetch_options or {})
     conv = F.col("converter")
-    rule = F.coalesce(F.col("rule"), F.when(F.col("fetch_error").isNotNull(), F.lit(9)),
+    files_col = None
+    if files is not None:
+        # rules 10/11: resolve file options (one row per request that has any); a left join on request_id whose
+        # strategy AQE picks from the measured size of the resolution table
+        fr = resolve_file_options(v.filter(F.col("rule").isNull()), files, conf.safe_dir, conf.safe_dir_mode)
+        f = f.join(fr, "request_id", "left")
+        files_col = F.col("file_texts")
+    else:
+        f = f.withColumn("file_rule", F.lit(None).cast("int")).withColumn("file_error", F.lit(None).cast("string")) \
+            .withColumn("file_texts", F.lit(None).cast("map<string,string>"))
+    rule = F.coalesce(F.col("rule"), F.when(F.col("fetch_error").isNotNull(), F.lit(9)), F.col("file_rule"),
                       F.when(F.col("conv_error").isNotNull(), F.lit(12)))
-    err = F.coalesce(F.col("message"), F.col("fetch_error"), F.col("conv_error"))
-    f = f.select("request_id", "converter", "template", "driver", rule.alias("rule"), err.alias("error"), "data")
+    err = F.coalesce(F.col("message"), F.col("fetch_error"), F.col("file_error"), F.col("conv_error"))
+    f = f.select("request_id", "converter", "template", "driver", rule.alias("rule"), err.alias("error"), "data",
+                 "file_texts")
     ok = F.col("error").isNull()
-    source = prepare_input(F.decode("data", "UTF-8"), conv["from"], conv)
+    source = prepare_input(F.decode("data", "UTF-8"), conv["from"], conv, files_col)
     f = compute_once(f, blocks__=F.when(ok, parse_blocks(source, conv["from"])))
-    rendered = F.when(ok, finish_output(render_by_options(F.col("blocks__"), conv["to"], conv), conv["to"], conv))
+    rendered = F.when(ok, finish_output(render_by_options(F.col("blocks__"), conv["to"], conv, files_col), conv["to"],
+                                        conv))
     if conf.document_template is not None:
         standalone = F.coalesce(conv["standalone"], F.lit(False))
         body = F.when(ok, render_by_options(F.col("blocks__"), conv["to"], _without_standalone(conv)))
-        page = finish_output(compile_template(conf.document_template, request_vars(conv), body), conv["to"], conv)
+        page = finish_output(compile_template(conf.document_template, request_vars(conv, files_col), body),
+                             conv["to"], conv)
         rendered = F.when(ok & standalone, page).otherwise(rendered)
-    f = compute_once(f.drop("data"), rendered__=rendered)
+    f = compute_once(f.drop("data"), rendered__=rendered).drop("file_texts")
     outcome = envelope(F.col("error"), utf8(F.col("rendered__")))
     to = conv["to"]
     used = select_template(F.col("template"), conf.templates)

@@ -85,3 +85,50 @@ def test_standalone_with_document_template(spark):
     assert got[2].startswith("P||F|A\n\n")
     assert got[3].startswith("A\n\nSome text")
     assert got[4].startswith("V||D|")
+
+
+def test_file_options(spark):
+    """Rules 10/11 and the use of resolved files: includes, css, abbreviations, metadata file."""
+    import os
+    import uuid
+
+    from quire.model import JobConfig
+    from quire.session import scratch_path
+    from quire.sources.files import file_table
+
+    root = scratch_path(spark, f"fileopts-{uuid.uuid4().hex}")
+    os.makedirs(f"{root}/safe")
+    texts = {"head.html": "<meta name=x>", "before.html": "<p>BEFORE</p>", "after.html": "<p>AFTER</p>",
+             "abbr.txt": "text\nSome\n", "meta.json": '{"author": ["m1", "m2"], "title": ["file title"]}'}
+    for name, t in texts.items():
+        with open(f"{root}/safe/{name}", "w", encoding="utf-8") as fh:
+            fh.write(t)
+    os.makedirs(f"{root}/outside")
+    with open(f"{root}/outside/abbr.txt", "w", encoding="utf-8") as fh:
+        fh.write("x\n")
+    safe = f"{root}/safe"
+    raw = spark.createDataFrame([
+        request(1, to="html", standalone=True, css="s.css", include_in_header=f"file://{safe}/head.html",
+                include_before_body=f"{safe}/before.html", include_after_body=f"{safe}/after.html"),
+        request(2, to="html", include_in_header=f"{safe}/missing.html"),
+        request(3, to="html", abbreviations=f"{root}/outside/abbr.txt", include_in_header=f"{safe}/missing.html"),
+        request(4, to="plain", abbreviations=f"{safe}/abbr.txt"),
+        request(5, to="plain", standalone=True, metadata_file=f"{safe}/meta.json", metadata={"title": ["req"]}),
+        request(6, to="plain", template=f"{safe}/nope.tpl"),
+    ], "request_id bigint, body string")
+    conf = JobConfig(safe_dir=safe, document_template="$title$|$for(author)$$author$$sep$,$endfor$|$body$")
+    out = convert_job(parse_requests(raw), conf, files=file_table(spark, root))
+    got = {r.request_id: r for r in out.select("request_id", "rule", "message",
+                                               F.decode("outcome.result.data", "UTF-8").alias("t")).collect()}
+    assert got[1].rule == 0, got[1].message
+    # html standalone without a document template is not used here: the job template applies to all standalone rows
+    assert got[1].t.startswith("||")
+    assert got[2].rule == 11 and got[2].message.startswith("include_in_header: file ") and "not found" in got[2].message
+    assert got[3].rule == 11 and got[3].message.startswith("include_in_header")  # first in emit order wins
+    assert got[4].rule == 0 and "Some\u00a0text\u00a0here" in got[4].t
+    assert got[5].rule == 0 and got[5].t.startswith("req|m1,m2|")
+    assert got[6].rule == 11 and got[6].message.startswith("template: file ")
+    page = convert_job(parse_requests(raw.filter("request_id = 1")), JobConfig(safe_dir=safe),
+                       files=file_table(spark, root)).select(F.decode("outcome.result.data", "UTF-8")).first()[0]
+    assert '<link rel="stylesheet" href="s.css">\n<meta name=x>\n</head>' in page
+    assert "<body>\n<p>BEFORE</p>\n<h1>A</h1>" in page and "<p>AFTER</p>\n</body>" in page
