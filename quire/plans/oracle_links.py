@@ -80,3 +80,12 @@ SQL["warnings"] = f"""SELECT page_id AS doc_id, 'html_unclosed' AS kind, 'no </b
     WHERE NOT contains(lower(html), '</body>')
   UNION ALL SELECT doc_id, 'unresolved_citation', key FROM {MISSING}
   UNION ALL SELECT doc_id, 'unresolved_resource', ref FROM {RESOLVED} WHERE resolved IS NULL"""
+
+SECTIONS = f"""(SELECT doc_id, block_no, sum(CASE WHEN kind = 'heading' AND level <= 1 THEN 1 ELSE 0 END) OVER (
+    PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_no
+  FROM {S.html_blocks(PAGES)})"""
+SQL["reference_links_section"] = f"""SELECT doc_id, CAST(scope AS BIGINT) AS scope,
+  row_number() OVER (PARTITION BY doc_id, scope ORDER BY first_n) AS ref_no, href, first_n
+  FROM (SELECT l.doc_id, coalesce(s.section_no, 0) AS scope, l.href, min(l.n) AS first_n
+        FROM {LINKS} l LEFT JOIN {SECTIONS} s ON s.doc_id = l.doc_id AND s.block_no = l.block_no
+        GROUP BY ALL)"""

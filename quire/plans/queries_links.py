@@ -122,3 +122,20 @@ def warnings(spark, sf_dir):
     res = _resolved(spark, sf_dir).filter(F.col("resolved").isNull()).select(
         "doc_id", F.lit("unresolved_resource").alias("kind"), F.col("ref").alias("detail"))
     return M.warnings(html, cites, res)
+
+
+def page_sections(spark, sf_dir):
+    """block -> section number of every page block (a section starts at each level-1 heading)."""
+    from pyspark.sql import Window
+
+    from quire.operators.blocks import html_blocks
+
+    bl = html_blocks(X.pages_docs(spark, sf_dir))
+    opens = F.when((F.col("kind") == "heading") & (F.col("level") <= 1), 1).otherwise(0)
+    w = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return bl.select("doc_id", "block_no", F.sum(opens).over(w).alias("section_no"))
+
+
+@query
+def reference_links_section(spark, sf_dir):
+    return L.reference_links(L.link_table(X.pages_docs(spark, sf_dir)), "section", page_sections(spark, sf_dir))
