@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import collapse_blanks, html_unescape
+from quire.functions.codecs import html_unescape
 from quire.sources.requests import compute_once
 
 BLOCK_TYPE = "array<struct<block_no:int,kind:string,level:int,text:string>>"
@@ -122,5 +122,5 @@ def strip_empty_paragraphs(blocks: DataFrame) -> DataFrame:
 
 __all__ = [
     "BLOCK_TYPE", "html_block_array", "plain_block_array", "markdown_block_array", "block_array",
-    "drop_empty_paras", "explode_blocks", "html_blocks", "text_blocks", "strip_empty_paragraphs", "collapse_blanks",
+    "drop_empty_paras", "explode_blocks", "html_blocks", "text_blocks", "strip_empty_paragraphs",
 ]

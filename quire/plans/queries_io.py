@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import md5_text
-from quire.operators import blocks as B
 from quire.plans import convert as C
 from quire.plans import fixtures as X
 from quire.plans.queries import _crawl, _requests, query
@@ -70,5 +68,3 @@ def block_filter(spark, sf_dir):
     return apply_block_filter(md_blocks(spark, sf_dir), _filter, enabled=True).select(
         "doc_id", "block_no", "kind", "level", "text")
 
-
-__all__ = ["B", "md5_text"]
