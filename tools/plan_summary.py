@@ -21,7 +21,7 @@ SKIP = {"convert_stream", "write_documents", "fetch_files"}
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or sorted(QUERIES)
-    spark = local_session()
+    spark = local_session(cores=os.environ.get("PLAN_CORES", "*"))
     for name in names:
         if name in SKIP:
             continue
