@@ -14,3 +14,4 @@ SQL["fetch_files"] = """SELECT item_id, item_id % 3 <> 0 AS ok,
   CASE WHEN item_id % 3 <> 0 THEN md5(text || chr(10)) END AS content_md5 FROM benchmark"""
 SQL["block_filter"] = f"""SELECT doc_id, block_no, kind, level,
   CASE WHEN kind = 'heading' THEN '§ ' || text ELSE text END AS text FROM {MD_BLOCKS} WHERE kind <> 'item'"""
+SQL["read_requests_stream"] = SQL["read_requests"].replace("SELECT request_id, bad AS bad_json", "SELECT bad AS bad_json", 1)

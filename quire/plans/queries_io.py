@@ -68,3 +68,25 @@ def block_filter(spark, sf_dir):
     return apply_block_filter(md_blocks(spark, sf_dir), _filter, enabled=True).select(
         "doc_id", "block_no", "kind", "level", "text")
 
+
+
+@query
+def read_requests_stream(spark, sf_dir):
+    """The derived request bodies arrive as JSON lines in text files; the streaming text source parses them.
+    Ids of lines without one are assigned from file and line, so the comparison leaves the id out."""
+    from quire.sources.requests import read_requests_stream as stream_source
+
+    run = _run_dir(spark, "s2")
+    X.request_bodies(spark, sf_dir).select("body").repartition(4).write.text(f"{run}/in")
+    c = F.col("converter")
+    cols = [F.col("bad_json"), F.col("fetcher").isNotNull().alias("has_fetcher"), c.isNotNull().alias("has_converter"),
+            F.col("fetcher.name").alias("fetcher_name"), c["from"].alias("src_format"), c["to"].alias("dst_format"),
+            c["data_dir"].alias("data_dir"), c["toc_depth"].cast("bigint").alias("toc_depth"), F.col("template")]
+
+    def sink(batch, batch_id):
+        batch.select(*cols).write.mode("overwrite").parquet(f"{run}/out/batch_id={batch_id}")
+
+    q = (stream_source(spark, f"{run}/in", max_files_per_trigger=2).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{run}/out").drop("batch_id")
