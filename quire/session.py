@@ -85,7 +85,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-def spread(df: DataFrame, key: str = "doc_id", min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | tuple[str, ...] = "doc_id", min_partitions: int | None = None) -> DataFrame:
     """Hash-repartition by ``key`` only when the scan gives fewer partitions than the cluster has cores.
 
     A large input already arrives in many splits and is left alone (no extra shuffle). A small input stored as one
@@ -99,11 +99,13 @@ def spread(df: DataFrame, key: str = "doc_id", min_partitions: int | None = None
         return df
     if splits >= target:
         return df
-    return df.repartition(target, key)
+    keys = (key,) if isinstance(key, str) else tuple(key)
+    return df.repartition(target, *keys)
 
 
-# Document-like tables and their keys: these are spread (see ``spread``) when read.
-DOC_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id",
+# Document-like tables and their keys: these are spread (see ``spread``) when read. Each key is unique per row, so
+# the spread is even; a conversation is spread by (conv_id, turn), since one conversation may hold many turns.
+DOC_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": ("conv_id", "turn"), "benchmark": "item_id",
             "events": "event_id", "labels": "doc_id"}
 
 
