@@ -34,6 +34,16 @@ def utf8(c: Column) -> Column:
     return F.encode(c, "UTF-8")
 
 
+def utf8_text(b: Column) -> Column:
+    """UTF-8 bytes -> string; malformed sequences become U+FFFD instead of failing the job (``decode`` raises on
+    malformed input). Pair with ``utf8_valid`` to report them."""
+    return F.make_valid_utf8(b.cast("string"))
+
+
+def utf8_valid(b: Column) -> Column:
+    return F.is_valid_utf8(b.cast("string"))
+
+
 def b64_encode(b: Column) -> Column:
     """Standard padded base64 on one line (Spark's base64() breaks lines every 76 characters)."""
     return F.translate(F.base64(b), "\r\n", "")

@@ -27,7 +27,7 @@ def shift_headings(blocks: DataFrame, base: int) -> DataFrame:
     """O1: heading level + base - 1 (base 0 = unset = no shift); a level above 6 makes the block a paragraph."""
     if base == 0:
         return blocks
-    new = F.col("level") + base - 1
+    new = F.greatest(F.col("level") + base - 1, F.lit(1))  # a negative base never gives a level below 1
     head = F.col("kind") == "heading"
     demote = head & (new > MAX_LEVEL)
     return blocks.withColumns({

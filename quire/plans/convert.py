@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import html_escape, let, md5_text, utf8
+from quire.functions.codecs import html_escape, let, md5_text, utf8, utf8_text, utf8_valid
 from quire.model import CONVERTER_SCHEMA, JobConfig
 from quire.operators import blocks as B
 from quire.operators import inrow as I
@@ -30,7 +30,7 @@ DEFAULT_TEMPLATE = "default"
 def shift_block_levels(blocks: Column, base: Column) -> Column:
     """O1 in-row (the same rule as ``outline.shift_headings``)."""
     def one(b):
-        new = b["level"] + base - 1
+        new = F.greatest(b["level"] + base - 1, F.lit(1))
         demote = (b["kind"] == "heading") & (new > 6)
         return F.struct(
             b["block_no"].alias("block_no"),
@@ -262,13 +262,22 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     else:
         f = f.withColumn("file_rule", F.lit(None).cast("int")).withColumn("file_error", F.lit(None).cast("string")) \
             .withColumn("file_texts", F.lit(None).cast("map<string,string>"))
+    # W1 per request: warnings on the fetched source; with fail_if_warnings they make the request fail (rule 12)
+    text = utf8_text(F.col("data"))
+    warn = F.filter(F.array(
+        F.when(F.col("data").isNotNull() & ~utf8_valid(F.col("data")), F.lit("invalid_utf8")),
+        F.when(F.col("data").isNotNull() & (conv["from"] == "html") & ~F.lower(text).contains("</body>"),
+               F.lit("html_unclosed"))), lambda x: x.isNotNull())
+    warn_error = F.when(F.coalesce(conv["fail_if_warnings"], F.lit(False)) & (F.size(warn) > 0),
+                        F.concat(F.lit("failing because there were warnings: "), F.array_join(warn, ", ")))
+    conv_error = F.coalesce(F.col("conv_error"), warn_error)
     rule = F.coalesce(F.col("rule"), F.when(F.col("fetch_error").isNotNull(), F.lit(9)), F.col("file_rule"),
-                      F.when(F.col("conv_error").isNotNull(), F.lit(12)))
-    err = F.coalesce(F.col("message"), F.col("fetch_error"), F.col("file_error"), F.col("conv_error"))
+                      F.when(conv_error.isNotNull(), F.lit(12)))
+    err = F.coalesce(F.col("message"), F.col("fetch_error"), F.col("file_error"), conv_error)
     f = f.select("request_id", "converter", "template", "driver", rule.alias("rule"), err.alias("error"), "data",
-                 "file_texts")
+                 "file_texts", warn.alias("warnings"))
     ok = F.col("error").isNull()
-    source = prepare_input(F.decode("data", "UTF-8"), conv["from"], conv, files_col)
+    source = prepare_input(utf8_text(F.col("data")), conv["from"], conv, files_col)
     f = compute_once(f, blocks__=F.when(ok, parse_blocks(source, conv["from"])))
     rendered = F.when(ok, finish_output(render_by_options(F.col("blocks__"), conv["to"], conv, files_col), conv["to"],
                                         conv))
@@ -285,6 +294,7 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     out = f.select(
         "request_id", conv["from"].alias("src_format"), to.alias("dst_format"), "template", "driver",
         F.coalesce("rule", F.lit(0)).cast("int").alias("rule"), outcome.alias("outcome"), used.alias("template_used"),
+        "warnings",
     )
     o = F.col("outcome")
     binary = render_binary(o, F.col("dst_format"))

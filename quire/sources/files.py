@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.codecs import utf8_text
 from quire.operators.validate import normalize_path, within_safe_dir
 
 
@@ -68,7 +69,7 @@ def resolve_file_options(requests: DataFrame, files: DataFrame, safe_dir: str, m
     got = fetch_files(file_option_refs(requests), files, safe_dir, mode)
     errs = F.array_sort(F.collect_list(F.when(F.col("file_error").isNotNull(), F.struct(
         "ord", "option", "file_error"))))
-    texts = F.collect_list(F.when(F.col("data").isNotNull(), F.struct("option", F.decode("data", "UTF-8"))))
+    texts = F.collect_list(F.when(F.col("data").isNotNull(), F.struct("option", utf8_text(F.col("data")))))
     per = got.groupBy("request_id").agg(errs.alias("errs"), texts.alias("texts"))
     first = F.element_at(F.col("errs"), 1)
     return per.select(

@@ -132,3 +132,16 @@ def test_file_options(spark):
                        files=file_table(spark, root)).select(F.decode("outcome.result.data", "UTF-8")).first()[0]
     assert '<link rel="stylesheet" href="s.css">\n<meta name=x>\n</head>' in page
     assert "<body>\n<p>BEFORE</p>\n<h1>A</h1>" in page and "<p>AFTER</p>\n</body>" in page
+
+
+def test_warnings_and_fail_if_warnings(spark):
+    bad = base64.b64encode(b"<p>caf\xe9</p>").decode()  # latin-1 byte, not UTF-8; no </body>
+    rows = [(1, json.dumps({"fetcher": {"name": "data", "params": {"data": bad}},
+                            "converter": {"from": "html", "to": "plain"}})),
+            (2, json.dumps({"fetcher": {"name": "data", "params": {"data": bad}},
+                            "converter": {"from": "html", "to": "plain", "fail_if_warnings": True}}))]
+    raw = spark.createDataFrame(rows, "request_id bigint, body string")
+    got = {r.request_id: r for r in convert_job(parse_requests(raw)).select(
+        "request_id", "rule", "message", "warnings", F.decode("outcome.result.data", "UTF-8").alias("t")).collect()}
+    assert got[1].rule == 0 and got[1].t == "caf�" and got[1].warnings == ["invalid_utf8", "html_unclosed"]
+    assert got[2].rule == 12 and got[2].message == "failing because there were warnings: invalid_utf8, html_unclosed"
