@@ -34,6 +34,25 @@ def utf8(c: Column) -> Column:
     return F.encode(c, "UTF-8")
 
 
+def message_col(key: str, **values) -> Column:
+    """A fixed message (``quire.model.MESSAGES``) with its ``{name}`` slots filled by columns or literals."""
+    import re
+
+    from quire.model import MESSAGES
+
+    parts = []
+    for piece in re.split(r"(\{\w+\})", MESSAGES[key]):
+        if not piece:
+            continue
+        slot = re.fullmatch(r"\{(\w+)\}", piece)
+        if slot:
+            v = values[slot.group(1)]
+            parts.append(v if isinstance(v, Column) else F.lit(str(v)))
+        else:
+            parts.append(F.lit(piece))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
 def utf8_text(b: Column) -> Column:
     """UTF-8 bytes -> string; malformed sequences become U+FFFD instead of failing the job (``decode`` raises on
     malformed input). Pair with ``utf8_valid`` to report them."""

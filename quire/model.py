@@ -49,6 +49,32 @@ FILE_OPTIONS_STRICT = ("reference_doc", "epub_cover_image", "epub_metadata", "ep
 FILE_OPTIONS_LENIENT = ("metadata_file", "template", "syntax_definition", "include_in_header", "include_before_body",
                         "include_after_body")
 
+# The reference's messages, in its wording ({name} marks an inserted value).
+MESSAGES = {
+    "converter_nil": "converter options is nil",
+    "fetcher_nil": "fetcher options is nil",
+    "data_dir_unsafe": "DataDir: '{data_dir}' is not in safe dir: '{safe_dir}'",
+    "no_input": "non input method, please check your fetcher options or uri param",
+    "fetcher_missing": "fetcher {name} not exist",
+    "param_failure": "parse param failure",
+    "data_empty": "[fetcher-data]: params of data is empty",
+    "url_empty": "[fetcher-http]: params of url is empty",
+    "method_unsupported": "[fetcher-http]: method {method} not support",
+    "fetch_failure": "[fetcher-http]: fetch url by {method} failure <{url}>, status code is {status}",
+    "driver_name_empty": "fetcher driver name is empty",
+    "driver_fn_nil": "the fetcher driver of {name}'s new func is nil",
+    "driver_exists": "driver of {name} already exist",
+    "driver_missing": "fetcher driver of {name} not exist",
+    "instance_name_bad": "fetcher name could not be '' or 'default'",
+    "instance_exists": "fetcher of {name} already exist",
+    "instance_driver_empty": "the fetcher of {name}'s driver is empty",
+}
+
+
+def message(key: str, **values) -> str:
+    return MESSAGES[key].format(**values)
+
+
 # Content type -> file extension.
 MIME_EXT = {
     "text/html": ".html", "text/plain": ".txt", "text/markdown": ".md", "application/pdf": ".pdf",

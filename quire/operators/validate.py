@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import b64_valid
+from quire.functions.codecs import b64_valid, message_col
 from quire.model import DATA_PARAMS, ENUMS, HTTP_PARAMS, JobConfig
 from quire.plans.registry import driver_of
 from quire.sources.requests import compute_once
@@ -60,7 +60,7 @@ def data_params(params: Column) -> Column:
 def _data_rules(params: Column, p: Column) -> tuple[Column, Column]:
     data = p["data"]
     r7 = params.isNull() | p.isNull() | p["_corrupt_record"].isNotNull() | (data.isNotNull() & ~b64_valid(data))
-    r8 = F.when(F.coalesce(data, F.lit("")) == "", F.lit("[fetcher-data]: params of data is empty"))
+    r8 = F.when(F.coalesce(data, F.lit("")) == "", message_col("data_empty"))
     return r7, r8
 
 
@@ -77,8 +77,8 @@ def _http_rules(params: Column, p: Column) -> tuple[Column, Column]:
     r7 = params.isNull() | p.isNull() | p["_corrupt_record"].isNotNull()
     m = http_method(p)
     r8 = (
-        F.when(F.coalesce(p["url"], F.lit("")) == "", F.lit("[fetcher-http]: params of url is empty"))
-        .when(~m.isin("GET", "POST"), F.concat(F.lit("[fetcher-http]: method "), m, F.lit(" not support")))
+        F.when(F.coalesce(p["url"], F.lit("")) == "", message_col("url_empty"))
+        .when(~m.isin("GET", "POST"), message_col("method_unsupported", method=m))
     )
     return r7, r8
 
@@ -127,12 +127,12 @@ def validate_requests(requests: DataFrame, conf: JobConfig = JobConfig()) -> Dat
     rule = F.col("rule")
     message = (
         F.when(rule == 1, F.lit("bad_json: request body is not a JSON object"))
-        .when(rule == 2, F.lit("converter options is nil"))
-        .when(rule == 3, F.lit("fetcher options is nil"))
-        .when(rule == 4, F.concat(F.lit("DataDir: '"), dd, F.lit(f"' is not in safe dir: '{conf.safe_dir}'")))
-        .when(rule == 5, F.lit("non input method, please check your fetcher options or uri param"))
-        .when(rule == 6, F.concat(F.lit("fetcher "), name, F.lit(" not exist")))
-        .when(rule == 7, F.lit("parse param failure"))
+        .when(rule == 2, message_col("converter_nil"))
+        .when(rule == 3, message_col("fetcher_nil"))
+        .when(rule == 4, message_col("data_dir_unsafe", data_dir=dd, safe_dir=conf.safe_dir))
+        .when(rule == 5, message_col("no_input"))
+        .when(rule == 6, message_col("fetcher_missing", name=name))
+        .when(rule == 7, message_col("param_failure"))
         .when(rule == 8, r8)
     )
     return out.withColumn("message", message).withColumn(

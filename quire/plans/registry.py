@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.model import JobConfig
+from quire.model import JobConfig, message
 
 # A driver takes the rows routed to it (request_id, params, plus any other columns) and the instance options, and
 # returns the same rows with ``data`` (binary) and ``fetch_error`` (string, NULL on success) added.
@@ -34,11 +34,11 @@ def register_fetcher(name: str, fn: FetchDriver, row_fn: Callable | None = None)
     ``row_fn(params: Column, options) -> (data, error)`` optionally gives the same driver as column expressions; such
     drivers need no join and are evaluated together in one projection by ``dispatch_fetch``."""
     if not name:
-        raise RegistryError("fetcher driver name is empty")
+        raise RegistryError(message("driver_name_empty"))
     if fn is None:
-        raise RegistryError(f"the fetcher driver of {name}'s new func is nil")
+        raise RegistryError(message("driver_fn_nil", name=name))
     if name in _DRIVERS:
-        raise RegistryError(f"driver of {name} already exist")
+        raise RegistryError(message("driver_exists", name=name))
     _DRIVERS[name] = fn
     if row_fn is not None:
         _ROW_DRIVERS[name] = row_fn
@@ -50,7 +50,7 @@ def row_driver(name: str) -> Callable | None:
 
 def fetch_driver(name: str) -> FetchDriver:
     if name not in _DRIVERS:
-        raise RegistryError(f"fetcher driver of {name} not exist")
+        raise RegistryError(message("driver_missing", name=name))
     return _DRIVERS[name]
 
 
@@ -66,11 +66,11 @@ def configure_fetchers(conf: JobConfig) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, fc in conf.fetchers:
         if not name or name == "default":
-            raise RegistryError("fetcher name could not be '' or 'default'")
+            raise RegistryError(message("instance_name_bad"))
         if name in out:
-            raise RegistryError(f"fetcher of {name} already exist")
+            raise RegistryError(message("instance_exists", name=name))
         if not fc.driver:
-            raise RegistryError(f"the fetcher of {name}'s driver is empty")
+            raise RegistryError(message("instance_driver_empty", name=name))
         fetch_driver(fc.driver)
         out[name] = fc.driver
     return out

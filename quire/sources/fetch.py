@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import b64_decode, utf8
+from quire.functions.codecs import b64_decode, message_col, utf8
 from quire.model import DATA_PARAMS, JobConfig
 from quire.operators.validate import http_method, http_params
 from quire.plans.registry import configure_fetchers, fetch_driver, register_fetcher, row_driver
@@ -29,8 +29,8 @@ def inline_columns(params: Column, options: dict | None = None) -> tuple[Column,
     """S3 as a row driver: (data, error) from the params JSON of one request."""
     raw = b64_decode(F.from_json(params, DATA_PARAMS)["data"])
     err = (
-        F.when(raw.isNull(), F.lit("parse param failure"))
-        .when(F.length(raw) == 0, F.lit("[fetcher-data]: params of data is empty"))
+        F.when(raw.isNull(), message_col("param_failure"))
+        .when(F.length(raw) == 0, message_col("data_empty"))
     )
     return F.when(err.isNull(), raw), err
 
@@ -70,8 +70,8 @@ def fetch_snapshot(rows: DataFrame, options: dict) -> DataFrame:
     prefix = F.concat(F.lit("[fetcher-http]: fetch url by "), F.col("h_method"), F.lit(" failure <"), F.col("h_url"))
     err = (
         F.when(F.col("c_url").isNull(), F.concat(prefix, F.lit(">, no snapshot")))
-        .when(F.col("c_status") != 200, F.concat(prefix, F.lit(">, status code is "),
-                                                 F.col("c_status").cast("string")))
+        .when(F.col("c_status") != 200, message_col("fetch_failure", method=F.col("h_method"), url=F.col("h_url"),
+                                                    status=F.col("c_status").cast("string")))
     )
     body = replace_map(F.col("c_body"), F.col("h_replace"))
     out = j.withColumn("data", F.when(err.isNull(), utf8(body))).withColumn("fetch_error", err)
