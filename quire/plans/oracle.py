@@ -24,10 +24,14 @@ SQL["html_blocks"] = f"SELECT * FROM {S.html_blocks(PAGES)}"
 SQL["strip_empty"] = f"SELECT * FROM {S.strip_empty(S.html_blocks(PAGES))}"
 SQL["html_to_plain"] = f"SELECT * FROM {S.render_plain_agg(S.strip_empty(S.html_blocks(PAGES)))}"
 SQL["convert_pages"] = f"""
-SELECT p.page_id AS doc_id, CAST(0 AS BIGINT) AS code, CAST(length(coalesce(c.content, '')) AS BIGINT) AS n_chars,
-  md5('{{"code":0,"message":"","result":{{"data":"' || to_base64(encode(coalesce(c.content, ''))) || '"}}}}')
-    AS response_md5
-FROM pages p LEFT JOIN {S.render_plain_agg(S.strip_empty(S.html_blocks(PAGES)))} c ON c.doc_id = p.page_id"""
+SELECT doc_id, CAST(CASE WHEN failed THEN 400 ELSE 0 END AS BIGINT) AS code, message,
+  CAST(CASE WHEN failed THEN 0 ELSE length(content) END AS BIGINT) AS n_chars,
+  md5(CASE WHEN failed THEN '{{"code":400,"message":' || to_json(message) || '}}'
+      ELSE '{{"code":0,"message":"","result":{{"data":"' || to_base64(encode(content)) || '"}}}}' END) AS response_md5
+FROM (SELECT p.page_id AS doc_id, p.page_id % 10 = 0 AS failed, coalesce(c.content, '') AS content,
+        CASE WHEN p.page_id % 10 = 0 THEN '[fetcher-http]: fetch url by GET failure <' || p.url
+          || '>, status code is 404' ELSE '' END AS message
+      FROM pages p LEFT JOIN {S.render_plain_agg(S.strip_empty(S.html_blocks(PAGES)))} c ON c.doc_id = p.page_id)"""
 SQL["text_blocks"] = f"SELECT * FROM {S.plain_blocks(DOCS)}"
 SQL["markdown_blocks"] = f"SELECT * FROM {S.markdown_blocks(MD_DOCS)}"
 SQL["encode_corpus"] = """SELECT doc_id, to_base64(encode(text)) AS payload,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import jobs
-from quire.functions.codecs import md5_text
+from quire.functions.codecs import md5_text, message_col
 from quire.operators import blocks as B
 from quire.operators import render as R
 from quire.operators.results import envelope, render_default
@@ -50,14 +50,21 @@ def html_to_plain(spark, sf_dir):
 
 @query
 def convert_pages(spark, sf_dir):
-    """In-row path of the minimal slice: html -> blocks -> drop empty -> plain -> envelope -> default JSON."""
-    docs = X.pages_docs(spark, sf_dir)
-    content = R.render_plain(B.drop_empty_paras(B.html_block_array(F.col("content"))))
-    out = docs.select("doc_id", content.alias("content")).select(
-        "doc_id", "content", envelope(F.lit(None).cast("string"), F.encode("content", "UTF-8")).alias("o")
-    )
-    return out.select(
-        "doc_id", F.col("o.code").cast("bigint").alias("code"), F.length("content").cast("bigint").alias("n_chars"),
+    """Flagship, in-row path of the minimal slice over a crawl: every crawled page is converted to plain text
+    (html -> blocks -> drop empty -> plain) and wrapped in the default JSON response; a page the crawl answered with
+    a status other than 200 (every tenth page here) becomes a 400 outcome with the fetch message. No shuffle."""
+    pages = table(spark, sf_dir, "pages")
+    status = F.when(F.col("page_id") % 10 == 0, F.lit(404)).otherwise(F.lit(200))
+    error = F.when(F.col("status") != 200, message_col("fetch_failure", method="GET", url=F.col("url"),
+                                                       status=F.col("status").cast("string")))
+    content = R.render_plain(B.drop_empty_paras(B.html_block_array(F.col("html"))))
+    out = pages.select(F.col("page_id").alias("doc_id"), "url", "html", status.alias("status")).select(
+        "doc_id", error.alias("error"), "html").select(
+        "doc_id", "error", F.when(F.col("error").isNull(), content).alias("content"))
+    o = envelope(F.col("error"), F.encode("content", "UTF-8"))
+    return out.select("doc_id", o.alias("o"), "content").select(
+        "doc_id", F.col("o.code").cast("bigint").alias("code"), F.col("o.message").alias("message"),
+        F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("n_chars"),
         md5_text(render_default(F.col("o"))).alias("response_md5"),
     )
 

@@ -30,7 +30,7 @@ def test_every_query_has_an_oracle():
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["doc_id", "code", "n_chars", "response_md5"]
+    assert df.columns == ["doc_id", "code", "message", "n_chars", "response_md5"]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
