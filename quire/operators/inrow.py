@@ -79,12 +79,34 @@ def wrap_paragraphs(blocks: Column, mode: Column, columns: Column) -> Column:
         .when(mode == "none", F.regexp_replace(b["text"], "\n", " ")).otherwise(b["text"]))).otherwise(b))
 
 
-def render_html_ids(blocks: Column, prefix: Column) -> Column:
-    """B7 with ``id`` attributes on headings (used when id_prefix is set)."""
+def section_closes(levels: Column) -> Column:
+    """For each heading (levels in order): how many open sections it closes (those of its level or deeper), and as
+    the last element the sections still open at the end. The open levels form a strictly increasing stack of at most
+    six entries, kept by one ``aggregate``."""
+    init = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<int>").alias("closes"))
+
+    def step(acc, lvl):
+        popped = F.size(F.filter(acc["stack"], lambda v: v >= lvl))
+        return F.struct(F.concat(F.filter(acc["stack"], lambda v: v < lvl), F.array(lvl)).alias("stack"),
+                        F.concat(acc["closes"], F.array(popped)).alias("closes"))
+
+    done = F.aggregate(levels, init, step)
+    return F.concat(done["closes"], F.array(F.size(done["stack"])))
+
+
+def render_html_ids(blocks: Column, prefix: Column, sections: Column | None = None) -> Column:
+    """B7 with ``id`` attributes on headings when ``prefix`` is set (id_prefix) and, when ``sections`` holds
+    (section_divs), each heading opening a ``<section>`` that ends before the next heading of the same or a higher
+    level."""
+    sections = F.lit(False) if sections is None else sections
     kept = F.filter(blocks, lambda b: b["text"] != "")
     kinds = F.transform(kept, lambda b: b["kind"])
-    ids = heading_ids(kept, prefix)
-    m = F.map_from_arrays(_heading_positions(kept), ids)
+    positions = _heading_positions(kept)
+    ids = F.when(prefix != "", F.map_from_arrays(positions, heading_ids(kept, prefix)))
+    levels = F.transform(F.filter(kept, lambda b: b["kind"] == "heading"), lambda b: b["level"])
+    closes = F.when(sections, section_closes(levels))
+    ordinal = F.map_from_arrays(positions, F.transform(positions, lambda p, j: j))
+    end = F.when(sections, F.repeat(F.lit("\n</section>"), F.element_at(closes, -1))).otherwise(F.lit(""))
 
     def one(b, i):
         n = F.size(kinds)
@@ -92,8 +114,11 @@ def render_html_ids(blocks: Column, prefix: Column) -> Column:
         next_item = F.when(i + 1 < n, F.element_at(kinds, F.least(i + 2, n)) == "item").otherwise(False)
         text = html_escape(b["text"])
         lvl = b["level"].cast("string")
-        head = F.concat(F.lit("<h"), lvl, F.lit(' id="'), html_escape(F.element_at(m, i)), F.lit('">'), text,
-                        F.lit("</h"), lvl, F.lit(">"))
+        id_attr = F.when(prefix != "", F.concat(F.lit(' id="'), html_escape(F.element_at(ids, i)), F.lit('"'))) \
+            .otherwise(F.lit(""))
+        open_ = F.when(sections, F.concat(F.repeat(F.lit("</section>\n"), F.element_at(
+            closes, F.element_at(ordinal, i) + 1)), F.lit("<section>\n"))).otherwise(F.lit(""))
+        head = F.concat(open_, F.lit("<h"), lvl, id_attr, F.lit(">"), text, F.lit("</h"), lvl, F.lit(">"))
         body = (F.when(b["kind"] == "heading", head)
                 .when(b["kind"] == "item", F.concat(F.lit("<li>"), text, F.lit("</li>")))
                 .otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>"))))
@@ -101,4 +126,4 @@ def render_html_ids(blocks: Column, prefix: Column) -> Column:
         return F.concat(F.when(is_item & ~prev_item, F.lit("<ul>\n")).otherwise(F.lit("")), body,
                         F.when(is_item & ~next_item, F.lit("\n</ul>")).otherwise(F.lit("")))
 
-    return F.array_join(F.transform(kept, one), "\n")
+    return F.concat(F.array_join(F.transform(kept, one), "\n"), end)

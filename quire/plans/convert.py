@@ -77,6 +77,12 @@ def _and(a, b):
     return a and b
 
 
+def _or(a, b):
+    if isinstance(a, Column) or isinstance(b, Column):
+        return (a if isinstance(a, Column) else F.lit(a)) | (b if isinstance(b, Column) else F.lit(b))
+    return a or b
+
+
 def _not(a):
     return ~a if isinstance(a, Column) else not a
 
@@ -185,8 +191,10 @@ def render_by_options(blocks: Column, to, conv, files_col: Column | None = None)
 
     def _html(x):
         pfx = prefix if isinstance(prefix, Column) else F.lit(prefix)
-        html = _pick(_test(prefix, "!=", ""), I.render_html_ids(x, pfx), R.render_html(x)) \
-            if isinstance(prefix, Column) else (I.render_html_ids(x, pfx) if prefix else R.render_html(x))
+        secs = _opt(conv, "section_divs", False)
+        fancy = _or(_test(prefix, "!=", ""), secs)
+        secs_col = secs if isinstance(secs, Column) else F.lit(secs)
+        html = _pick(fancy, I.render_html_ids(x, pfx, secs_col), R.render_html(x))
         header, before, after = page_parts(conv, files_col)
         return _stage(html, standalone, lambda h: includes(h, header, before, after, True, F.lit("")))
 

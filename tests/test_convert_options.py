@@ -145,3 +145,18 @@ def test_warnings_and_fail_if_warnings(spark):
         "request_id", "rule", "message", "warnings", F.decode("outcome.result.data", "UTF-8").alias("t")).collect()}
     assert got[1].rule == 0 and got[1].t == "caf�" and got[1].warnings == ["invalid_utf8", "html_unclosed"]
     assert got[2].rule == 12 and got[2].message == "failing because there were warnings: invalid_utf8, html_unclosed"
+
+
+def test_section_divs(spark):
+    doc = "# A\n\none\n\n## B\n\ntwo\n\n### C\n\n## D\n\n# E\n\nend"
+    payload = base64.b64encode(doc.encode()).decode()
+    rows = [(i, json.dumps({"fetcher": {"name": "data", "params": {"data": payload}},
+                            "converter": {"from": "markdown", "to": "html", **o}}))
+            for i, o in [(1, {"section_divs": True}), (2, {"section_divs": True, "id_prefix": "s-"})]]
+    raw = spark.createDataFrame(rows, "request_id bigint, body string")
+    got = {r.request_id: r.t for r in convert_job(parse_requests(raw)).select(
+        "request_id", F.decode("outcome.result.data", "UTF-8").alias("t")).collect()}
+    assert got[1] == ("<section>\n<h1>A</h1>\n<p>one</p>\n<section>\n<h2>B</h2>\n<p>two</p>\n<section>\n<h3>C</h3>\n"
+                      "</section>\n</section>\n<section>\n<h2>D</h2>\n</section>\n</section>\n<section>\n<h1>E</h1>\n"
+                      "<p>end</p>\n</section>")
+    assert got[2].count("<section>") == 5 and '<h2 id="s-d">D</h2>' in got[2]
