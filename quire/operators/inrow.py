@@ -127,3 +127,54 @@ def render_html_ids(blocks: Column, prefix: Column, sections: Column | None = No
                         F.when(is_item & ~next_item, F.lit("\n</ul>")).otherwise(F.lit("")))
 
     return F.concat(F.array_join(F.transform(kept, one), "\n"), end)
+
+
+def _notes(hrefs: Column) -> Column:
+    """``[n]: href`` lines for the distinct hrefs in first-use order (NULL when there are none)."""
+    d = F.array_distinct(hrefs)
+    return F.when(F.size(d) > 0, F.array_join(F.transform(d, lambda h, i: F.concat(
+        F.lit("["), (i + 1).cast("string"), F.lit("]: "), h)), "\n"))
+
+
+def section_ordinals(blocks: Column) -> Column:
+    """Running count of level-1 headings up to each block (0 = before the first)."""
+    init = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, b):
+        n = acc["n"] + F.when((b["kind"] == "heading") & (b["level"] <= 1), 1).otherwise(0)
+        return F.struct(n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
+
+    return F.aggregate(blocks, init, step)["out"]
+
+
+def render_markdown_refs(blocks: Column, links: Column, location: Column, atx: Column) -> Column:
+    """B6 with reference links (L2 in the row): the distinct hrefs of the links of each scope, numbered by first use,
+    are listed as ``[n]: href`` notes after the scope: the document, each section (level-1 heading) or each block.
+    ``links`` is ``link_array`` of the same HTML, so its block numbers are those of ``blocks``."""
+    from quire.operators.render import markdown_piece
+
+    kept = F.filter(blocks, lambda b: b["text"] != "")
+    piece = lambda b: F.when(atx, markdown_piece(b, True)).otherwise(markdown_piece(b, False))
+    doc_notes = _notes(F.transform(links, lambda lk: lk["href"]))
+    by_block = F.transform(kept, lambda b: F.concat_ws("\n\n", piece(b), _notes(F.transform(
+        F.filter(links, lambda lk: lk["block_no"] == b["block_no"]), lambda lk: lk["href"]))))
+    sec = section_ordinals(blocks)
+    block_sec = F.map_from_arrays(F.transform(blocks, lambda b: b["block_no"]), sec)
+    link_sec = F.transform(links, lambda lk: F.coalesce(F.try_element_at(block_sec, lk["block_no"]), F.lit(0)))
+    kept_sec = F.transform(kept, lambda b: F.element_at(block_sec, b["block_no"]))
+
+    def sec_notes(s):
+        return _notes(F.transform(F.filter(F.arrays_zip(links.alias("l"), link_sec.alias("s")),
+                                           lambda z: z["s"] == s), lambda z: z["l"]["href"]))
+
+    def with_section_notes(b, i):
+        closes = (i + 1 < F.size(kept)) & (F.element_at(kept_sec, F.least(i + 2, F.size(kept))) !=
+                                           F.element_at(kept_sec, i + 1))
+        last = i + 1 == F.size(kept)
+        return F.when(closes | last, F.concat_ws("\n\n", piece(b), sec_notes(F.element_at(kept_sec, i + 1)))) \
+            .otherwise(piece(b))
+
+    by_section = F.transform(kept, with_section_notes)
+    return (F.when(location == "block", F.array_join(by_block, "\n\n"))
+            .when(location == "section", F.array_join(by_section, "\n\n"))
+            .otherwise(F.concat_ws("\n\n", F.array_join(F.transform(kept, piece), "\n\n"), doc_notes)))

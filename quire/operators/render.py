@@ -33,23 +33,25 @@ def render_plain(blocks: Column) -> Column:
     return F.array_join(parts, "\n\n")
 
 
-def render_markdown(blocks: Column, atx: bool = True) -> Column:
-    """Atx headings ``#``*level; without atx, levels 1-2 are underlined with ``=``/``-`` of the same length."""
-
-    def one(b):
-        atx_head = F.concat(F.repeat(F.lit("#"), b["level"]), F.lit(" "), b["text"])
-        if atx:
-            head = atx_head
-        else:
-            line = F.repeat(F.when(b["level"] == 1, F.lit("=")).otherwise(F.lit("-")), F.length(b["text"]))
-            head = F.when(b["level"] <= 2, F.concat(b["text"], F.lit("\n"), line)).otherwise(atx_head)
-        return (
-            F.when(b["kind"] == "heading", head)
-            .when(b["kind"] == "item", F.concat(F.lit("- "), b["text"]))
-            .otherwise(b["text"])
-        )
+def markdown_piece(b, atx: bool = True) -> Column:
+    """One block in markdown: atx headings ``#``*level; without atx, levels 1-2 are underlined with ``=``/``-`` of the
+    same length; items get ``- ``."""
+    atx_head = F.concat(F.repeat(F.lit("#"), b["level"]), F.lit(" "), b["text"])
+    if atx:
+        head = atx_head
+    else:
+        line = F.repeat(F.when(b["level"] == 1, F.lit("=")).otherwise(F.lit("-")), F.length(b["text"]))
+        head = F.when(b["level"] <= 2, F.concat(b["text"], F.lit("\n"), line)).otherwise(atx_head)
+    return (
+        F.when(b["kind"] == "heading", head)
+        .when(b["kind"] == "item", F.concat(F.lit("- "), b["text"]))
+        .otherwise(b["text"])
+    )
 
-    return F.array_join(F.transform(_non_empty(blocks), one), "\n\n")
+
+def render_markdown(blocks: Column, atx: bool = True) -> Column:
+    """The non-empty blocks in markdown, separated by a blank line."""
+    return F.array_join(F.transform(_non_empty(blocks), lambda b: markdown_piece(b, atx)), "\n\n")
 
 
 def render_html(blocks: Column) -> Column:

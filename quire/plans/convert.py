@@ -21,6 +21,7 @@ from quire.operators.results import envelope, render_binary, render_default, ren
 from quire.operators.templates import compile_template, includes, parse_template
 from quire.operators.validate import validate_requests
 from quire.sources.fetch import dispatch_fetch
+from quire.operators.links import link_array
 from quire.sources.files import resolve_file_options
 from quire.sources.requests import compute_once
 
@@ -152,7 +153,8 @@ def page_parts(conv, files_col: Column | None) -> tuple[Column, Column, Column]:
         F.coalesce(inc[2], F.lit("")) if inc[2] is not None else F.lit("")
 
 
-def render_by_options(blocks: Column, to, conv, files_col: Column | None = None) -> Column:
+def render_by_options(blocks: Column, to, conv, files_col: Column | None = None,
+                      links: Column | None = None) -> Column:
     """Block options (strip_empty_paragraphs, base_header_level, number_sections + number_offset, toc + toc_depth,
     wrap + columns on paragraphs of text output), then the writer for ``to`` (atx_headers, id_prefix, standalone).
     ``to`` and ``conv`` are Columns (per-row options) or Python values (options fixed for the job)."""
@@ -180,8 +182,7 @@ def render_by_options(blocks: Column, to, conv, files_col: Column | None = None)
         text_b = _stage(x, _test(wrap_mode, "in", ("auto", "none")), lambda y: I.wrap_paragraphs(y, mode, cols))
         writers = {
             "plain": lambda: R.render_plain(text_b),
-            "markdown": lambda: _pick(atx, R.render_markdown(text_b, True), R.render_markdown(text_b, False))
-            if isinstance(atx, Column) else R.render_markdown(text_b, atx),
+            "markdown": lambda: _markdown(text_b),
             "html": lambda: _html(x),
         }
         if not isinstance(to, Column):
@@ -189,6 +190,16 @@ def render_by_options(blocks: Column, to, conv, files_col: Column | None = None)
         return F.when(to == "plain", writers["plain"]()).when(to == "markdown", writers["markdown"]()).when(
             to == "html", writers["html"]())
 
+    def _markdown(x):
+        plain_md = _pick(atx, R.render_markdown(x, True), R.render_markdown(x, False)) if isinstance(atx, Column) \
+            else R.render_markdown(x, atx)
+        if links is None:
+            return plain_md
+        location = _opt(conv, "reference_location", "document")
+        location = location if isinstance(location, Column) else F.lit(location)
+        atx_col = atx if isinstance(atx, Column) else F.lit(atx)
+        return F.when(links.isNotNull(), I.render_markdown_refs(x, links, location, atx_col)).otherwise(plain_md)
+
     def _html(x):
         pfx = prefix if isinstance(prefix, Column) else F.lit(prefix)
         secs = _opt(conv, "section_divs", False)
@@ -286,9 +297,11 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
                  "file_texts", warn.alias("warnings"))
     ok = F.col("error").isNull()
     source = prepare_input(utf8_text(F.col("data")), conv["from"], conv, files_col)
-    f = compute_once(f, blocks__=F.when(ok, parse_blocks(source, conv["from"])))
-    rendered = F.when(ok, finish_output(render_by_options(F.col("blocks__"), conv["to"], conv, files_col), conv["to"],
-                                        conv))
+    refs_on = ok & (conv["from"] == "html") & F.coalesce(conv["reference_links"], F.lit(False))
+    f = compute_once(f, blocks__=F.when(ok, parse_blocks(source, conv["from"])),
+                     links__=F.when(refs_on, link_array(source)))
+    rendered = F.when(ok, finish_output(render_by_options(F.col("blocks__"), conv["to"], conv, files_col,
+                                                          F.col("links__")), conv["to"], conv))
     if conf.document_template is not None:
         standalone = F.coalesce(conv["standalone"], F.lit(False))
         body = F.when(ok, render_by_options(F.col("blocks__"), conv["to"], _without_standalone(conv)))

@@ -160,3 +160,22 @@ def test_section_divs(spark):
                       "</section>\n</section>\n<section>\n<h2>D</h2>\n</section>\n</section>\n<section>\n<h1>E</h1>\n"
                       "<p>end</p>\n</section>")
     assert got[2].count("<section>") == 5 and '<h2 id="s-d">D</h2>' in got[2]
+
+
+def test_reference_links(spark):
+    html = ('<h1>One</h1><p>see <a href="/x">x</a> and <a href="/y">y</a></p><p>again <a href="/x">x</a></p>'
+            '<h1>Two</h1><p><a href="/z">z</a> <a href="/x">x</a></p>')
+    payload = base64.b64encode(html.encode()).decode()
+    rows = [(i, json.dumps({"fetcher": {"name": "data", "params": {"data": payload}},
+                            "converter": {"from": "html", "to": "markdown", "atx_headers": True, **o}}))
+            for i, o in [(1, {"reference_links": True}), (2, {"reference_links": True, "reference_location": "block"}),
+                         (3, {"reference_links": True, "reference_location": "section"}), (4, {})]]
+    raw = spark.createDataFrame(rows, "request_id bigint, body string")
+    got = {r.request_id: r.t for r in convert_job(parse_requests(raw)).select(
+        "request_id", F.decode("outcome.result.data", "UTF-8").alias("t")).collect()}
+    body = "# One\n\nsee x and y\n\nagain x\n\n# Two\n\nz x"
+    assert got[4] == body
+    assert got[1] == body + "\n\n[1]: /x\n[2]: /y\n[3]: /z"
+    assert got[2] == ("# One\n\nsee x and y\n\n[1]: /x\n[2]: /y\n\nagain x\n\n[1]: /x\n\n# Two\n\nz x\n\n"
+                      "[1]: /z\n[2]: /x")
+    assert got[3] == "# One\n\nsee x and y\n\nagain x\n\n[1]: /x\n[2]: /y\n\n# Two\n\nz x\n\n[1]: /z\n[2]: /x"
