@@ -17,15 +17,28 @@ from quire.model import MIME_EXT
 INLINE_URI_RE = r"data:([A-Za-z0-9.+-]+/[A-Za-z0-9.+-]+);base64,([A-Za-z0-9+/]+={0,2})"
 
 
-def _ext(content_type: Column, default_ext: str) -> Column:
+def _ext(content_type: Column, default_ext: str | Column) -> Column:
     m = F.create_map(*[F.lit(x) for kv in MIME_EXT.items() for x in kv])
-    return F.coalesce(F.try_element_at(m, content_type), F.lit("." + default_ext.lstrip(".")))
+    fallback = F.lit("." + default_ext.lstrip(".")) if isinstance(default_ext, str) else \
+        F.concat(F.lit("."), F.regexp_replace(default_ext, r"^\.", ""))
+    return F.coalesce(F.try_element_at(m, content_type), fallback)
 
 
-def _media_ref(uri: Column, media_dir: str, default_ext: str) -> Column:
+def _media_ref(uri: Column, media_dir: str | Column, default_ext: str | Column) -> Column:
     ctype = F.regexp_extract(uri, INLINE_URI_RE, 1)
     data = b64_decode(F.regexp_extract(uri, INLINE_URI_RE, 2))
-    return F.concat(F.lit(media_dir.rstrip("/") + "/"), F.md5(data), _ext(ctype, default_ext))
+    folder = F.lit(media_dir.rstrip("/") + "/") if isinstance(media_dir, str) else \
+        F.concat(F.regexp_replace(media_dir, "/+$", ""), F.lit("/"))
+    return F.concat(folder, F.md5(data), _ext(ctype, default_ext))
+
+
+def rewrite_media(text: Column, media_dir: str | Column, default_ext: str | Column = "bin") -> Column:
+    """M1 in the row: every inline ``data:`` URI of the text becomes ``<dir>/<md5><ext>`` (split / zip, one pass)."""
+    uris = F.regexp_extract_all(text, F.lit(INLINE_URI_RE), 0)
+    parts = F.split(text, INLINE_URI_RE, -1)
+    refs = F.transform(uris, lambda u: _media_ref(u, media_dir, default_ext))
+    rewritten = F.array_join(F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return F.when(F.size(uris) > 0, rewritten).otherwise(text)
 
 
 def extract_media(docs: DataFrame, media_dir: str = "media", default_ext: str = "bin",
@@ -33,11 +46,7 @@ def extract_media(docs: DataFrame, media_dir: str = "media", default_ext: str =
     """M1 -> (docs with rewritten content and ``n_media``, resources(md5, content_type, path, data, n_docs))."""
     c = F.col(content)
     uris = F.regexp_extract_all(c, F.lit(INLINE_URI_RE), 0)
-    parts = F.split(c, INLINE_URI_RE, -1)
-    refs = F.transform(uris, lambda u: _media_ref(u, media_dir, default_ext))
-    rewritten = F.array_join(F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    out = docs.select("*", F.size(uris).alias("n_media"),
-                      F.when(F.size(uris) > 0, rewritten).otherwise(c).alias("c__"))
+    out = docs.select("*", F.size(uris).alias("n_media"), rewrite_media(c, media_dir, default_ext).alias("c__"))
     out = out.drop(content).withColumnRenamed("c__", content)
     found = docs.select("doc_id", F.explode(uris).alias("uri")).select(
         "doc_id", F.regexp_extract("uri", INLINE_URI_RE, 1).alias("content_type"),

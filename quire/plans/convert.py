@@ -15,6 +15,7 @@ from quire.functions.codecs import html_escape, let, md5_text, utf8, utf8_text,
 from quire.model import CONVERTER_SCHEMA, JobConfig
 from quire.operators import blocks as B
 from quire.operators import inrow as I
+from quire.operators import media as M
 from quire.operators import normalize as N
 from quire.operators import render as R
 from quire.operators.results import envelope, render_binary, render_default, render_embed
@@ -213,10 +214,15 @@ def render_by_options(blocks: Column, to, conv, files_col: Column | None = None,
 
 
 def finish_output(text: Column, to, conv) -> Column:
-    """Options that act on the written text: ascii, email_obfuscation=references (html output), eol."""
+    """Options that act on the written text: ascii, email_obfuscation=references (html output), extract_media with
+    default_image_extension (inline data URIs -> ``<dir>/<md5><ext>``, M1 in the row), eol."""
     t = _stage(text, _opt(conv, "ascii", False), N.ascii_refs)
     both = _and(_test(to, "==", "html"), _test(_opt(conv, "email_obfuscation", ""), "==", "references"))
     t = _stage(t, both, N.email_refs)
+    media_dir = _opt(conv, "extract_media", "")
+    ext = _opt(conv, "default_image_extension", "")
+    ext = _pick(_test(ext, "!=", ""), ext, "bin")
+    t = _stage(t, _test(media_dir, "!=", ""), lambda y: M.rewrite_media(y, media_dir, ext))
     return _stage(t, _test(_opt(conv, "eol", ""), "==", "crlf"), lambda y: N.eol(y, "crlf"))
 
 

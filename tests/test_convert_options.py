@@ -179,3 +179,22 @@ def test_reference_links(spark):
     assert got[2] == ("# One\n\nsee x and y\n\n[1]: /x\n[2]: /y\n\nagain x\n\n[1]: /x\n\n# Two\n\nz x\n\n"
                       "[1]: /z\n[2]: /x")
     assert got[3] == "# One\n\nsee x and y\n\nagain x\n\n[1]: /x\n[2]: /y\n\n# Two\n\nz x\n\n[1]: /z\n[2]: /x"
+
+
+def test_extract_media_option(spark):
+    png = base64.b64encode(b"\x89PNG-bytes").decode()
+    odd = base64.b64encode(b"other").decode()
+    md = f"# Pic\n\n![a](data:image/png;base64,{png}) and ![b](data:image/x-odd;base64,{odd})"
+    payload = base64.b64encode(md.encode()).decode()
+    rows = [(i, json.dumps({"fetcher": {"name": "data", "params": {"data": payload}},
+                            "converter": {"from": "markdown", "to": "markdown", **o}}))
+            for i, o in [(1, {"extract_media": "media/"}), (2, {"extract_media": "m", "default_image_extension": "dat"}),
+                         (3, {})]]
+    raw = spark.createDataFrame(rows, "request_id bigint, body string")
+    got = {r.request_id: r.t for r in convert_job(parse_requests(raw)).select(
+        "request_id", F.decode("outcome.result.data", "UTF-8").alias("t")).collect()}
+    import hashlib
+    h1, h2 = hashlib.md5(b"\x89PNG-bytes").hexdigest(), hashlib.md5(b"other").hexdigest()
+    assert f"![a](media/{h1}.png) and ![b](media/{h2}.bin)" in got[1]
+    assert f"![a](m/{h1}.png) and ![b](m/{h2}.dat)" in got[2]
+    assert "data:image/png;base64," in got[3]
