@@ -33,8 +33,17 @@ def decode_summary(decoded: DataFrame) -> DataFrame:
 
 
 def export_json(df: DataFrame, *cols: str) -> DataFrame:
-    """one HTML-safe JSON object per row (value column ``json``); write with ``.write.text``."""
-    chosen = [F.col(c) for c in cols] if cols else [F.col(c) for c in df.columns]
+    """one HTML-safe JSON object per row (value column ``json``); map keys are written in sorted order; write
+    with ``.write.text``."""
+    from pyspark.sql.types import MapType
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    chosen = []
+    for c in cols or df.columns:
+        col = F.col(c)
+        if isinstance(types.get(c), MapType):
+            col = F.map_from_entries(F.array_sort(F.map_entries(col))).alias(c)
+        chosen.append(col)
     return df.select(json_html_safe(F.to_json(F.struct(*chosen))).alias("json"))
 
 

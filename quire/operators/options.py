@@ -76,6 +76,12 @@ def option_usage(long: DataFrame) -> DataFrame:
     )
 
 
+def option_value_usage(long: DataFrame) -> DataFrame:
+    """J1 analytics: requests per (flag, value); booleans count under an empty value."""
+    return long.groupBy("flag", F.coalesce("value", F.lit("")).alias("value")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("request_id").alias("n_requests"))
+
+
 def key_values(requests: DataFrame, fields: tuple[str, ...] = KV_FIELDS) -> DataFrame:
     """Variables and headers as ``k=v`` one per entry, metadata one per value; keys ascending."""
     r = requests.filter(F.col("converter").isNotNull())

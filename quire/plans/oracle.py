@@ -227,3 +227,9 @@ SQL["decode_data_uris"] = f"""SELECT item_id, matched, CASE WHEN matched THEN re
   FROM (SELECT item_id, ref, regexp_matches(ref, {_URI}) AS matched, regexp_extract(ref, {_URI}, 3) AS pl
     FROM (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'data:text/plain,' ELSE 'data:text/plain;base64,' END
             || to_base64(encode(text)) AS ref FROM benchmark))"""
+SQL["option_value_usage"] = f"""SELECT flag, coalesce(value, '') AS value, count(*) AS n_rows,
+  count(DISTINCT request_id) AS n_requests FROM {options_long_sql()} GROUP BY 1, 2"""
+SQL["export_json_maps"] = f"""SELECT {S.json_safe("to_json(struct_pack(event_id := event_id, props := m))")} AS json
+  FROM (SELECT event_id, map_from_entries(list_sort(list_concat(
+      list_transform(json_keys(props), lambda k: struct_pack(key := k, value := json_extract_string(props, '$.' || k))),
+      [struct_pack(key := 'a_type', value := event_type)]))) AS m FROM events)"""

@@ -287,3 +287,18 @@ def data_uri_refs(spark, sf_dir):
 def decode_data_uris(spark, sf_dir):
     d = S.decode_data_uris(data_uri_refs(spark, sf_dir))
     return d.select("item_id", "matched", "content_type", F.md5("data").alias("data_md5"), "error")
+
+
+@query
+def option_value_usage(spark, sf_dir):
+    return O.option_value_usage(O.options_long(_requests(spark, sf_dir)))
+
+
+@query
+def export_json_maps(spark, sf_dir):
+    """F3 with a map column: the event's props parsed into a map, written back with sorted keys."""
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "event_type",
+        F.map_concat(F.from_json("props", "map<string,string>"),
+                     F.create_map(F.lit("a_type"), F.col("event_type"))).alias("props"))
+    return jobs.export_json(ev, "event_id", "props")
