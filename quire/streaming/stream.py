@@ -46,8 +46,15 @@ def convert_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoi
             F.col("value").alias("body"))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        out = convert_job(parse_requests(batch), conf, fetch_options)
-        outcome_rows(out).write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
+        # A micro-batch is bounded by the trigger (files per trigger), so its parsed requests are kept for the
+        # batch: the fetch routing reads them once per branch without re-reading and re-parsing the files. Lost
+        # blocks are recomputed from the source files.
+        requests = parse_requests(batch).persist()
+        try:
+            out = convert_job(requests, conf, fetch_options)
+            outcome_rows(out).write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
+        finally:
+            requests.unpersist()
 
     q = (raw.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
