@@ -157,8 +157,9 @@ def page_parts(conv, files_col: Column | None) -> tuple[Column, Column, Column]:
 def render_by_options(blocks: Column, to, conv, files_col: Column | None = None,
                       links: Column | None = None) -> Column:
     """Block options (strip_empty_paragraphs, base_header_level, number_sections + number_offset, toc + toc_depth,
-    wrap + columns on paragraphs of text output), then the writer for ``to`` (atx_headers, id_prefix, standalone).
-    ``to`` and ``conv`` are Columns (per-row options) or Python values (options fixed for the job)."""
+    wrap + columns on paragraphs of text output), then the writer for ``to``: markdown (atx_headers; reference_links
+    notes per reference_location when ``links`` is given), html (id_prefix, section_divs, standalone page with css and
+    include files). ``to`` and ``conv`` are Columns (per-row options) or Python values (options fixed for the job)."""
     base = _opt(conv, "base_header_level", 0)
     b = _stage(blocks, _opt(conv, "strip_empty_paragraphs", False), B.drop_empty_paras)
     b = _stage(b, _test(base, "!=", 0), lambda y: shift_block_levels(y, F.lit(base) if not isinstance(base, Column)
