@@ -24,6 +24,7 @@ from quire.operators.validate import validate_requests
 from quire.sources.fetch import dispatch_fetch
 from quire.operators.links import link_array
 from quire.sources.files import resolve_file_options
+from quire.session import ensure_checkpoint_dir
 from quire.sources.requests import compute_once
 
 DEFAULT_TEMPLATE = "default"
@@ -355,15 +356,19 @@ def convert_distinct(docs: DataFrame, frm: str, to: str, options: dict | None =
     The dedup is a hash aggregate with a map-side partial step, so a text copied into a third of the corpus is
     reduced per task before the shuffle; the join back is on the (hash, length) key, where AQE splits a hot key on
     the many-rows side (the distinct side holds one row per key)."""
-    keyed = docs.select("doc_id", md5_text(F.col(content)).alias("h"), F.length(content).alias("n"), content)
+    # one pass over the content computes the fingerprints; that small table (no text) is written to the shared
+    # checkpoint folder, so the later steps read it instead of hashing the whole corpus again, and a lost executor
+    # does not send them back through the content
+    ensure_checkpoint_dir(docs.sparkSession)
+    keyed = docs.select("doc_id", md5_text(F.col(content)).alias("h"), F.length(content).alias("n")).checkpoint()
     # the representative of each distinct text is its smallest doc_id: a hash aggregate with a fixed-width buffer
-    reps = keyed.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    distinct = keyed.join(reps, "doc_id", "left_semi").select("h", "n", F.col(content).alias("c"))
+    reps = keyed.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"))
+    distinct = docs.select("doc_id", F.col(content).alias("c")).join(reps, "doc_id")
     conv = options if options is not None else {"from": frm, "to": to}
     blocks = B.block_array(prepare_input(F.col("c"), frm, conv), frm)
     converted = distinct.select("h", "n", finish_output(render_by_options(blocks, to, conv), to, conv)
                                 .alias("converted"))
-    return keyed.select("doc_id", "h", "n").join(converted, ["h", "n"]).select("doc_id", "converted")
+    return keyed.join(converted, ["h", "n"]).select("doc_id", "converted")
 
 
 def write_documents(out: DataFrame, path: str) -> None:
