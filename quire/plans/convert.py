@@ -96,14 +96,6 @@ def _pick(cond, yes, no):
     return yes if cond else no
 
 
-def _stage(x: Column, cond, fn) -> Column:
-    """Apply ``fn`` where ``cond`` holds. A job-level condition is resolved while building the plan; a per-row one
-    becomes a CASE whose input is bound once (``let``), so stacked stages keep the plan linear in size."""
-    if isinstance(cond, Column):
-        return let(x, lambda y: F.when(cond, fn(y)).otherwise(y))
-    return fn(x) if cond else x
-
-
 def converter_struct(**options) -> Column:
     """A full converter struct (all option fields) with the given options set and the rest unset."""
     return F.struct(*[
@@ -125,22 +117,90 @@ def abbreviation_regex(lines_text: Column) -> Column:
     return F.concat(F.lit("\\b("), alts, F.lit(") "))
 
 
-def prepare_input(content: Column, frm, conv, files_col: Column | None = None) -> Column:
+class Chain:
+    """A value carried through option stages.
+
+    Column mode (no ``df``): stages compose expressions; job-level conditions resolve while the plan is built, and a
+    per-row condition binds its input once (``let``), so stacked stages keep the plan linear. Frame mode: the stages
+    of a group are collected and ``flush`` turns them into one projection of the column ``name`` of ``df``:
+    ``CASE WHEN <any stage of the group is on for the row> THEN <the bound chain> ELSE <the column> END``. A row with
+    no option of the group set takes the cheap branch, and one projection per group keeps plan analysis small."""
+
+    def __init__(self, value: Column | None = None, df: DataFrame | None = None, name: str | None = None):
+        self.df, self.name, self._value = df, name, value
+        self._pending: list = []
+        if df is not None and value is not None:
+            self.df = df.withColumn(name, value)
+
+    @property
+    def value(self) -> Column:
+        return F.col(self.name) if self.df is not None else self._value
+
+    def set(self, expr: Column) -> "Chain":
+        if self.df is not None:
+            self.flush()
+            self.df = self.df.withColumn(self.name, expr)
+        else:
+            self._value = expr
+        return self
+
+    def stage(self, cond, fn) -> "Chain":
+        if self.df is not None:
+            if isinstance(cond, Column) or cond:
+                self._pending.append((cond if isinstance(cond, Column) else None, fn))
+            return self
+        if not isinstance(cond, Column):
+            if cond:
+                self._value = fn(self._value)
+            return self
+        self._value = let(self._value, lambda y: F.when(cond, fn(y)).otherwise(y))
+        return self
+
+    def flush(self) -> "Chain":
+        if self.df is None or not self._pending:
+            return self
+        x = F.col(self.name)
+        composed, active = x, None
+        for cond, fn in self._pending:
+            if cond is None:
+                composed, active = fn(composed), F.lit(True)
+            else:
+                composed = let(composed, _guarded(cond, fn))
+                active = cond if active is None else (active | cond)
+        self._pending = []
+        self.df = self.df.withColumn(self.name, F.when(active, composed).otherwise(x))
+        return self
+
+
+def _guarded(cond: Column, fn):
+    """``y -> fn(y) where cond, else y`` as a one-argument function (PySpark reads the arity of lambdas)."""
+    return lambda y: F.when(cond, fn(y)).otherwise(y)
+
+
+def _chain(x) -> Chain:
+    return x if isinstance(x, Chain) else Chain(value=x)
+
+
+def prepare_input(content, frm, conv, files_col: Column | None = None):
     """Options that act on the source text before it is split: strip_comments, track_changes, tab expansion
-    (markdown and plain input, unless preserve_tabs; tab_stop default 4), abbreviations (from a resolved file)."""
-    c = _stage(content, _opt(conv, "strip_comments", False), N.strip_comments)
+    (markdown and plain input, unless preserve_tabs; tab_stop default 4), abbreviations (from a resolved file).
+    Takes and returns a Column, or a ``Chain`` (then its stages are applied in place)."""
+    c = _chain(content)
+    c.stage(_opt(conv, "strip_comments", False), N.strip_comments)
     track = _opt(conv, "track_changes", "")
-    c = _stage(c, _test(track, "==", "accept"), lambda y: N.track_changes(y, "accept"))
-    c = _stage(c, _test(track, "==", "reject"), lambda y: N.track_changes(y, "reject"))
+    c.stage(_test(track, "==", "accept"), lambda y: N.track_changes(y, "accept"))
+    c.stage(_test(track, "==", "reject"), lambda y: N.track_changes(y, "reject"))
     tabs = _and(_test(frm, "!=", "html"), _not(_opt(conv, "preserve_tabs", False)))
+    if c.df is not None and isinstance(tabs, Column):  # on only when the row has a tab (stages never add one)
+        tabs = tabs & (F.instr(F.col(c.name), "\t") > 0)
     stop_v = _opt(conv, "tab_stop", 0)
     stop = _pick(_test(stop_v, ">", 0), stop_v, 4)
-    c = _stage(c, tabs, lambda y: N.expand_tabs(y, stop))
+    c.stage(tabs, lambda y: N.expand_tabs(y, stop))
     abbr = file_text(files_col, "abbreviations")
-    if abbr is None:
-        return c
-    return _stage(c, abbr.isNotNull() & (F.size(F.filter(F.split(abbr, "\n", -1), lambda x: F.trim(x) != "")) > 0),
-                  lambda y: F.regexp_replace(y, abbreviation_regex(abbr), F.lit("$1" + N.NBSP)))
+    if abbr is not None:
+        c.stage(abbr.isNotNull() & (F.size(F.filter(F.split(abbr, "\n", -1), lambda x: F.trim(x) != "")) > 0),
+                lambda y: F.regexp_replace(y, abbreviation_regex(abbr), F.lit("$1" + N.NBSP)))
+    return c.flush() if isinstance(content, Chain) else c.value
 
 
 def page_parts(conv, files_col: Column | None) -> tuple[Column, Column, Column]:
@@ -155,77 +215,88 @@ def page_parts(conv, files_col: Column | None) -> tuple[Column, Column, Column]:
         F.coalesce(inc[2], F.lit("")) if inc[2] is not None else F.lit("")
 
 
-def render_by_options(blocks: Column, to, conv, files_col: Column | None = None,
-                      links: Column | None = None) -> Column:
-    """Block options (strip_empty_paragraphs, base_header_level, number_sections + number_offset, toc + toc_depth,
-    wrap + columns on paragraphs of text output), then the writer for ``to``: markdown (atx_headers; reference_links
-    notes per reference_location when ``links`` is given), html (id_prefix, section_divs, standalone page with css and
-    include files). ``to`` and ``conv`` are Columns (per-row options) or Python values (options fixed for the job)."""
+def apply_block_options(blocks, conv):
+    """Block options: strip_empty_paragraphs, base_header_level, number_sections + number_offset, toc + toc_depth.
+    Takes and returns a Column, or a ``Chain`` (stages applied in place)."""
+    c = _chain(blocks)
     base = _opt(conv, "base_header_level", 0)
-    b = _stage(blocks, _opt(conv, "strip_empty_paragraphs", False), B.drop_empty_paras)
-    b = _stage(b, _test(base, "!=", 0), lambda y: shift_block_levels(y, F.lit(base) if not isinstance(base, Column)
-                                                                      else base))
+    c.stage(_opt(conv, "strip_empty_paragraphs", False), B.drop_empty_paras)
+    c.stage(_test(base, "!=", 0), lambda y: shift_block_levels(y, base if isinstance(base, Column) else F.lit(base)))
     offset = _opt(conv, "number_offset", 0)
-    b = _stage(b, _opt(conv, "number_sections", False),
-               lambda y: I.number_headings(y, offset if isinstance(offset, Column) else F.lit(offset)))
+    c.stage(_opt(conv, "number_sections", False),
+            lambda y: I.number_headings(y, offset if isinstance(offset, Column) else F.lit(offset)))
     depth_v = _opt(conv, "toc_depth", 0)
     depth = _pick(_test(depth_v, ">", 0), depth_v, 3)
-    b = _stage(b, _opt(conv, "toc", False),
-               lambda y: I.with_toc(y, depth if isinstance(depth, Column) else F.lit(depth)))
+    c.stage(_opt(conv, "toc", False), lambda y: I.with_toc(y, depth if isinstance(depth, Column) else F.lit(depth)))
+    return c.flush() if isinstance(blocks, Chain) else c.value
+
+
+def write_text(x: Column, to, conv, files_col: Column | None = None, links: Column | None = None,
+               standalone=None) -> Column:
+    """The writer for ``to``: plain; markdown (atx_headers; wrap + columns on paragraphs; reference_links notes per
+    reference_location when ``links`` is given); html (id_prefix, section_divs, standalone page with css and include
+    files). ``x`` should be a column reference or a bound value: it is read by every branch."""
     wrap_mode = _opt(conv, "wrap", "")
     cols_v = _opt(conv, "columns", 0)
     cols = _pick(_test(cols_v, ">", 0), cols_v, 72)
     cols = cols if isinstance(cols, Column) else F.lit(cols)
     atx = _opt(conv, "atx_headers", False)
     prefix = _opt(conv, "id_prefix", "")
-    standalone = _opt(conv, "standalone", False)
-
-    def write(x):
-        mode = wrap_mode if isinstance(wrap_mode, Column) else F.lit(wrap_mode)
-        text_b = _stage(x, _test(wrap_mode, "in", ("auto", "none")), lambda y: I.wrap_paragraphs(y, mode, cols))
-        writers = {
-            "plain": lambda: R.render_plain(text_b),
-            "markdown": lambda: _markdown(text_b),
-            "html": lambda: _html(x),
-        }
-        if not isinstance(to, Column):
-            return writers[to]() if to in writers else F.lit(None).cast("string")
-        return F.when(to == "plain", writers["plain"]()).when(to == "markdown", writers["markdown"]()).when(
-            to == "html", writers["html"]())
-
-    def _markdown(x):
-        plain_md = _pick(atx, R.render_markdown(x, True), R.render_markdown(x, False)) if isinstance(atx, Column) \
-            else R.render_markdown(x, atx)
+    standalone = _opt(conv, "standalone", False) if standalone is None else standalone
+    mode = wrap_mode if isinstance(wrap_mode, Column) else F.lit(wrap_mode)
+    wrap_on = _test(wrap_mode, "in", ("auto", "none"))
+    text_b = _pick(wrap_on, I.wrap_paragraphs(x, mode, cols), x) if isinstance(wrap_on, Column) else (
+        I.wrap_paragraphs(x, mode, cols) if wrap_on else x)
+
+    def markdown():
+        plain_md = _pick(atx, R.render_markdown(text_b, True), R.render_markdown(text_b, False)) \
+            if isinstance(atx, Column) else R.render_markdown(text_b, atx)
         if links is None:
             return plain_md
         location = _opt(conv, "reference_location", "document")
         location = location if isinstance(location, Column) else F.lit(location)
         atx_col = atx if isinstance(atx, Column) else F.lit(atx)
-        return F.when(links.isNotNull(), I.render_markdown_refs(x, links, location, atx_col)).otherwise(plain_md)
+        return F.when(links.isNotNull(), I.render_markdown_refs(text_b, links, location, atx_col)).otherwise(plain_md)
 
-    def _html(x):
+    def html():
         pfx = prefix if isinstance(prefix, Column) else F.lit(prefix)
         secs = _opt(conv, "section_divs", False)
-        fancy = _or(_test(prefix, "!=", ""), secs)
         secs_col = secs if isinstance(secs, Column) else F.lit(secs)
-        html = _pick(fancy, I.render_html_ids(x, pfx, secs_col), R.render_html(x))
+        body = _pick(_or(_test(prefix, "!=", ""), secs), I.render_html_ids(x, pfx, secs_col), R.render_html(x))
         header, before, after = page_parts(conv, files_col)
-        return _stage(html, standalone, lambda h: includes(h, header, before, after, True, F.lit("")))
+        return _chain(body).stage(standalone, lambda h: includes(h, header, before, after, True, F.lit(""))).value
 
-    return let(b, write) if isinstance(conv, Column) else write(b)
+    writers = {"plain": lambda: R.render_plain(text_b), "markdown": markdown, "html": html}
+    if not isinstance(to, Column):
+        return writers[to]() if to in writers else F.lit(None).cast("string")
+    return F.when(to == "plain", writers["plain"]()).when(to == "markdown", writers["markdown"]()).when(
+        to == "html", writers["html"]())
 
 
-def finish_output(text: Column, to, conv) -> Column:
+def render_by_options(blocks: Column, to, conv, files_col: Column | None = None,
+                      links: Column | None = None) -> Column:
+    """Block options, then the writer for ``to`` (``apply_block_options`` + ``write_text``) on a Column. ``to`` and
+    ``conv`` are Columns (per-row options) or Python values (options fixed for the job)."""
+    b = apply_block_options(blocks, conv)
+    if isinstance(conv, Column) or isinstance(to, Column):
+        return let(b, lambda y: write_text(y, to, conv, files_col, links))
+    return write_text(b, to, conv, files_col, links)
+
+
+def finish_output(text, to, conv):
     """Options that act on the written text: ascii, email_obfuscation=references (html output), extract_media with
-    default_image_extension (inline data URIs -> ``<dir>/<md5><ext>``, M1 in the row), eol."""
-    t = _stage(text, _opt(conv, "ascii", False), N.ascii_refs)
-    both = _and(_test(to, "==", "html"), _test(_opt(conv, "email_obfuscation", ""), "==", "references"))
-    t = _stage(t, both, N.email_refs)
+    default_image_extension (inline data URIs -> ``<dir>/<md5><ext>``, M1 in the row), eol. Takes and returns a
+    Column, or a ``Chain`` (stages applied in place)."""
+    t = _chain(text)
+    t.stage(_opt(conv, "ascii", False), N.ascii_refs)
+    t.stage(_and(_test(to, "==", "html"), _test(_opt(conv, "email_obfuscation", ""), "==", "references")),
+            N.email_refs)
     media_dir = _opt(conv, "extract_media", "")
     ext = _opt(conv, "default_image_extension", "")
     ext = _pick(_test(ext, "!=", ""), ext, "bin")
-    t = _stage(t, _test(media_dir, "!=", ""), lambda y: M.rewrite_media(y, media_dir, ext))
-    return _stage(t, _test(_opt(conv, "eol", ""), "==", "crlf"), lambda y: N.eol(y, "crlf"))
+    t.stage(_test(media_dir, "!=", ""), lambda y: M.rewrite_media(y, media_dir, ext))
+    t.stage(_test(_opt(conv, "eol", ""), "==", "crlf"), lambda y: N.eol(y, "crlf"))
+    return t.flush() if isinstance(text, Chain) else t.value
 
 
 def request_vars(conv: Column, files_col: Column | None = None) -> Column:
@@ -266,10 +337,6 @@ def select_template(name: Column, registered: tuple[str, ...]) -> Column:
         DEFAULT_TEMPLATE)
 
 
-def _without_standalone(conv: Column) -> Column:
-    return conv.withField("standalone", F.lit(False))
-
-
 def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_options: dict | None = None,
                 files: DataFrame | None = None) -> DataFrame:
     """E1 over parsed requests. Output: request_id, src_format, dst_format, template, driver, rule, code, message,
@@ -304,19 +371,21 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     f = f.select("request_id", "converter", "template", "driver", rule.alias("rule"), err.alias("error"), "data",
                  "file_texts", warn.alias("warnings"))
     ok = F.col("error").isNull()
-    source = prepare_input(utf8_text(F.col("data")), conv["from"], conv, files_col)
+    # each option stage below is a projection of its own (``Chain`` frame mode)
+    src = prepare_input(Chain(F.when(ok, utf8_text(F.col("data"))), f, "src__"), conv["from"], conv, files_col)
     refs_on = ok & (conv["from"] == "html") & F.coalesce(conv["reference_links"], F.lit(False))
-    f = compute_once(f, blocks__=F.when(ok, parse_blocks(source, conv["from"])),
-                     links__=F.when(refs_on, link_array(source)))
-    rendered = F.when(ok, finish_output(render_by_options(F.col("blocks__"), conv["to"], conv, files_col,
-                                                          F.col("links__")), conv["to"], conv))
+    f = compute_once(src.df, blocks__=F.when(ok, parse_blocks(F.col("src__"), conv["from"])),
+                     links__=F.when(refs_on, link_array(F.col("src__")))).drop("data", "src__")
+    f = apply_block_options(Chain(df=f, name="blocks__"), conv).df
+    blocks = F.col("blocks__")
+    rendered = write_text(blocks, conv["to"], conv, files_col, F.col("links__"))
     if conf.document_template is not None:
         standalone = F.coalesce(conv["standalone"], F.lit(False))
-        body = F.when(ok, render_by_options(F.col("blocks__"), conv["to"], _without_standalone(conv)))
-        page = finish_output(compile_template(conf.document_template, request_vars(conv, files_col), body),
-                             conv["to"], conv)
-        rendered = F.when(ok & standalone, page).otherwise(rendered)
-    f = compute_once(f.drop("data"), rendered__=rendered).drop("file_texts")
+        body = write_text(blocks, conv["to"], conv, None, F.col("links__"), standalone=F.lit(False))
+        page = compile_template(conf.document_template, request_vars(conv, files_col), body)
+        rendered = F.when(standalone, page).otherwise(rendered)
+    f = finish_output(Chain(F.when(ok, rendered), f, "rendered__"), conv["to"], conv).df
+    f = f.drop("file_texts", "blocks__", "links__")
     outcome = envelope(F.col("error"), utf8(F.col("rendered__")))
     to = conv["to"]
     used = select_template(F.col("template"), conf.templates)
