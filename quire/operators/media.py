@@ -60,10 +60,14 @@ def extract_media(docs: DataFrame, media_dir: str = "media", default_ext: str =
     return out, resources
 
 
-def self_contained(docs: DataFrame, resources: DataFrame, media_dir: str = "media",
+ANY_MEDIA_REF_RE = r"(?:[A-Za-z0-9_.~-]+/)*([0-9a-f]{32})\.[A-Za-z0-9]+"
+
+
+def self_contained(docs: DataFrame, resources: DataFrame, media_dir: str | None = "media",
                    content: str = "content") -> DataFrame:
-    """M2: every ``<dir>/<md5><ext>`` reference found in ``resources`` becomes a ``data:`` URI again."""
-    ref_re = media_dir.rstrip("/") + r"/([0-9a-f]{32})\.[A-Za-z0-9]+"
+    """M2: every ``<dir>/<md5><ext>`` reference found in ``resources`` becomes a ``data:`` URI again
+    (``media_dir=None``: a reference in any folder). Unknown references stay as they are."""
+    ref_re = ANY_MEDIA_REF_RE if media_dir is None else media_dir.rstrip("/") + r"/([0-9a-f]{32})\.[A-Za-z0-9]+"
     c = F.col(content)
     refs = docs.select("doc_id", F.posexplode(F.regexp_extract_all(c, F.lit(ref_re), 0)).alias("pos", "ref"))
     refs = refs.withColumn("md5", F.regexp_extract("ref", ref_re, 1))

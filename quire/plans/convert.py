@@ -338,7 +338,7 @@ def select_template(name: Column, registered: tuple[str, ...]) -> Column:
 
 
 def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_options: dict | None = None,
-                files: DataFrame | None = None) -> DataFrame:
+                files: DataFrame | None = None, resources: DataFrame | None = None) -> DataFrame:
     """E1 over parsed requests. Output: request_id, src_format, dst_format, template, driver, rule, code, message,
     outcome (code, message, result{data}), template_used, status, content_type, response (bytes)."""
     if conf.document_template is not None:
@@ -386,6 +386,13 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
         rendered = F.when(standalone, page).otherwise(rendered)
     f = finish_output(Chain(F.when(ok, rendered), f, "rendered__"), conv["to"], conv).df
     f = f.drop("file_texts", "blocks__", "links__")
+    if resources is not None:
+        # self_contained (M2): only requests with the option go through the reference join; the option filter reads
+        # the converter struct only, so it is pushed down next to the parse and the conversion runs once per request
+        on = F.coalesce(conv["self_contained"], F.lit(False)) & F.col("error").isNull()
+        embedded = M.self_contained(f.filter(on).withColumnRenamed("request_id", "doc_id"), resources, None,
+                                    "rendered__").withColumnRenamed("doc_id", "request_id")
+        f = f.filter(~on).unionByName(embedded.select(*f.columns))
     outcome = envelope(F.col("error"), utf8(F.col("rendered__")))
     to = conv["to"]
     used = select_template(F.col("template"), conf.templates)

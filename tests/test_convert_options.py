@@ -198,3 +198,22 @@ def test_extract_media_option(spark):
     assert f"![a](media/{h1}.png) and ![b](media/{h2}.bin)" in got[1]
     assert f"![a](m/{h1}.png) and ![b](m/{h2}.dat)" in got[2]
     assert "data:image/png;base64," in got[3]
+
+
+def test_self_contained_option(spark):
+    from quire.operators.media import extract_media
+
+    png = base64.b64encode(b"\x89PNG-bytes").decode()
+    md = f"# Pic\n\n![a](data:image/png;base64,{png})"
+    corpus = spark.createDataFrame([(1, md)], "doc_id bigint, content string")
+    extracted, resources = extract_media(corpus, media_dir="m")
+    text = extracted.first().content
+    payload = base64.b64encode(text.encode()).decode()
+    rows = [(i, json.dumps({"fetcher": {"name": "data", "params": {"data": payload}},
+                            "converter": {"from": "markdown", "to": "markdown", **o}}))
+            for i, o in [(1, {"self_contained": True}), (2, {})]]
+    raw = spark.createDataFrame(rows, "request_id bigint, body string")
+    got = {r.request_id: r.t for r in convert_job(parse_requests(raw), resources=resources).select(
+        "request_id", F.decode("outcome.result.data", "UTF-8").alias("t")).collect()}
+    assert f"![a](data:image/png;base64,{png})" in got[1]
+    assert "![a](m/" in got[2]
