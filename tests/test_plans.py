@@ -160,3 +160,26 @@ def test_stream_of_json_lines(spark):
     got = {r.request_id: r for r in spark.read.parquet(f"{run}/out").collect()}
     assert got[1].code == 0 and bytes(got[1].data) == b"<h1>Title</h1>"
     assert got[2].code == 400 and got[2].message == "fetcher options is nil"
+
+
+# --- the in-row (conversion job) and table (analytics) forms of the outline agree ---------------------------------
+
+from quire.operators import inrow as IR  # noqa: E402
+from quire.operators import outline as OL  # noqa: E402
+
+outline = st.lists(st.tuples(st.integers(1, 6), st.sampled_from(["Intro", "Part A", "part-a", "Notes", "1 One"])),
+                   min_size=1, max_size=30)
+
+
+@settings(max_examples=15, deadline=None)
+@given(outline)
+def test_inrow_outline_equals_table_outline(spark, heads):
+    data = [(1, i + 1, "heading", lv, t) for i, (lv, t) in enumerate(heads)]
+    b = spark.createDataFrame(data, "doc_id bigint, block_no int, kind string, level int, text string")
+    table_nums = [r.number for r in OL.number_sections(b, 2).orderBy("block_no").collect()]
+    table_ids = [r.id for r in OL.header_ids(b, "p-").orderBy("block_no").collect()]
+    arr = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "kind", "level", "text"))).alias("a"))
+    r = arr.select(IR.section_numbers(F.col("a"), F.lit(2)).alias("n"), IR.heading_ids(F.col("a"), F.lit("p-"))
+                   .alias("i")).first()
+    assert r.n == table_nums
+    assert r.i == table_ids
