@@ -33,10 +33,10 @@ def _map_entries(m: Column, ord_: int, flag: str, multi: bool) -> Column:
 
 
 def option_entries(conv: Column, conf: JobConfig = JobConfig(), only: tuple[str, ...] | None = None) -> Column:
-    """All emitted option entries of one converter struct, as an array in emit order."""
+    """All emitted option entries of one converter struct, as an array in emit order. Scalar options go into one
+    array (NULL for a dropped option, then filtered); the three map options expand into their own arrays."""
     gated_filter, gated_lua = gate_options(conv, conf)
-    none = F.array().cast(_ENTRY)
-    parts = []
+    scalars, maps = [], []
     for ord_, (key, typ) in enumerate(OPTION_FIELDS, start=1):
         if only is not None and key not in only:
             continue
@@ -47,19 +47,22 @@ def option_entries(conv: Column, conf: JobConfig = JobConfig(), only: tuple[str,
         elif key == "lua_filter":
             v = gated_lua
         if typ == "b":
-            parts.append(F.when(v, F.array(_entry(ord_, F.lit(1), flag, F.lit(None)))).otherwise(none))
+            scalars.append(F.when(v, _entry(ord_, F.lit(1), flag, F.lit(None))))
         elif typ == "i":
-            parts.append(F.when(F.coalesce(v, F.lit(0)) != 0, F.array(_entry(ord_, F.lit(1), flag, v))).otherwise(none))
+            scalars.append(F.when(F.coalesce(v, F.lit(0)) != 0, _entry(ord_, F.lit(1), flag, v)))
         elif typ in ("s", "f"):
             if key == "pdf_engine":
                 v = F.when(F.coalesce(v, F.lit("")) == "", F.lit("xelatex")).otherwise(v)
             keep = F.coalesce(v, F.lit("")) != ""
             if key == "to":
                 keep = keep & (F.upper(v) != "PDF")
-            parts.append(F.when(keep, F.array(_entry(ord_, F.lit(1), flag, v))).otherwise(none))
+            scalars.append(F.when(keep, _entry(ord_, F.lit(1), flag, v)))
         else:
-            parts.append(_map_entries(v, ord_, flag, typ == "mm"))
-    return F.concat(*parts)
+            maps.append(_map_entries(v, ord_, flag, typ == "mm"))
+    parts = ([F.filter(F.array(*scalars), lambda x: x.isNotNull())] if scalars else []) + maps
+    if not parts:
+        return F.array().cast(_ENTRY)
+    return F.array_sort(F.concat(*parts)) if len(parts) > 1 else parts[0]
 
 
 def options_long(requests: DataFrame, conf: JobConfig = JobConfig()) -> DataFrame:
