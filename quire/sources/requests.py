@@ -56,7 +56,8 @@ def _with_ids(lines: DataFrame) -> DataFrame:
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """A file or directory of JSON lines. ``request_id`` comes from the body when present, else a hash of file
-    and line (stable across task retries)."""
+    and line text (stable across task retries; identical lines of one file share it, so give ids in the body when
+    lines can repeat)."""
     return parse_requests(_with_ids(spark.read.text(path)))
 
 
