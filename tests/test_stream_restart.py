@@ -41,3 +41,21 @@ def test_restart_processes_each_file_once(spark):
     assert got == [(1, 0), (2, 0), (3, 0)]
     new_batches = sorted(set(os.listdir(sink)) - set(batches_before))
     assert len([b for b in new_batches if b.startswith("batch_id=")]) == 1
+
+
+def test_command_line_convert(spark):
+    """``python -m quire convert`` on JSON lines with a pages table as crawl (same session)."""
+    import quire
+    from quire.__main__ import main
+
+    run = scratch_path(spark, f"cli-{uuid.uuid4().hex}")
+    lines = [_request(1, "# One"), json.dumps({"request_id": 2, "converter": {"from": "html", "to": "plain"},
+                                               "fetcher": {"name": "http", "params": {"url": "http://a/"}}})]
+    _write_file(spark, f"{run}/in", lines)
+    spark.createDataFrame([(1, "http://a/", "<p>page</p>")], "page_id bigint, url string, html string") \
+        .write.parquet(f"{run}/pages")
+    main(["convert", "--requests", f"{run}/in", "--out", f"{run}/out", "--crawl", f"{run}/pages", "--no-cluster-conf"])
+    got = {r.request_id: r for r in spark.read.parquet(f"{run}/out").collect()}
+    assert got[1].code == 0 and bytes(got[1].data) == b"<h1>One</h1>"
+    assert got[2].code == 0 and bytes(got[2].data) == b"page"
+    assert quire.JobConfig is not None and callable(quire.convert_job)
