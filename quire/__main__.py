@@ -54,6 +54,8 @@ def main(argv: list[str] | None = None) -> None:
                        help="keep the session's settings instead of quire.session.CLUSTER_CONF")
     sub.choices["stream"].add_argument("--checkpoint", help="stream checkpoint folder (default: under "
                                                            "spark.checkpoint.dir)")
+    sub.choices["stream"].add_argument("--interval", help="keep running with this trigger interval (e.g. '10 "
+                                                         "seconds'); default: process what is there and stop")
     args = p.parse_args(argv)
 
     spark = SparkSession.builder.appName("quire").getOrCreate()
@@ -67,7 +69,10 @@ def main(argv: list[str] | None = None) -> None:
         outcome_rows(out).write.mode("overwrite").parquet(args.out)
     else:
         ckpt = args.checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/quire-stream"
-        convert_stream(spark, args.requests, args.out, ckpt, conf, options, source_format="text")
+        q = convert_stream(spark, args.requests, args.out, ckpt, conf, options, source_format="text",
+                           trigger_interval=args.interval)
+        if args.interval:
+            q.awaitTermination()
 
 
 if __name__ == "__main__":

@@ -31,11 +31,16 @@ def outcome_rows(out: DataFrame) -> DataFrame:
 
 def convert_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                    conf: JobConfig = JobConfig(), fetch_options: dict | None = None,
-                   max_files_per_trigger: int | None = None, source_format: str = "parquet"):
-    """Start the stream (``trigger(availableNow=True)``: process what is there, then stop) and wait for it.
+                   max_files_per_trigger: int | None = None, source_format: str = "parquet",
+                   trigger_interval: str | None = None):
+    """Start the stream. Without ``trigger_interval`` it processes what is there (``availableNow``), stops, and is
+    waited for; with one (e.g. ``"10 seconds"``) it keeps running like the service did and the query handle is
+    returned at once (stop it with ``.stop()``).
 
     ``source_format`` ``parquet`` reads ``(request_id, body)`` files; ``text`` reads JSON lines (S2)."""
     reader = spark.readStream.format(source_format)
+    if trigger_interval and not max_files_per_trigger:
+        max_files_per_trigger = 1000  # a running stream that starts on a backlog takes it in bounded batches
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if source_format == "parquet":
@@ -56,7 +61,9 @@ def convert_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoi
         finally:
             requests.unpersist()
 
-    q = (raw.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    writer = raw.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
+    if trigger_interval:
+        return writer.trigger(processingTime=trigger_interval).start()
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
     return q

@@ -59,3 +59,17 @@ def test_command_line_convert(spark):
     assert got[1].code == 0 and bytes(got[1].data) == b"<h1>One</h1>"
     assert got[2].code == 0 and bytes(got[2].data) == b"page"
     assert quire.JobConfig is not None and callable(quire.convert_job)
+
+
+def test_continuous_trigger(spark):
+    run = scratch_path(spark, f"cont-{uuid.uuid4().hex}")
+    _write_file(spark, f"{run}/in", [_request(7, "# Seven")])
+    q = convert_stream(spark, f"{run}/in", f"{run}/out", f"{run}/ckpt", source_format="text",
+                       trigger_interval="1 second")
+    try:
+        q.processAllAvailable()
+        _write_file(spark, f"{run}/in", [_request(8, "# Eight")])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r.request_id for r in spark.read.parquet(f"{run}/out").collect()) == [7, 8]
