@@ -137,14 +137,11 @@ def _notes(hrefs: Column) -> Column:
 
 
 def section_ordinals(blocks: Column) -> Column:
-    """Running count of level-1 headings up to each block (0 = before the first)."""
-    init = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, b):
-        n = acc["n"] + F.when((b["kind"] == "heading") & (b["level"] <= 1), 1).otherwise(0)
-        return F.struct(n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
-
-    return F.aggregate(blocks, init, step)["out"]
+    """Running count of level-1 headings up to each block (0 = before the first): for each block, the number of
+    level-1 heading positions at or before it (blocks x level-1 headings, no growing accumulator)."""
+    tops = F.filter(F.transform(blocks, lambda b, i: F.when((b["kind"] == "heading") & (b["level"] <= 1), i)),
+                    lambda x: x.isNotNull())
+    return F.transform(blocks, lambda b, i: F.size(F.filter(tops, lambda t: t <= i)))
 
 
 def render_markdown_refs(blocks: Column, links: Column, location: Column, atx: Column) -> Column:
