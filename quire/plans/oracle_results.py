@@ -115,3 +115,29 @@ SQL["merge_metadata"] = f"""SELECT doc_id, key, CAST(p AS BIGINT) AS source_prio
   GROUP BY doc_id, key, p"""
 SQL["convert_distinct"] = f"""SELECT d.doc_id, md5(coalesce(h.content, '')) AS content_md5 FROM documents d
   LEFT JOIN {S.render_html_agg(S.plain_blocks(DOCS))} h ON h.doc_id = d.doc_id"""
+
+# --- the conversion job with per-request options (markdown documents) ---------------------------------------------
+
+from quire.operators.normalize import NON_ASCII_RE  # noqa: E402
+from quire.plans.oracle import MD_DOCS  # noqa: E402
+
+_MD_BLOCKS = S.markdown_blocks(MD_DOCS)
+_RUN = "PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_CUMS = ", ".join(f"sum(CASE WHEN kind = 'heading' AND level = {k} THEN 1 ELSE 0 END) OVER ({_RUN}) AS cum{k}"
+                  for k in range(1, 7))
+_BASES = ", ".join(
+    f"coalesce(last_value(CASE WHEN kind = 'heading' AND level < {k} THEN cum{k} END IGNORE NULLS) OVER ({_RUN}), 0)"
+    f" AS base{k}" for k in range(2, 7))
+_NUM = ("array_to_string(list_slice([CAST(cum1 + doc_id % 2 AS VARCHAR), " +
+        ", ".join(f"CAST(cum{k} - base{k} AS VARCHAR)" for k in range(2, 7)) + "], 1, level), '.')")
+OPT_BLOCKS = f"""(SELECT doc_id, block_no, kind, level,
+    CASE WHEN kind = 'heading' AND doc_id % 3 = 0 THEN {_NUM} || ' ' || text ELSE text END AS text
+  FROM (SELECT *, {_BASES} FROM (SELECT *, {_CUMS} FROM {_MD_BLOCKS})))"""
+OPT_RENDERED = f"""(SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN coalesce(m.content, '')
+    ELSE coalesce(h.content, '') END AS r
+  FROM documents d LEFT JOIN {S.render_markdown_agg(OPT_BLOCKS, atx=True)} m ON m.doc_id = d.doc_id
+  LEFT JOIN {S.render_html_agg(OPT_BLOCKS)} h ON h.doc_id = d.doc_id)"""
+_ASCII = S.zip_tokens(OPT_RENDERED, "doc_id, r", "r", NON_ASCII_RE, S.char_ref("tk"), "a")
+SQL["convert_options"] = f"""SELECT doc_id AS request_id, CAST(0 AS BIGINT) AS code,
+  md5(CASE WHEN doc_id % 5 = 0 THEN {S.eol_crlf('t')} ELSE t END) AS data_md5
+  FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN a ELSE r END AS t FROM {_ASCII})"""

@@ -157,3 +157,29 @@ def convert_distinct(spark, sf_dir):
     c = C.convert_distinct(X.documents_docs(spark, sf_dir), "plain", "html")
     return c.select("doc_id", md5_text(F.col("converted")).alias("content_md5"))
 
+
+
+def option_request_bodies(spark, sf_dir):
+    """Requests over the markdown documents with per-request options: number_sections (id % 3 = 0, offset id % 2),
+    atx headers, to markdown / html (id % 2), ascii (id % 7 = 0), crlf line ends (id % 5 = 0)."""
+    md = X.markdown_docs(spark, sf_dir)
+    i = F.col("doc_id")
+    flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    conv = F.concat(
+        F.lit('{"from":"markdown","to":"'), F.when(i % 2 == 0, F.lit("markdown")).otherwise(F.lit("html")),
+        F.lit('","atx_headers":true,"number_sections":'), flag(i % 3 == 0),
+        F.lit(',"number_offset":'), (i % 2).cast("string"), F.lit(',"ascii":'), flag(i % 7 == 0),
+        F.lit(',"eol":"'), F.when(i % 5 == 0, F.lit("crlf")).otherwise(F.lit("lf")), F.lit('"}'))
+    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
+                    conv, F.lit("}"))
+    return md.select(i.alias("request_id"), body.alias("body"))
+
+
+@query
+def convert_options(spark, sf_dir):
+    from quire.sources.requests import parse_requests
+
+    out = C.convert_job(parse_requests(option_request_bodies(spark, sf_dir)))
+    return out.select("request_id", F.col("code").cast("bigint").alias("code"),
+                      F.md5("outcome.result.data").alias("data_md5"))
