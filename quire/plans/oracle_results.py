@@ -141,3 +141,37 @@ _ASCII = S.zip_tokens(OPT_RENDERED, "doc_id, r", "r", NON_ASCII_RE, S.char_ref("
 SQL["convert_options"] = f"""SELECT doc_id AS request_id, CAST(0 AS BIGINT) AS code,
   md5(CASE WHEN doc_id % 5 = 0 THEN {S.eol_crlf('t')} ELSE t END) AS data_md5
   FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN a ELSE r END AS t FROM {_ASCII})"""
+
+# toc items (block_no 0, in heading order) go before the blocks of every even request, whatever the output
+_TOC = f"""(SELECT doc_id, 0 AS block_no, block_no AS ord2, 'item' AS kind, level, repeat('  ', level - 1) || text AS text
+  FROM {_MD_BLOCKS} WHERE kind = 'heading' AND level <= 2 AND doc_id % 2 = 0)"""
+_ALL = f"""(SELECT doc_id, block_no, block_no AS ord2, kind, level, text FROM {_MD_BLOCKS}
+  UNION ALL SELECT * FROM {_TOC})"""
+# markdown rows: paragraph lines joined for wrap none
+_MD_OPT = f"""(SELECT doc_id, block_no, ord2, kind, level,
+    CASE WHEN kind = 'para' AND doc_id % 4 = 1 THEN replace(text, chr(10), ' ') ELSE text END AS text
+  FROM {_ALL} WHERE doc_id % 3 <> 0)"""
+_MD_OUT = f"""(SELECT doc_id, coalesce(string_agg({S.markdown_piece(True)}, {S.NL2} ORDER BY block_no, ord2)
+    FILTER (WHERE text <> ''), '') AS content FROM {_MD_OPT} GROUP BY doc_id)"""
+# html rows: ids on the non-empty headings when the id is even
+_SLUGGED = f"""(SELECT *, CASE WHEN s3 = '' THEN 'section' ELSE s3 END AS slug
+  FROM (SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '[^a-z0-9_ -]', '', 'g')), ' +',
+          '-', 'g'), '^[^a-z]+', '') AS s3 FROM {_ALL} WHERE doc_id % 3 = 0 AND text <> ''))"""
+_IDS = f"""(SELECT *, CASE WHEN kind = 'heading' AND doc_id % 2 = 0 THEN 'x-' || CASE WHEN n = 0 THEN slug
+      ELSE slug || '-' || CAST(n AS VARCHAR) END END AS hid
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind = 'heading', slug ORDER BY block_no, ord2) - 1 AS n
+        FROM {_SLUGGED}))"""
+_ESC = S.html_escape("text")
+_HTML_OUT = f"""(SELECT doc_id, coalesce(string_agg(piece, chr(10) ORDER BY block_no, ord2), '') AS content FROM (
+    SELECT doc_id, block_no, ord2,
+      CASE WHEN kind = 'item' AND coalesce(prev_k, '') <> 'item' THEN '<ul>' || chr(10) ELSE '' END ||
+      CASE WHEN kind = 'heading' THEN '<h' || level || CASE WHEN hid IS NULL THEN '' ELSE ' id="'
+             || {S.html_escape('hid')} || '"' END || '>' || {_ESC} || '</h' || level || '>'
+           WHEN kind = 'item' THEN '<li>' || {_ESC} || '</li>' ELSE '<p>' || {_ESC} || '</p>' END ||
+      CASE WHEN kind = 'item' AND coalesce(next_k, '') <> 'item' THEN chr(10) || '</ul>' ELSE '' END AS piece
+    FROM (SELECT *, lag(kind) OVER w AS prev_k, lead(kind) OVER w AS next_k FROM {_IDS}
+          WINDOW w AS (PARTITION BY doc_id ORDER BY block_no, ord2)))
+  GROUP BY doc_id)"""
+SQL["convert_options_2"] = f"""SELECT d.doc_id AS request_id, CAST(0 AS BIGINT) AS code,
+  md5(CASE WHEN d.doc_id % 3 = 0 THEN coalesce(h.content, '') ELSE coalesce(m.content, '') END) AS data_md5
+  FROM documents d LEFT JOIN {_MD_OUT} m ON m.doc_id = d.doc_id LEFT JOIN {_HTML_OUT} h ON h.doc_id = d.doc_id"""

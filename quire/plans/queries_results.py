@@ -183,3 +183,29 @@ def convert_options(spark, sf_dir):
     out = C.convert_job(parse_requests(option_request_bodies(spark, sf_dir)))
     return out.select("request_id", F.col("code").cast("bigint").alias("code"),
                       F.md5("outcome.result.data").alias("data_md5"))
+
+
+def option_request_bodies_2(spark, sf_dir):
+    """Requests over the markdown documents: to html when id % 3 = 0 (heading ids with prefix ``x-`` when id is even),
+    else markdown with atx headings, a toc of depth 2 when id is even, and wrap none when id % 4 = 1."""
+    md = X.markdown_docs(spark, sf_dir)
+    i = F.col("doc_id")
+    flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    conv = F.concat(
+        F.lit('{"from":"markdown","to":"'), F.when(i % 3 == 0, F.lit("html")).otherwise(F.lit("markdown")),
+        F.lit('","atx_headers":true,"toc":'), flag(i % 2 == 0), F.lit(',"toc_depth":2,"id_prefix":"'),
+        F.when(i % 2 == 0, F.lit("x-")).otherwise(F.lit("")), F.lit('","wrap":"'),
+        F.when(i % 4 == 1, F.lit("none")).otherwise(F.lit("preserve")), F.lit('"}'))
+    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
+                    conv, F.lit("}"))
+    return md.select(i.alias("request_id"), body.alias("body"))
+
+
+@query
+def convert_options_2(spark, sf_dir):
+    from quire.sources.requests import parse_requests
+
+    out = C.convert_job(parse_requests(option_request_bodies_2(spark, sf_dir)))
+    return out.select("request_id", F.col("code").cast("bigint").alias("code"),
+                      F.md5("outcome.result.data").alias("data_md5"))
