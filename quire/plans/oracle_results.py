@@ -175,3 +175,41 @@ _HTML_OUT = f"""(SELECT doc_id, coalesce(string_agg(piece, chr(10) ORDER BY bloc
 SQL["convert_options_2"] = f"""SELECT d.doc_id AS request_id, CAST(0 AS BIGINT) AS code,
   md5(CASE WHEN d.doc_id % 3 = 0 THEN coalesce(h.content, '') ELSE coalesce(m.content, '') END) AS data_md5
   FROM documents d LEFT JOIN {_MD_OUT} m ON m.doc_id = d.doc_id LEFT JOIN {_HTML_OUT} h ON h.doc_id = d.doc_id"""
+
+# html with sections: shifted levels (base 2 when id % 5 = 0), numbers when the id is even, sections closed by count
+_SHIFTED = f"""(SELECT doc_id, block_no, CASE WHEN kind = 'heading' AND doc_id % 5 = 0 AND level + 1 > 6 THEN 'para'
+      ELSE kind END AS kind,
+    CASE WHEN kind = 'heading' AND doc_id % 5 = 0 AND level + 1 > 6 THEN 0
+         WHEN kind = 'heading' AND doc_id % 5 = 0 THEN level + 1 ELSE level END AS level, text FROM {_MD_BLOCKS})"""
+_CUMS3 = ", ".join(f"sum(CASE WHEN kind = 'heading' AND level = {k} THEN 1 ELSE 0 END) OVER ({_RUN}) AS cum{k}"
+                   for k in range(1, 7))
+_NUM3 = ("array_to_string(list_slice([CAST(cum1 AS VARCHAR), " +
+         ", ".join(f"CAST(cum{k} - base{k} AS VARCHAR)" for k in range(2, 7)) + "], 1, level), '.')")
+_NUMBERED = f"""(SELECT doc_id, block_no, kind, level,
+    CASE WHEN kind = 'heading' AND doc_id % 2 = 0 THEN {_NUM3} || ' ' || text ELSE text END AS text
+  FROM (SELECT *, {_BASES} FROM (SELECT *, {_CUMS3} FROM {_SHIFTED})))"""
+_KEPT = f"(SELECT * FROM {_NUMBERED} WHERE text <> '')"
+_HEADS = f"(SELECT doc_id, block_no, level FROM {_KEPT} WHERE kind = 'heading')"
+_CLOSES = f"""(SELECT j.doc_id, j.block_no, count(t.block_no) AS closes FROM {_HEADS} j
+  LEFT JOIN {_HEADS} t ON t.doc_id = j.doc_id AND t.block_no < j.block_no AND t.level >= j.level
+    AND NOT EXISTS (SELECT 1 FROM {_HEADS} c WHERE c.doc_id = j.doc_id AND c.block_no > t.block_no
+                    AND c.block_no < j.block_no AND c.level <= t.level)
+  GROUP BY j.doc_id, j.block_no)"""
+_OPEN_END = f"""(SELECT t.doc_id, count(*) AS open_end FROM {_HEADS} t
+  WHERE NOT EXISTS (SELECT 1 FROM {_HEADS} c WHERE c.doc_id = t.doc_id AND c.block_no > t.block_no
+                    AND c.level <= t.level) GROUP BY t.doc_id)"""
+_SEC_HTML = f"""(SELECT k.doc_id, coalesce(string_agg(piece, chr(10) ORDER BY k.block_no), '') AS content FROM (
+    SELECT b.doc_id, b.block_no,
+      CASE WHEN kind = 'item' AND coalesce(prev_k, '') <> 'item' THEN '<ul>' || chr(10) ELSE '' END ||
+      CASE WHEN kind = 'heading' THEN repeat('</section>' || chr(10), CAST(c.closes AS INTEGER)) || '<section>'
+             || chr(10) || '<h' || level || '>' || {_ESC} || '</h' || level || '>'
+           WHEN kind = 'item' THEN '<li>' || {_ESC} || '</li>' ELSE '<p>' || {_ESC} || '</p>' END ||
+      CASE WHEN kind = 'item' AND coalesce(next_k, '') <> 'item' THEN chr(10) || '</ul>' ELSE '' END AS piece
+    FROM (SELECT *, lag(kind) OVER w AS prev_k, lead(kind) OVER w AS next_k FROM {_KEPT}
+          WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)) b
+    LEFT JOIN {_CLOSES} c ON c.doc_id = b.doc_id AND c.block_no = b.block_no) k
+  GROUP BY k.doc_id)"""
+SQL["convert_options_3"] = f"""SELECT d.doc_id AS request_id, CAST(0 AS BIGINT) AS code,
+  md5(coalesce(h.content, '') || repeat(chr(10) || '</section>', CAST(coalesce(o.open_end, 0) AS INTEGER)))
+    AS data_md5
+  FROM documents d LEFT JOIN {_SEC_HTML} h ON h.doc_id = d.doc_id LEFT JOIN {_OPEN_END} o ON o.doc_id = d.doc_id"""

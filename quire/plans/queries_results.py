@@ -209,3 +209,27 @@ def convert_options_2(spark, sf_dir):
     out = C.convert_job(parse_requests(option_request_bodies_2(spark, sf_dir)))
     return out.select("request_id", F.col("code").cast("bigint").alias("code"),
                       F.md5("outcome.result.data").alias("data_md5"))
+
+
+def option_request_bodies_3(spark, sf_dir):
+    """Requests over the markdown documents to html with section_divs; number_sections when the id is even and
+    base_header_level 2 when id % 5 = 0."""
+    md = X.markdown_docs(spark, sf_dir)
+    i = F.col("doc_id")
+    flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    conv = F.concat(
+        F.lit('{"from":"markdown","to":"html","section_divs":true,"number_sections":'), flag(i % 2 == 0),
+        F.lit(',"base_header_level":'), F.when(i % 5 == 0, F.lit("2")).otherwise(F.lit("0")), F.lit("}"))
+    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
+                    conv, F.lit("}"))
+    return md.select(i.alias("request_id"), body.alias("body"))
+
+
+@query
+def convert_options_3(spark, sf_dir):
+    from quire.sources.requests import parse_requests
+
+    out = C.convert_job(parse_requests(option_request_bodies_3(spark, sf_dir)))
+    return out.select("request_id", F.col("code").cast("bigint").alias("code"),
+                      F.md5("outcome.result.data").alias("data_md5"))
