@@ -213,3 +213,24 @@ SQL["convert_options_3"] = f"""SELECT d.doc_id AS request_id, CAST(0 AS BIGINT)
   md5(coalesce(h.content, '') || repeat(chr(10) || '</section>', CAST(coalesce(o.open_end, 0) AS INTEGER)))
     AS data_md5
   FROM documents d LEFT JOIN {_SEC_HTML} h ON h.doc_id = d.doc_id LEFT JOIN {_OPEN_END} o ON o.doc_id = d.doc_id"""
+
+# input and output text stages
+from quire.operators.normalize import COMMENT_RE, EMAIL_RE  # noqa: E402
+
+_MARKED = f"""(SELECT doc_id, '<ins>ADD</ins><del>DEL</del> <!-- note --> '
+    || regexp_replace(content, '^([^ \\n]*) ', '\\1' || chr(9)) AS content FROM {MD_DOCS})"""
+_S1 = f"""(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(content, {S.q(COMMENT_RE)}, '', 'g')
+    ELSE content END AS c1 FROM {_MARKED})"""
+_S2 = f"""(SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {S.track('c1', 'accept')} WHEN doc_id % 4 = 1
+    THEN {S.track('c1', 'reject')} ELSE c1 END AS c2 FROM {_S1})"""
+_S3 = f"""(SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN c2 ELSE {S.expand_tabs('c2')} END AS content FROM {_S2})"""
+_B4 = f"""(SELECT doc_id, block_no, kind, level,
+    CASE WHEN kind = 'para' AND doc_id % 2 = 0 AND doc_id % 7 = 0 THEN {S.wrap_auto('text', 40)} ELSE text END
+      AS text FROM {S.markdown_blocks(_S3)})"""
+_R4 = f"""(SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN coalesce(m.content, '') ELSE coalesce(h.content, '') END AS r
+  FROM documents d LEFT JOIN {S.render_markdown_agg(_B4, atx=False)} m ON m.doc_id = d.doc_id
+  LEFT JOIN {S.render_html_agg(_B4)} h ON h.doc_id = d.doc_id)"""
+_ENC = f"array_to_string(list_transform(string_split(tk, ''), lambda c: {S.char_ref('c')}), '')"
+_E4 = S.zip_tokens(_R4, "doc_id, r", "r", EMAIL_RE, _ENC, "e")
+SQL["convert_options_4"] = f"""SELECT doc_id AS request_id, CAST(0 AS BIGINT) AS code,
+  md5(CASE WHEN doc_id % 2 = 1 AND doc_id % 5 = 0 THEN e ELSE r END) AS data_md5 FROM {_E4}"""

@@ -233,3 +233,38 @@ def convert_options_3(spark, sf_dir):
     out = C.convert_job(parse_requests(option_request_bodies_3(spark, sf_dir)))
     return out.select("request_id", F.col("code").cast("bigint").alias("code"),
                       F.md5("outcome.result.data").alias("data_md5"))
+
+
+def marked_docs(spark, sf_dir):
+    """markdown documents with a tracked change and a comment in front and the first blank turned into a tab."""
+    md = X.markdown_docs(spark, sf_dir)
+    c = F.concat(F.lit("<ins>ADD</ins><del>DEL</del> <!-- note --> "), F.regexp_replace("content", "^([^ \n]*) ", "$1\t"))
+    return md.select("doc_id", c.alias("content"))
+
+
+def option_request_bodies_4(spark, sf_dir):
+    """to markdown (even ids) or html; strip_comments (id % 3 = 0); track_changes accept (id % 4 = 0) or reject
+    (id % 4 = 1); e-mail references (id % 5 = 0); wrap auto at 40 columns (id % 7 = 0); preserve_tabs (id % 11 = 0)."""
+    md = marked_docs(spark, sf_dir)
+    i = F.col("doc_id")
+    flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    track = F.when(i % 4 == 0, F.lit("accept")).when(i % 4 == 1, F.lit("reject")).otherwise(F.lit("all"))
+    conv = F.concat(
+        F.lit('{"from":"markdown","to":"'), F.when(i % 2 == 0, F.lit("markdown")).otherwise(F.lit("html")),
+        F.lit('","strip_comments":'), flag(i % 3 == 0), F.lit(',"track_changes":"'), track,
+        F.lit('","email_obfuscation":"'), F.when(i % 5 == 0, F.lit("references")).otherwise(F.lit("none")),
+        F.lit('","wrap":"'), F.when(i % 7 == 0, F.lit("auto")).otherwise(F.lit("preserve")),
+        F.lit('","columns":40,"preserve_tabs":'), flag(i % 11 == 0), F.lit("}"))
+    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
+                    conv, F.lit("}"))
+    return md.select(i.alias("request_id"), body.alias("body"))
+
+
+@query
+def convert_options_4(spark, sf_dir):
+    from quire.sources.requests import parse_requests
+
+    out = C.convert_job(parse_requests(option_request_bodies_4(spark, sf_dir)))
+    return out.select("request_id", F.col("code").cast("bigint").alias("code"),
+                      F.md5("outcome.result.data").alias("data_md5"))
