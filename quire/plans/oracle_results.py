@@ -234,3 +234,41 @@ _ENC = f"array_to_string(list_transform(string_split(tk, ''), lambda c: {S.char_
 _E4 = S.zip_tokens(_R4, "doc_id, r", "r", EMAIL_RE, _ENC, "e")
 SQL["convert_options_4"] = f"""SELECT doc_id AS request_id, CAST(0 AS BIGINT) AS code,
   md5(CASE WHEN doc_id % 2 = 1 AND doc_id % 5 = 0 THEN e ELSE r END) AS data_md5 FROM {_E4}"""
+
+# html input with reference-link notes
+from quire.plans.oracle import PAGES  # noqa: E402
+from quire.plans.oracle_links import LINKS  # noqa: E402
+
+_BL5 = S.html_blocks(PAGES)
+_SEC5 = f"""(SELECT doc_id, block_no, kind, level, text,
+    sum(CASE WHEN kind = 'heading' AND level <= 1 THEN 1 ELSE 0 END) OVER ({_RUN}) AS sec FROM {_BL5})"""
+_LKS = f"""(SELECT l.doc_id, l.n, l.block_no, l.href, coalesce(s.sec, 0) AS sec FROM {LINKS} l
+  LEFT JOIN {_SEC5} s ON s.doc_id = l.doc_id AND s.block_no = l.block_no)"""
+
+
+def _notes_by(keys: str) -> str:
+    return f"""(SELECT {keys}, string_agg('[' || CAST(k AS VARCHAR) || ']: ' || href, chr(10) ORDER BY k) AS notes
+  FROM (SELECT {keys}, href, row_number() OVER (PARTITION BY {keys} ORDER BY first_n) AS k
+        FROM (SELECT {keys}, href, min(n) AS first_n FROM {_LKS} GROUP BY {keys}, href)) GROUP BY {keys})"""
+
+
+_KEPT5 = f"""(SELECT *, {S.markdown_piece(False)} AS piece,
+    block_no = max(block_no) OVER (PARTITION BY doc_id, sec) AS last_of_sec FROM {_SEC5} WHERE text <> '')"""
+_MD5 = f"""(SELECT k.doc_id, CASE
+      WHEN k.doc_id % 3 = 0 THEN concat_ws({S.NL2}, string_agg(k.piece, {S.NL2} ORDER BY k.block_no), max(dn.notes))
+      WHEN k.doc_id % 3 = 1 THEN string_agg(concat_ws({S.NL2}, k.piece, bn.notes), {S.NL2} ORDER BY k.block_no)
+      ELSE string_agg(CASE WHEN k.last_of_sec THEN concat_ws({S.NL2}, k.piece, sn.notes) ELSE k.piece END, {S.NL2}
+                      ORDER BY k.block_no) END AS content
+  FROM {_KEPT5} k
+  LEFT JOIN {_notes_by('doc_id')} dn ON dn.doc_id = k.doc_id
+  LEFT JOIN {_notes_by('doc_id, block_no')} bn ON bn.doc_id = k.doc_id AND bn.block_no = k.block_no
+  LEFT JOIN {_notes_by('doc_id, sec')} sn ON sn.doc_id = k.doc_id AND sn.sec = k.sec
+  GROUP BY k.doc_id)"""
+SQL["convert_options_5"] = f"""SELECT p.page_id AS request_id,
+  CAST(CASE WHEN failed THEN 400 ELSE 0 END AS BIGINT) AS code,
+  CASE WHEN failed THEN 'failing because there were warnings: html_unclosed' ELSE '' END AS message,
+  CASE WHEN failed THEN NULL WHEN p.page_id % 2 = 0 THEN md5(coalesce(m.content, ''))
+       ELSE md5(coalesce(t.content, '')) END AS data_md5
+  FROM (SELECT *, page_id % 4 = 3 AND NOT contains(lower(html), '</body>') AS failed FROM pages) p
+  LEFT JOIN {_MD5} m ON m.doc_id = p.page_id
+  LEFT JOIN {S.render_plain_agg(_BL5)} t ON t.doc_id = p.page_id"""

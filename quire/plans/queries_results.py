@@ -268,3 +268,29 @@ def convert_options_4(spark, sf_dir):
     out = C.convert_job(parse_requests(option_request_bodies_4(spark, sf_dir)))
     return out.select("request_id", F.col("code").cast("bigint").alias("code"),
                       F.md5("outcome.result.data").alias("data_md5"))
+
+
+def option_request_bodies_5(spark, sf_dir):
+    """Pages as inline html requests with reference_links: to markdown (even ids) or plain; reference_location by
+    id % 3 (document, block, section); fail_if_warnings when id % 4 = 3."""
+    pg = X.pages_docs(spark, sf_dir)
+    i = F.col("doc_id")
+    flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    loc = F.when(i % 3 == 0, F.lit("document")).when(i % 3 == 1, F.lit("block")).otherwise(F.lit("section"))
+    conv = F.concat(
+        F.lit('{"from":"html","to":"'), F.when(i % 2 == 0, F.lit("markdown")).otherwise(F.lit("plain")),
+        F.lit('","reference_links":true,"reference_location":"'), loc, F.lit('","fail_if_warnings":'),
+        flag(i % 4 == 3), F.lit("}"))
+    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
+                    conv, F.lit("}"))
+    return pg.select(i.alias("request_id"), body.alias("body"))
+
+
+@query
+def convert_options_5(spark, sf_dir):
+    from quire.sources.requests import parse_requests
+
+    out = C.convert_job(parse_requests(option_request_bodies_5(spark, sf_dir)))
+    return out.select("request_id", F.col("code").cast("bigint").alias("code"), "message",
+                      F.md5("outcome.result.data").alias("data_md5"))
