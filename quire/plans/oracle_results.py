@@ -272,3 +272,14 @@ SQL["convert_options_5"] = f"""SELECT p.page_id AS request_id,
   FROM (SELECT *, page_id % 4 = 3 AND NOT contains(lower(html), '</body>') AS failed FROM pages) p
   LEFT JOIN {_MD5} m ON m.doc_id = p.page_id
   LEFT JOIN {S.render_plain_agg(_BL5)} t ON t.doc_id = p.page_id"""
+
+# standalone through the job's document template, variables from the request
+_MDB6 = S.markdown_blocks(MD_DOCS)
+_TITLE = """CASE WHEN d.doc_id % 2 = 0 THEN CASE WHEN d.doc_id % 5 = 0 THEN 'P - ' ELSE '' END || 'T'
+  || CAST(d.doc_id AS VARCHAR) WHEN d.doc_id % 5 = 0 THEN 'P' ELSE '' END"""
+SQL["convert_options_6"] = f"""SELECT d.doc_id AS request_id, CAST(0 AS BIGINT) AS code,
+  md5({_TITLE} || '|' || CASE WHEN d.doc_id % 3 = 0 THEN 'a' || CAST(d.doc_id % 3 AS VARCHAR) || ', b' ELSE '' END
+      || '|' || CASE WHEN d.doc_id % 3 = 0 THEN d.lang ELSE 'none' END || '|'
+      || CASE WHEN d.doc_id % 2 = 0 THEN coalesce(m.content, '') ELSE coalesce(h.content, '') END) AS data_md5
+  FROM documents d LEFT JOIN {S.render_markdown_agg(_MDB6, atx=False)} m ON m.doc_id = d.doc_id
+  LEFT JOIN {S.render_html_agg(_MDB6)} h ON h.doc_id = d.doc_id"""

@@ -294,3 +294,36 @@ def convert_options_5(spark, sf_dir):
     out = C.convert_job(parse_requests(option_request_bodies_5(spark, sf_dir)))
     return out.select("request_id", F.col("code").cast("bigint").alias("code"), "message",
                       F.md5("outcome.result.data").alias("data_md5"))
+
+
+DOC_TEMPLATE = "$title$|$for(author)$$author$$sep$, $endfor$|$if(lang)$$lang$$else$none$endif$|$body$"
+
+
+def option_request_bodies_6(spark, sf_dir):
+    """Standalone markdown documents rendered through a job-level document template: variable title (even ids),
+    metadata authors and lang (id % 3 = 0), title_prefix P (id % 5 = 0); to markdown (even) or html."""
+    md = X.markdown_docs(spark, sf_dir)
+    i = F.col("doc_id")
+    var = F.when(i % 2 == 0, F.concat(F.lit('{"title":"T'), i.cast("string"), F.lit('"}'))).otherwise(F.lit("{}"))
+    meta = F.when(i % 3 == 0, F.concat(F.lit('{"author":["a'), (i % 3).cast("string"), F.lit('","b"],"lang":["'),
+                                       F.col("lang"), F.lit('"]}'))).otherwise(F.lit("{}"))
+    conv = F.concat(
+        F.lit('{"from":"markdown","to":"'), F.when(i % 2 == 0, F.lit("markdown")).otherwise(F.lit("html")),
+        F.lit('","standalone":true,"variable":'), var, F.lit(',"metadata":'), meta, F.lit(',"title_prefix":"'),
+        F.when(i % 5 == 0, F.lit("P")).otherwise(F.lit("")), F.lit('"}'))
+    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
+                    conv, F.lit("}"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return md.join(docs, "doc_id").select(i.alias("request_id"), body.alias("body"))
+
+
+@query
+def convert_options_6(spark, sf_dir):
+    from quire.model import JobConfig
+    from quire.sources.requests import parse_requests
+
+    out = C.convert_job(parse_requests(option_request_bodies_6(spark, sf_dir)),
+                        JobConfig(document_template=DOC_TEMPLATE))
+    return out.select("request_id", F.col("code").cast("bigint").alias("code"),
+                      F.md5("outcome.result.data").alias("data_md5"))
