@@ -283,3 +283,25 @@ SQL["convert_options_6"] = f"""SELECT d.doc_id AS request_id, CAST(0 AS BIGINT)
       || CASE WHEN d.doc_id % 2 = 0 THEN coalesce(m.content, '') ELSE coalesce(h.content, '') END) AS data_md5
   FROM documents d LEFT JOIN {S.render_markdown_agg(_MDB6, atx=False)} m ON m.doc_id = d.doc_id
   LEFT JOIN {S.render_html_agg(_MDB6)} h ON h.doc_id = d.doc_id"""
+
+# extract_media in the job (per-row folder and default extension), built-in standalone page with css
+from quire.operators.media import INLINE_URI_RE  # noqa: E402
+from quire.plans.oracle_links import MEDIA_DOCS, ext as _mime_ext  # noqa: E402
+
+_MDB7 = S.markdown_blocks(MEDIA_DOCS)
+_CSS = "'<link rel=\"stylesheet\" href=\"s.css\">'"
+_R7 = f"""(SELECT d.doc_id,
+    CASE WHEN d.doc_id % 3 = 0 THEN 'm' WHEN d.doc_id % 3 = 1 THEN 'media/sub/' ELSE '' END AS dir__,
+    CASE WHEN d.doc_id % 5 = 0 THEN 'dat' ELSE 'bin' END AS ext__,
+    CASE WHEN d.doc_id % 2 = 0 THEN coalesce(m.content, '')
+         WHEN d.doc_id % 7 = 0 THEN {page("''", _CSS, "coalesce(h.content, '')")}
+         ELSE coalesce(h.content, '') END AS r
+  FROM documents d LEFT JOIN {S.render_markdown_agg(_MDB7, atx=False)} m ON m.doc_id = d.doc_id
+  LEFT JOIN {S.render_html_agg(_MDB7)} h ON h.doc_id = d.doc_id)"""
+_U7 = S.q(INLINE_URI_RE)
+_TYPE = f"regexp_extract(tk, {_U7}, 1)"
+_REF7 = (f"rtrim(dir__, '/') || '/' || md5(from_base64(regexp_extract(tk, {_U7}, 2))) || "
+         f"coalesce(nullif(replace({_mime_ext(_TYPE)}, '.bin', ''), ''), '.' || ext__)")
+_X7 = S.zip_tokens(_R7, "doc_id, dir__, ext__, r", "r", INLINE_URI_RE, _REF7, "x")
+SQL["convert_options_7"] = f"""SELECT doc_id AS request_id, CAST(0 AS BIGINT) AS code,
+  md5(CASE WHEN dir__ <> '' AND len(regexp_extract_all(r, {_U7}, 0)) > 0 THEN x ELSE r END) AS data_md5 FROM {_X7}"""

@@ -327,3 +327,33 @@ def convert_options_6(spark, sf_dir):
                         JobConfig(document_template=DOC_TEMPLATE))
     return out.select("request_id", F.col("code").cast("bigint").alias("code"),
                       F.md5("outcome.result.data").alias("data_md5"))
+
+
+def option_request_bodies_7(spark, sf_dir):
+    """Documents with two inline images as markdown requests: to markdown (even) or html; extract_media into ``m``
+    (id % 3 = 0) or ``media/sub/`` (id % 3 = 1); default_image_extension dat (id % 5 = 0); html pages standalone
+    with a css link when id % 7 = 0."""
+    from quire.plans.queries_links import media_docs
+
+    md = media_docs(spark, sf_dir)
+    i = F.col("doc_id")
+    flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    conv = F.concat(
+        F.lit('{"from":"markdown","to":"'), F.when(i % 2 == 0, F.lit("markdown")).otherwise(F.lit("html")),
+        F.lit('","extract_media":"'), F.when(i % 3 == 0, F.lit("m")).when(i % 3 == 1, F.lit("media/sub/"))
+        .otherwise(F.lit("")), F.lit('","default_image_extension":"'),
+        F.when(i % 5 == 0, F.lit("dat")).otherwise(F.lit("")), F.lit('","standalone":'), flag(i % 7 == 0),
+        F.lit(',"css":"s.css"}'))
+    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
+                    conv, F.lit("}"))
+    return md.select(i.alias("request_id"), body.alias("body"))
+
+
+@query
+def convert_options_7(spark, sf_dir):
+    from quire.sources.requests import parse_requests
+
+    out = C.convert_job(parse_requests(option_request_bodies_7(spark, sf_dir)))
+    return out.select("request_id", F.col("code").cast("bigint").alias("code"),
+                      F.md5("outcome.result.data").alias("data_md5"))
