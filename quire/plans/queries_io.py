@@ -90,3 +90,32 @@ def read_requests_stream(spark, sf_dir):
          .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{run}/out").drop("batch_id")
+
+
+@query
+def convert_with_files(spark, sf_dir):
+    """The conversion job with file options: benchmark texts are written as one file per item under a fresh scratch
+    folder (the safe folder of the job); every markdown document request includes item ``id % 40`` before its body
+    and, when id % 3 = 0, in the page head; html standalone output."""
+    from quire.model import JobConfig
+
+    run = _run_dir(spark, "incl")
+    table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(f"{run}/files")
+    files = FS.file_table(spark, f"{run}/files")
+    listing = files.select(F.regexp_extract("f_path", r"item_id=([0-9]+)", 1).cast("bigint").alias("item"),
+                           F.col("f_path").alias("path"))
+    md = X.markdown_docs(spark, sf_dir)
+    i = F.col("doc_id")
+    j = md.join(listing, (i % 40) == F.col("item"))
+    head = F.when(i % 3 == 0, F.concat(F.lit(',"include_in_header":"file://'), F.col("path"), F.lit('"')))
+    conv = F.concat(F.lit('{"from":"markdown","to":"html","standalone":true,"include_before_body":"'), F.col("path"),
+                    F.lit('"'), F.coalesce(head, F.lit("")), F.lit("}"))
+    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
+                    conv, F.lit("}"))
+    from quire.sources.requests import parse_requests
+
+    reqs = parse_requests(j.select(i.alias("request_id"), body.alias("body")))
+    out = C.convert_job(reqs, JobConfig(safe_dir=f"{run}/files"), files=files)
+    return out.select("request_id", F.col("code").cast("bigint").alias("code"),
+                      F.md5("outcome.result.data").alias("data_md5"))

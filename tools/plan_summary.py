@@ -15,7 +15,7 @@ from quire.session import local_session  # noqa: E402
 KINDS = ["Exchange hashpartitioning", "Exchange RoundRobin", "BroadcastExchange", "SortMergeJoin",
          "BroadcastHashJoin", "ShuffledHashJoin", "Window", "HashAggregate", "ObjectHashAggregate",
          "SortAggregate", "Generate", "FileScan", "Union", "EvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"]
-SKIP = {"convert_stream", "write_documents", "fetch_files", "read_requests_stream"}
+SKIP = {"convert_stream", "write_documents", "fetch_files", "read_requests_stream", "convert_with_files"}
 
 
 def main():
