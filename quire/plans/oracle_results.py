@@ -305,3 +305,16 @@ _REF7 = (f"rtrim(dir__, '/') || '/' || md5(from_base64(regexp_extract(tk, {_U7},
 _X7 = S.zip_tokens(_R7, "doc_id, dir__, ext__, r", "r", INLINE_URI_RE, _REF7, "x")
 SQL["convert_options_7"] = f"""SELECT doc_id AS request_id, CAST(0 AS BIGINT) AS code,
   md5(CASE WHEN dir__ <> '' AND len(regexp_extract_all(r, {_U7}, 0)) > 0 THEN x ELSE r END) AS data_md5 FROM {_X7}"""
+
+# self_contained: the original documents for rows with the option, the M1-rewritten ones for the others
+from quire.plans.oracle_links import _MEDIA_REF  # noqa: E402
+
+_REWRITTEN = S.zip_tokens(f"(SELECT doc_id, content AS c FROM {MEDIA_DOCS})", "doc_id, c", "c", INLINE_URI_RE,
+                          _MEDIA_REF.replace("'media/'", "'m/'"), "r")
+_SC_SRC = f"""(SELECT doc_id, CASE WHEN doc_id % 3 <> 0 OR len(regexp_extract_all(c, {_U7}, 0)) = 0 THEN c ELSE r END
+    AS content FROM {_REWRITTEN})"""
+_SC_BLOCKS = S.markdown_blocks(_SC_SRC)
+SQL["convert_self_contained"] = f"""SELECT d.doc_id AS request_id, CAST(0 AS BIGINT) AS code,
+  md5(CASE WHEN d.doc_id % 2 = 0 THEN coalesce(m.content, '') ELSE coalesce(h.content, '') END) AS data_md5
+  FROM documents d LEFT JOIN {S.render_markdown_agg(_SC_BLOCKS, atx=False)} m ON m.doc_id = d.doc_id
+  LEFT JOIN {S.render_html_agg(_SC_BLOCKS)} h ON h.doc_id = d.doc_id"""

@@ -357,3 +357,26 @@ def convert_options_7(spark, sf_dir):
     out = C.convert_job(parse_requests(option_request_bodies_7(spark, sf_dir)))
     return out.select("request_id", F.col("code").cast("bigint").alias("code"),
                       F.md5("outcome.result.data").alias("data_md5"))
+
+
+@query
+def convert_self_contained(spark, sf_dir):
+    """M1 then the job with self_contained: the corpus media are extracted (rewritten documents + resource table);
+    converting the rewritten documents with self_contained (id % 3 <> 0) must give the conversion of the original
+    documents, the others keep the references. to markdown (even) or html."""
+    from quire.operators import media as M
+    from quire.plans.queries_links import media_docs
+    from quire.sources.requests import parse_requests
+
+    rewritten, resources = M.extract_media(media_docs(spark, sf_dir), media_dir="m")
+    i = F.col("doc_id")
+    flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    conv = F.concat(F.lit('{"from":"markdown","to":"'), F.when(i % 2 == 0, F.lit("markdown")).otherwise(F.lit("html")),
+                    F.lit('","self_contained":'), flag(i % 3 != 0), F.lit("}"))
+    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
+                    conv, F.lit("}"))
+    reqs = parse_requests(rewritten.select(i.alias("request_id"), body.alias("body")))
+    out = C.convert_job(reqs, resources=resources)
+    return out.select("request_id", F.col("code").cast("bigint").alias("code"),
+                      F.md5("outcome.result.data").alias("data_md5"))
