@@ -183,3 +183,21 @@ def test_inrow_outline_equals_table_outline(spark, heads):
                    .alias("i")).first()
     assert r.n == table_nums
     assert r.i == table_ids
+
+
+def test_cluster_conf_applies(spark):
+    """Every cluster setting is accepted by the session and reads back (restored afterwards: the session is shared)."""
+    from quire.session import CLUSTER_CONF, apply_cluster_conf
+
+    before = {k: spark.conf.get(k, None) for k in CLUSTER_CONF}
+    try:
+        apply_cluster_conf(spark)
+        for k, v in CLUSTER_CONF.items():
+            got = spark.conf.get(k)
+            assert got is not None and (got == v or got.lower().startswith(v.rstrip("m").lower())), (k, got)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
