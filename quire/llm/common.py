@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,12 @@ def ascii_lower(c: Column) -> Column:
 
 def blank_words(c: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order (array of string)."""
-    return F.array_remove(F.split(F.translate(c, BLANKS, " " * len(BLANKS)), " ", -1), "")
+    return F.array_remove(F.split(c, r"[\x20\x09-\x0D]+", -1), "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def sha256_hex(c: Column) -> Column:
