@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quire.llm import op2_byte_bpe, op4_id_planes, op6_quality_rules, op9_sharding
+from quire.llm import op2_byte_bpe, op3_decontamination, op4_id_planes, op6_quality_rules, op9_sharding
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe.op2_byte_bpe,
+    "op3_decontamination": op3_decontamination.op3_decontamination,
     "op4_id_planes": op4_id_planes.op4_id_planes,
     "op6_quality_rules": op6_quality_rules.op6_quality_rules,
     "op9_sharding": op9_sharding.op9_sharding,
 }
 SQL = {
+    "op3_decontamination": op3_decontamination.SQL,
     "op6_quality_rules": op6_quality_rules.SQL,
     "op9_sharding": op9_sharding.SQL,
 }
