@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import op2_byte_bpe, op3_decontamination, op4_id_planes, op6_quality_rules, op9_sharding
+from quire.llm import op2_byte_bpe, op3_decontamination, op4_id_planes, op6_quality_rules, op9_sharding, op10_secrets
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe.op2_byte_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_id_planes": op4_id_planes.op4_id_planes,
     "op6_quality_rules": op6_quality_rules.op6_quality_rules,
     "op9_sharding": op9_sharding.op9_sharding,
+    "op10_secrets": op10_secrets.op10_secrets,
 }
 SQL = {
     "op3_decontamination": op3_decontamination.SQL,
