@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from quire.llm import op2_byte_bpe, op3_decontamination, op4_id_planes, op6_quality_rules, op9_sharding, op10_secrets
+from quire.llm import op2_byte_bpe, op3_decontamination, op4_id_planes, op6_quality_rules, op8_chat_format, op9_sharding, op10_secrets
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe.op2_byte_bpe,
     "op3_decontamination": op3_decontamination.op3_decontamination,
     "op4_id_planes": op4_id_planes.op4_id_planes,
     "op6_quality_rules": op6_quality_rules.op6_quality_rules,
+    "op8_chat_format": op8_chat_format.op8_chat_format,
     "op9_sharding": op9_sharding.op9_sharding,
     "op10_secrets": op10_secrets.op10_secrets,
 }
 SQL = {
     "op3_decontamination": op3_decontamination.SQL,
     "op6_quality_rules": op6_quality_rules.SQL,
+    "op8_chat_format": op8_chat_format.SQL,
     "op9_sharding": op9_sharding.SQL,
 }
