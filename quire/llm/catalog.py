@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from quire.llm import op2_byte_bpe, op3_decontamination, op4_id_planes, op6_quality_rules, op8_chat_format, op9_sharding, op10_secrets
+from quire.llm import (
+    op2_byte_bpe,
+    op3_decontamination,
+    op4_id_planes,
+    op6_quality_rules,
+    op7_crf_quality,
+    op8_chat_format,
+    op9_sharding,
+    op10_secrets,
+)
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe.op2_byte_bpe,
     "op3_decontamination": op3_decontamination.op3_decontamination,
     "op4_id_planes": op4_id_planes.op4_id_planes,
     "op6_quality_rules": op6_quality_rules.op6_quality_rules,
+    "op7_crf_quality": op7_crf_quality.op7_crf_quality,
     "op8_chat_format": op8_chat_format.op8_chat_format,
     "op9_sharding": op9_sharding.op9_sharding,
     "op10_secrets": op10_secrets.op10_secrets,
