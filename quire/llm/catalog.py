@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import (
+    op1_ngram_jaccard,
     op2_byte_bpe,
     op3_decontamination,
     op4_id_planes,
@@ -14,6 +15,7 @@ from quire.llm import (
 )
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard.op1_ngram_jaccard,
     "op2_byte_bpe": op2_byte_bpe.op2_byte_bpe,
     "op3_decontamination": op3_decontamination.op3_decontamination,
     "op4_id_planes": op4_id_planes.op4_id_planes,
