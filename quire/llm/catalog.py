@@ -7,6 +7,7 @@ from quire.llm import (
     op2_byte_bpe,
     op3_decontamination,
     op4_id_planes,
+    op5_line_dedup,
     op6_quality_rules,
     op7_crf_quality,
     op8_chat_format,
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe.op2_byte_bpe,
     "op3_decontamination": op3_decontamination.op3_decontamination,
     "op4_id_planes": op4_id_planes.op4_id_planes,
+    "op5_line_dedup": op5_line_dedup.op5_line_dedup,
     "op6_quality_rules": op6_quality_rules.op6_quality_rules,
     "op7_crf_quality": op7_crf_quality.op7_crf_quality,
     "op8_chat_format": op8_chat_format.op8_chat_format,
