@@ -1,9 +1,10 @@
 """Outline and layout operators on the in-row block array, for the conversion job.
 
 The block-table forms in ``quire.operators.outline`` are the analytics versions (rows, windows); these are the same
-definitions evaluated inside one document row, so a conversion with options still needs no shuffle. Costs are linear
-in the blocks of one document, except heading-only work (numbering, ids), which is quadratic in the number of
-headings of one document.
+definitions evaluated inside one document row, so a conversion with options still needs no shuffle. Spark evaluates the
+body of a lambda once per element and does not hoist what it captures, so everything that belongs to the whole document
+is bound once with ``let``, and headings are put back among the other blocks by a sort on their place. What is left beyond
+linear work is that sort and the copying of references where an ``aggregate`` appends to an array.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import html_escape
+from quire.functions.codecs import html_escape, let
 from quire.operators.normalize import wrap_columns
 from quire.operators.outline import MAX_LEVEL, slug
 
@@ -24,9 +25,22 @@ def _block(b, text: Column | None = None, kind: Column | None = None, level: Col
                     (text if text is not None else b["text"]).alias("text"))
 
 
-def _heading_positions(blocks: Column) -> Column:
-    pos = F.transform(blocks, lambda b, i: F.when(b["kind"] == "heading", i))
-    return F.filter(pos, lambda x: x.isNotNull())
+def _is_heading(b) -> Column:
+    return b["kind"] == "heading"
+
+
+def map_headings(blocks: Column, values, apply, other=lambda b: b) -> Column:
+    """Each heading ``h`` becomes ``apply(h, v)``, each other block ``other(b)``, in the old order. ``values``: the array of
+    headings -> the array of their values, computed once. ``apply`` and ``other`` give structs of one type."""
+    def placed(ix):
+        return let(F.filter(ix, lambda x: _is_heading(x["b"])), lambda hs: let(
+            values(F.transform(hs, lambda x: x["b"])), lambda vs: F.transform(F.sort_array(F.concat(
+                F.transform(F.filter(ix, lambda x: ~_is_heading(x["b"])), lambda x: F.struct(
+                    x["i"].alias("i"), other(x["b"]).alias("b"))),
+                F.transform(hs, lambda x, j: F.struct(x["i"].alias("i"), apply(x["b"], F.get(vs, j)).alias("b"))))),
+                lambda x: x["b"])))
+
+    return let(F.transform(blocks, lambda b, i: F.struct(i.alias("i"), b.alias("b"))), placed)
 
 
 def section_numbers(blocks: Column, offset: Column) -> Column:
@@ -49,25 +63,32 @@ def section_numbers(blocks: Column, offset: Column) -> Column:
 
 def number_headings(blocks: Column, offset: Column) -> Column:
     """number_sections: heading text becomes ``<number> <text>``."""
-    m = F.map_from_arrays(_heading_positions(blocks), section_numbers(blocks, offset))
-    return F.transform(blocks, lambda b, i: F.when(
-        b["kind"] == "heading", _block(b, F.concat(F.element_at(m, i), F.lit(" "), b["text"]))).otherwise(b))
+    return map_headings(blocks, lambda hs: section_numbers(hs, offset),
+                        lambda h, num: _block(h, F.concat(num, F.lit(" "), h["text"])))
 
 
 def heading_ids(blocks: Column, prefix: Column) -> Column:
-    """ids of the headings in order (the rule of ``outline.header_ids``): repeats get ``-1``, ``-2``."""
-    slugs = F.transform(F.filter(blocks, lambda b: b["kind"] == "heading"), lambda b: slug(b["text"]))
-    return F.transform(slugs, lambda s, j: F.concat(prefix, F.when(
-        F.size(F.filter(F.slice(slugs, 1, j), lambda x: x == s)) == 0, s).otherwise(
-        F.concat(s, F.lit("-"), F.size(F.filter(F.slice(slugs, 1, j), lambda x: x == s)).cast("string")))))
+    """ids of the headings in order (the rule of ``outline.header_ids``): repeats get ``-1``, ``-2``. Repeats are counted
+    along the sorted slugs, then put back in order."""
+    slugs = F.transform(F.filter(blocks, _is_heading), lambda b, j: F.struct(slug(b["text"]).alias("s"), j.alias("j")))
+    init = F.struct(F.lit(None).cast("string").alias("s"), F.lit(0).alias("n"),
+                    F.array().cast("array<struct<j:int,s:string,n:int>>").alias("out"))
+
+    def step(acc, x):
+        return let(F.when(acc["s"] == x["s"], acc["n"] + 1).otherwise(F.lit(0)), lambda n: F.struct(
+            x["s"].alias("s"), n.alias("n"),
+            F.concat(acc["out"], F.array(F.struct(x["j"].alias("j"), x["s"].alias("s"), n.alias("n")))).alias("out")))
+
+    return F.transform(F.sort_array(F.aggregate(F.sort_array(slugs), init, step)["out"]), lambda x: F.concat(
+        prefix, x["s"], F.when(x["n"] > 0, F.concat(F.lit("-"), x["n"].cast("string"))).otherwise(F.lit(""))))
 
 
 def with_toc(blocks: Column, depth: Column) -> Column:
-    """toc: the headings of level <= depth, as list items placed before the first block (block_no 0)."""
+    """toc: the headings of level <= depth, as list items placed before the first block (block_no -1, no block's own)."""
     entries = F.filter(blocks, lambda b: (b["kind"] == "heading") & (b["level"] <= depth))
     items = F.transform(entries, lambda b: _block(b, F.concat(F.repeat(F.lit("  "), b["level"] - 1), b["text"]),
                                                   F.lit("item"), b["level"]))
-    items = F.transform(items, lambda b: F.struct(F.lit(0).alias("block_no"), b["kind"].alias("kind"),
+    items = F.transform(items, lambda b: F.struct(F.lit(-1).alias("block_no"), b["kind"].alias("kind"),
                                                   b["level"].alias("level"), b["text"].alias("text")))
     return F.concat(items, blocks)
 
@@ -98,80 +119,76 @@ def render_html_ids(blocks: Column, prefix: Column, sections: Column | None = No
     """B7 with ``id`` attributes on headings when ``prefix`` is set (id_prefix) and, when ``sections`` holds
     (section_divs), each heading opening a ``<section>`` that ends before the next heading of the same or a higher
     level."""
+    from quire.operators.render import html_body, join_html
+
     sections = F.lit(False) if sections is None else sections
-    kept = F.filter(blocks, lambda b: b["text"] != "")
-    kinds = F.transform(kept, lambda b: b["kind"])
-    positions = _heading_positions(kept)
-    ids = F.when(prefix != "", F.map_from_arrays(positions, heading_ids(kept, prefix)))
-    levels = F.transform(F.filter(kept, lambda b: b["kind"] == "heading"), lambda b: b["level"])
-    closes = F.when(sections, section_closes(levels))
-    ordinal = F.map_from_arrays(positions, F.transform(positions, lambda p, j: j))
-    end = F.when(sections, F.repeat(F.lit("\n</section>"), F.element_at(closes, -1))).otherwise(F.lit(""))
-
-    def one(b, i):
-        n = F.size(kinds)
-        prev_item = F.when(i > 0, F.element_at(kinds, F.greatest(i, F.lit(1))) == "item").otherwise(False)
-        next_item = F.when(i + 1 < n, F.element_at(kinds, F.least(i + 2, n)) == "item").otherwise(False)
-        text = html_escape(b["text"])
-        lvl = b["level"].cast("string")
-        id_attr = F.when(prefix != "", F.concat(F.lit(' id="'), html_escape(F.element_at(ids, i)), F.lit('"'))) \
+
+    def values(hs):
+        """(id, sections closed before) of each heading."""
+        ids = F.when(prefix != "", heading_ids(hs, prefix)).otherwise(F.transform(hs, lambda h: F.lit("")))
+        closes = F.when(sections, section_closes(F.transform(hs, lambda h: h["level"]))).otherwise(
+            F.transform(hs, lambda h: F.lit(0)))
+        return F.transform(F.arrays_zip(ids.alias("id"), F.slice(closes, 1, F.size(hs)).alias("closes")), lambda x: x)
+
+    def head(h, v):
+        lvl = h["level"].cast("string")
+        id_attr = F.when(prefix != "", F.concat(F.lit(' id="'), html_escape(v["id"]), F.lit('"'))).otherwise(F.lit(""))
+        open_ = F.when(sections, F.concat(F.repeat(F.lit("</section>\n"), v["closes"]), F.lit("<section>\n"))) \
             .otherwise(F.lit(""))
-        open_ = F.when(sections, F.concat(F.repeat(F.lit("</section>\n"), F.element_at(
-            closes, F.element_at(ordinal, i) + 1)), F.lit("<section>\n"))).otherwise(F.lit(""))
-        head = F.concat(open_, F.lit("<h"), lvl, id_attr, F.lit(">"), text, F.lit("</h"), lvl, F.lit(">"))
-        body = (F.when(b["kind"] == "heading", head)
-                .when(b["kind"] == "item", F.concat(F.lit("<li>"), text, F.lit("</li>")))
-                .otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>"))))
-        is_item = b["kind"] == "item"
-        return F.concat(F.when(is_item & ~prev_item, F.lit("<ul>\n")).otherwise(F.lit("")), body,
-                        F.when(is_item & ~next_item, F.lit("\n</ul>")).otherwise(F.lit("")))
+        return F.struct(h["kind"].alias("kind"), F.concat(
+            open_, F.lit("<h"), lvl, id_attr, F.lit(">"), html_escape(h["text"]), F.lit("</h"), lvl, F.lit(">")).alias("html"))
 
-    return F.concat(F.array_join(F.transform(kept, one), "\n"), end)
+    def body(kept):
+        levels = F.transform(F.filter(kept, _is_heading), lambda b: b["level"])
+        end = F.when(sections, F.repeat(F.lit("\n</section>"), F.element_at(section_closes(levels), -1))).otherwise(F.lit(""))
+        return F.concat(join_html(map_headings(kept, values, head, html_body)), end)
+
+    return let(F.filter(blocks, lambda b: b["text"] != ""), body)
 
 
 def _notes(hrefs: Column) -> Column:
     """``[n]: href`` lines for the distinct hrefs in first-use order (NULL when there are none)."""
-    d = F.array_distinct(hrefs)
-    return F.when(F.size(d) > 0, F.array_join(F.transform(d, lambda h, i: F.concat(
-        F.lit("["), (i + 1).cast("string"), F.lit("]: "), h)), "\n"))
-
-
-def section_ordinals(blocks: Column) -> Column:
-    """Running count of level-1 headings up to each block (0 = before the first): for each block, the number of
-    level-1 heading positions at or before it (blocks x level-1 headings, no growing accumulator)."""
-    tops = F.filter(F.transform(blocks, lambda b, i: F.when((b["kind"] == "heading") & (b["level"] <= 1), i)),
-                    lambda x: x.isNotNull())
-    return F.transform(blocks, lambda b, i: F.size(F.filter(tops, lambda t: t <= i)))
+    return let(F.array_distinct(hrefs), lambda d: F.when(F.size(d) > 0, F.array_join(F.transform(d, lambda h, i: F.concat(
+        F.lit("["), (i + 1).cast("string"), F.lit("]: "), h)), "\n")))
 
 
 def render_markdown_refs(blocks: Column, links: Column, location: Column, atx: Column) -> Column:
     """B6 with reference links (L2 in the row): the distinct hrefs of the links of each scope, numbered by first use,
     are listed as ``[n]: href`` notes after the scope: the document, each section (level-1 heading) or each block.
-    ``links`` is ``link_array`` of the same HTML, so its block numbers are those of ``blocks``."""
+    ``links`` is ``link_array`` of the same HTML, so its block numbers are those of ``blocks``. Blocks and links are
+    merged by block number into one array and read in order: a link of a block that was removed counts to the section
+    it stood in, and has no block to be noted after."""
     from quire.operators.render import markdown_piece
 
-    kept = F.filter(blocks, lambda b: b["text"] != "")
     piece = lambda b: F.when(atx, markdown_piece(b, True)).otherwise(markdown_piece(b, False))
+    kept = F.filter(blocks, lambda b: b["text"] != "")
+
+    def event(no, is_link, i, top, text):
+        return F.struct(no.cast("int").alias("no"), F.lit(is_link).alias("link"), i.alias("i"), top.alias("top"), text.alias("text"))
+
+    # one event per block (its text null when empty) and per link, in order
+    events = F.sort_array(F.concat(
+        F.transform(blocks, lambda b, i: event(b["block_no"], 0, i, _is_heading(b) & (b["level"] <= 1),
+                                               F.when(b["text"] != "", piece(b)))),
+        F.transform(links, lambda lk, i: event(lk["block_no"], 1, i, F.lit(False), lk["href"]))))
+    none = F.array().cast(_STRINGS)
+    state = F.struct(none.alias("hrefs"), none.alias("out"), F.lit(None).cast("int").alias("no"))
+    noted = lambda acc: F.concat(acc["out"], F.filter(F.array(_notes(acc["hrefs"])), lambda x: x.isNotNull()))
+
+    def read(due, takes):
+        """All texts and notes in order. ``due``: whether the notes so far come before this block; ``takes``: whether a
+        link counts, given the last block's number (null when it has no text)."""
+        def step(acc, e):
+            link = F.struct(F.when(takes(acc["no"], e), F.concat(acc["hrefs"], F.array(e["text"]))).otherwise(acc["hrefs"])
+                            .alias("hrefs"), acc["out"].alias("out"), acc["no"].alias("no"))
+            block = F.struct(F.when(due(e), none).otherwise(acc["hrefs"]).alias("hrefs"), F.concat(
+                F.when(due(e), noted(acc)).otherwise(acc["out"]), F.filter(F.array(e["text"]), lambda x: x.isNotNull()))
+                .alias("out"), F.when(e["text"].isNotNull(), e["no"]).alias("no"))
+            return F.when(e["link"] == 1, link).otherwise(block)
+
+        return F.array_join(F.aggregate(events, state, step, noted), "\n\n")
+
     doc_notes = _notes(F.transform(links, lambda lk: lk["href"]))
-    by_block = F.transform(kept, lambda b: F.concat_ws("\n\n", piece(b), _notes(F.transform(
-        F.filter(links, lambda lk: lk["block_no"] == b["block_no"]), lambda lk: lk["href"]))))
-    sec = section_ordinals(blocks)
-    block_sec = F.map_from_arrays(F.transform(blocks, lambda b: b["block_no"]), sec)
-    link_sec = F.transform(links, lambda lk: F.coalesce(F.try_element_at(block_sec, lk["block_no"]), F.lit(0)))
-    kept_sec = F.transform(kept, lambda b: F.element_at(block_sec, b["block_no"]))
-
-    def sec_notes(s):
-        return _notes(F.transform(F.filter(F.arrays_zip(links.alias("l"), link_sec.alias("s")),
-                                           lambda z: z["s"] == s), lambda z: z["l"]["href"]))
-
-    def with_section_notes(b, i):
-        closes = (i + 1 < F.size(kept)) & (F.element_at(kept_sec, F.least(i + 2, F.size(kept))) !=
-                                           F.element_at(kept_sec, i + 1))
-        last = i + 1 == F.size(kept)
-        return F.when(closes | last, F.concat_ws("\n\n", piece(b), sec_notes(F.element_at(kept_sec, i + 1)))) \
-            .otherwise(piece(b))
-
-    by_section = F.transform(kept, with_section_notes)
-    return (F.when(location == "block", F.array_join(by_block, "\n\n"))
-            .when(location == "section", F.array_join(by_section, "\n\n"))
+    return (F.when(location == "block", read(lambda e: F.lit(True), lambda no, e: F.coalesce(no == e["no"], F.lit(False))))
+            .when(location == "section", read(lambda e: e["top"], lambda no, e: F.lit(True)))
             .otherwise(F.concat_ws("\n\n", F.array_join(F.transform(kept, piece), "\n\n"), doc_notes)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import html_escape
+from quire.functions.codecs import html_escape, let
 
 
 def assemble(blocks: DataFrame, key: str = "doc_id", out: str = "blocks") -> DataFrame:
@@ -54,28 +54,33 @@ def render_markdown(blocks: Column, atx: bool = True) -> Column:
     return F.array_join(F.transform(_non_empty(blocks), lambda b: markdown_piece(b, atx)), "\n\n")
 
 
+def html_body(b) -> Column:
+    """One block as (kind, html), lists not yet opened and closed."""
+    text, lvl = html_escape(b["text"]), b["level"].cast("string")
+    return F.struct(b["kind"].alias("kind"), (
+        F.when(b["kind"] == "heading", F.concat(F.lit("<h"), lvl, F.lit(">"), text, F.lit("</h"), lvl, F.lit(">")))
+        .when(b["kind"] == "item", F.concat(F.lit("<li>"), text, F.lit("</li>")))
+        .otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))).alias("html"))
+
+
+def join_html(bodies: Column) -> Column:
+    """(kind, html) in order -> the document; each run of consecutive items is wrapped in one ``<ul>``."""
+    def whole(bd):
+        def one(b, i):
+            is_item = b["kind"] == "item"
+            opens = is_item & ~F.coalesce(F.when(i > 0, F.get(bd, i - 1)["kind"] == "item"), F.lit(False))
+            ends = is_item & ~F.coalesce(F.get(bd, i + 1)["kind"] == "item", F.lit(False))
+            return F.concat(F.when(opens, F.lit("<ul>\n")).otherwise(F.lit("")), b["html"],
+                            F.when(ends, F.lit("\n</ul>")).otherwise(F.lit("")))
+
+        return F.array_join(F.transform(bd, one), "\n")
+
+    return let(bodies, whole)
+
+
 def render_html(blocks: Column) -> Column:
     """``<hN>`` / ``<p>`` with escaped text; each run of consecutive items is wrapped in one ``<ul>``."""
-    kept = _non_empty(blocks)
-    kinds = F.transform(kept, lambda b: b["kind"])
-
-    def one(b, i):
-        n = F.size(kinds)
-        prev_item = F.when(i > 0, F.element_at(kinds, F.greatest(i, F.lit(1))) == "item").otherwise(False)
-        next_item = F.when(i + 1 < n, F.element_at(kinds, F.least(i + 2, n)) == "item").otherwise(False)
-        text = html_escape(b["text"])
-        lvl = b["level"].cast("string")
-        body = (
-            F.when(b["kind"] == "heading", F.concat(F.lit("<h"), lvl, F.lit(">"), text, F.lit("</h"), lvl, F.lit(">")))
-            .when(b["kind"] == "item", F.concat(F.lit("<li>"), text, F.lit("</li>")))
-            .otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))
-        )
-        is_item = b["kind"] == "item"
-        open_ = F.when(is_item & ~prev_item, F.lit("<ul>\n")).otherwise(F.lit(""))
-        close = F.when(is_item & ~next_item, F.lit("\n</ul>")).otherwise(F.lit(""))
-        return F.concat(open_, body, close)
-
-    return F.array_join(F.transform(kept, one), "\n")
+    return join_html(F.transform(_non_empty(blocks), html_body))
 
 
 def render(blocks: Column, to: str, atx: bool = True) -> Column:

@@ -318,8 +318,9 @@ def request_vars(conv: Column, files_col: Column | None = None) -> Column:
             t = file_text(files_col, opt)
             parts.append(F.when(t.isNotNull(), F.array(F.struct(F.lit(var).alias("key"), F.array(t).alias("value"))))
                          .otherwise(F.array().cast("array<struct<key:string,value:array<string>>>")))
-    entries = F.concat(*parts)
-    keep = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, 1, i), lambda x: x["key"] == e["key"]))
+    # the first entry of a name stays
+    keep = let(F.concat(*parts), lambda es: let(F.transform(es, lambda e: e["key"]), lambda ks: F.filter(
+        es, lambda e, i: F.array_position(ks, e["key"]) == i + 1)))
     prefix = F.coalesce(conv["title_prefix"], F.lit(""))
     keep = F.transform(keep, lambda e: F.when((e["key"] == "title") & (prefix != ""), F.struct(
         e["key"].alias("key"), F.transform(e["value"], lambda v: F.concat(prefix, F.lit(" - "), v)).alias("value")))
