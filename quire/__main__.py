@@ -46,6 +46,7 @@ def main(argv: list[str] | None = None) -> None:
         s.add_argument("--out", required=True, help="output folder (Parquet outcome rows)")
         s.add_argument("--crawl", help="Parquet crawl table (url, method, status, body) or pages table")
         s.add_argument("--files", help="root folder of side files for file options")
+        s.add_argument("--resources", help="Parquet resource table (md5, content_type, data) for self_contained")
         s.add_argument("--safe-dir", default="/app")
         s.add_argument("--safe-dir-mode", default="strict", choices=("strict", "prefix"))
         s.add_argument("--enable-filter", action="store_true")
@@ -63,14 +64,15 @@ def main(argv: list[str] | None = None) -> None:
         apply_cluster_conf(spark)
     conf = _conf(args)
     options = _fetch_options(spark, args)
+    files = file_table(spark, args.files) if args.files else None
+    resources = spark.read.parquet(args.resources) if args.resources else None
     if args.cmd == "convert":
-        files = file_table(spark, args.files) if args.files else None
-        out = convert_job(read_requests(spark, args.requests), conf, options, files=files)
+        out = convert_job(read_requests(spark, args.requests), conf, options, files=files, resources=resources)
         outcome_rows(out).write.mode("overwrite").parquet(args.out)
     else:
         ckpt = args.checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/quire-stream"
         q = convert_stream(spark, args.requests, args.out, ckpt, conf, options, source_format="text",
-                           trigger_interval=args.interval)
+                           trigger_interval=args.interval, files=files, resources=resources)
         if args.interval:
             q.awaitTermination()
 

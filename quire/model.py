@@ -78,9 +78,19 @@ def message(key: str, **values) -> str:
 # Content type -> file extension.
 MIME_EXT = {
     "text/html": ".html", "text/plain": ".txt", "text/markdown": ".md", "application/pdf": ".pdf",
-    "image/png": ".png", "image/jpeg": ".jpg",
+    "image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/svg+xml": ".svg", "image/webp": ".webp",
+    "image/tiff": ".tiff", "image/bmp": ".bmp", "text/css": ".css", "text/csv": ".csv", "text/xml": ".xml",
+    "text/javascript": ".js", "application/json": ".json", "application/xml": ".xml", "application/zip": ".zip",
+    "application/epub+zip": ".epub", "application/msword": ".doc", "application/rtf": ".rtf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx",
+    "application/vnd.oasis.opendocument.text": ".odt",
 }
 
+# Ranges of the integer options; other values are option errors (rule 12). tab_stop, columns and toc_depth of 0 or less
+# stand for the default.
+INT_RANGES = {"base_header_level": (-100, 100), "number_offset": (-1_000_000_000, 1_000_000_000), "tab_stop": (-1000, 1000),
+              "columns": (-100_000, 100_000), "toc_depth": (-100, 100)}
+
 _TYPES = {
     "b": T.BooleanType(), "i": T.IntegerType(), "s": T.StringType(), "f": T.StringType(),
     "m": T.MapType(T.StringType(), T.StringType()),

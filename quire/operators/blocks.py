@@ -7,8 +7,8 @@ Two forms of the same data:
 * table: ``blocks(doc_id, block_no, kind, level, text)``, one row per block (``explode_blocks``). Operators that
   count, join or window over blocks use it; ``quire.operators.render.assemble`` puts it back in order.
 
-``kind`` is ``heading`` (level 1-6), ``item`` or ``para`` (level 0). ``block_no`` starts at 1 and keeps its gaps when
-blocks are dropped.
+``kind`` is ``heading`` (level 1-6), ``item`` or ``para`` (level 0). ``block_no`` starts at 1 (0 for HTML text before the
+first block tag) and keeps its gaps when blocks are dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from quire.sources.requests import compute_once
 BLOCK_TYPE = "array<struct<block_no:int,kind:string,level:int,text:string>>"
 
 # Fixed values of the HTML block splitter.
-HTML_BLOCK_TAGS = "h[1-6]|p|li|div|footer|nav|article|ul|td|tr"
+HTML_BLOCK_TAGS = ("h[1-6]|p|li|div|footer|nav|article|ul|td|tr|section|header|main|aside|blockquote|pre|table|th|"
+                   "ol|dl|dt|dd|hr|figure|figcaption|address|form|fieldset")
 HTML_STRIP_RE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->"
 HTML_MARK_RE = r"(?i)<(" + HTML_BLOCK_TAGS + r")\b[^>]*>"
 TAG_RE = r"<[^>]*>"
@@ -40,22 +41,20 @@ def _block(no: Column, kind: Column, level: Column, text: Column) -> Column:
 
 def html_block_array(html: Column) -> Column:
     """B1. Remove script/style/head/comments, start a block at each opening block tag, drop other tags, decode
-    character references, collapse blanks. Text before the first block tag is dropped."""
+    character references, collapse blanks. Text before the first block tag is a para, block 0."""
     s = F.regexp_replace(html, HTML_STRIP_RE, "")
     s = F.regexp_replace(s, HTML_MARK_RE, MARK + "$1" + ENDTAG)
     s = F.regexp_replace(s, TAG_RE, " ")
     s = F.regexp_replace(html_unescape(s), r"[ \t\r\n]+", " ")
-    pieces = F.filter(F.split(s, MARK, -1), lambda x, i: i > 0)
-
     def one(x, i):
-        tag = F.lower(F.substring_index(x, ENDTAG, 1))
+        tag = F.when(i > 0, F.lower(F.substring_index(x, ENDTAG, 1))).otherwise(F.lit(""))
         text = F.trim(F.substring(x, F.instr(x, ENDTAG) + 1, 1 << 30))
         is_h = tag.rlike("^h[1-6]$")
         kind = F.when(is_h, "heading").when(tag == "li", "item").otherwise("para")
         level = F.when(is_h, F.substring(tag, 2, 1).cast("int")).otherwise(0)
-        return _block(i + 1, kind, level, text)
+        return _block(i, kind, level, text)
 
-    return F.transform(pieces, one)
+    return F.filter(F.transform(F.split(s, MARK, -1), one), lambda b: (b["block_no"] > 0) | (b["text"] != ""))
 
 
 def plain_block_array(text: Column) -> Column:

@@ -1,9 +1,9 @@
 """Media extraction and embedding (M1-M3) and conversion warnings.
 
-M1 pulls ``data:`` URIs out of documents into a resource table deduplicated by content md5 over the whole corpus
-(partial aggregation before the shuffle, so a picture embedded in a million documents costs one row per task), and
-rewrites each URI to ``<dir>/<md5><ext>`` by the split/zip token pattern. M2 is the inverse. M3 resolves references
-against a file listing along a search path.
+M1 pulls ``data:`` URIs out of documents into a resource table with one row per content md5 and content type (keys are
+counted before the shuffle, so a picture embedded in a million documents costs one row per task; only one payload per key
+travels), and rewrites each URI to ``<dir>/<md5><ext>`` by the split/zip token pattern. A URI whose payload is not base64
+stays as it is. M2 is the inverse. M3 resolves references against a file listing along a search path.
 """
 
 from __future__ import annotations
@@ -36,27 +36,30 @@ def rewrite_media(text: Column, media_dir: str | Column, default_ext: str | Colu
     """M1 in the row: every inline ``data:`` URI of the text becomes ``<dir>/<md5><ext>`` (split / zip, one pass)."""
     uris = F.regexp_extract_all(text, F.lit(INLINE_URI_RE), 0)
     parts = F.split(text, INLINE_URI_RE, -1)
-    refs = F.transform(uris, lambda u: _media_ref(u, media_dir, default_ext))
+    refs = F.transform(uris, lambda u: F.coalesce(_media_ref(u, media_dir, default_ext), u))
     rewritten = F.array_join(F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     return F.when(F.size(uris) > 0, rewritten).otherwise(text)
 
 
 def extract_media(docs: DataFrame, media_dir: str = "media", default_ext: str = "bin",
                   content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """M1 -> (docs with rewritten content and ``n_media``, resources(md5, content_type, path, data, n_docs))."""
+    """M1 -> (docs with rewritten content and ``n_media``, resources(md5, content_type, path, data, n_uses)).
+
+    ``doc_id`` identifies a document. Equal bytes under two content types are two resources, as their references differ."""
     c = F.col(content)
-    uris = F.regexp_extract_all(c, F.lit(INLINE_URI_RE), 0)
+    uris = F.filter(F.regexp_extract_all(c, F.lit(INLINE_URI_RE), 0),
+                    lambda u: b64_decode(F.regexp_extract(u, INLINE_URI_RE, 2)).isNotNull())
     out = docs.select("*", F.size(uris).alias("n_media"), rewrite_media(c, media_dir, default_ext).alias("c__"))
     out = out.drop(content).withColumnRenamed("c__", content)
-    found = docs.select("doc_id", F.explode(uris).alias("uri")).select(
-        "doc_id", F.regexp_extract("uri", INLINE_URI_RE, 1).alias("content_type"),
-        b64_decode(F.regexp_extract("uri", INLINE_URI_RE, 2)).alias("data"))
-    resources = found.withColumn("md5", F.md5("data")).groupBy("md5").agg(
-        F.min("content_type").alias("content_type"), F.first("data").alias("data"),
-        F.count(F.lit(1)).alias("n_uses"),
-    )
-    resources = resources.withColumn("path", F.concat(F.lit(media_dir.rstrip("/") + "/"), F.col("md5"),
-                                                      _ext(F.col("content_type"), default_ext)))
+    found = docs.select("doc_id", F.posexplode(uris).alias("pos", "uri")).select(
+        "doc_id", "pos", F.regexp_extract("uri", INLINE_URI_RE, 1).alias("content_type"),
+        b64_decode(F.regexp_extract("uri", INLINE_URI_RE, 2)).alias("data")).withColumn("md5", F.md5("data"))
+    # the keys without their bytes first, then the bytes of one use of each
+    keys = found.groupBy("md5", "content_type").agg(F.min(F.struct("doc_id", "pos")).alias("use"),
+                                                    F.count(F.lit(1)).alias("n_uses"))
+    keys = keys.select("n_uses", F.col("use.doc_id").alias("doc_id"), F.col("use.pos").alias("pos"))
+    resources = found.join(keys, ["doc_id", "pos"]).select("md5", "content_type", "data", "n_uses", F.concat(
+        F.lit(media_dir.rstrip("/") + "/"), F.col("md5"), _ext(F.col("content_type"), default_ext)).alias("path"))
     return out, resources
 
 
@@ -66,20 +69,29 @@ ANY_MEDIA_REF_RE = r"(?:[A-Za-z0-9_.~-]+/)*([0-9a-f]{32})\.[A-Za-z0-9]+"
 def self_contained(docs: DataFrame, resources: DataFrame, media_dir: str | None = "media",
                    content: str = "content") -> DataFrame:
     """M2: every ``<dir>/<md5><ext>`` reference found in ``resources`` becomes a ``data:`` URI again
-    (``media_dir=None``: a reference in any folder). Unknown references stay as they are."""
+    (``media_dir=None``: a reference in any folder). Unknown references stay as they are. Of resources with equal bytes and
+    several content types, the one of the reference's extension is taken, else the smallest type. Rows that share
+    ``doc_id`` and content get the same result, others of one ``doc_id`` are kept apart."""
     ref_re = ANY_MEDIA_REF_RE if media_dir is None else media_dir.rstrip("/") + r"/([0-9a-f]{32})\.[A-Za-z0-9]+"
     c = F.col(content)
-    refs = docs.select("doc_id", F.posexplode(F.regexp_extract_all(c, F.lit(ref_re), 0)).alias("pos", "ref"))
+    docs = docs.withColumn("ch__", F.xxhash64(c))
+    refs = docs.select("doc_id", "ch__", F.posexplode(F.regexp_extract_all(c, F.lit(ref_re), 0)).alias("pos", "ref")).distinct()
     refs = refs.withColumn("md5", F.regexp_extract("ref", ref_re, 1))
+    # which type each reference takes is settled without the bytes; then one payload per (md5, type) in use is encoded
+    types = resources.groupBy("md5").agg(F.array_sort(F.collect_set("content_type")).alias("types"))
+    ext = F.regexp_extract("ref", r"(\.[A-Za-z0-9]+)$", 1)
+    taken = refs.join(types, "md5").withColumn("content_type", F.coalesce(F.get(F.filter(
+        "types", lambda t: _ext(t, "bin") == ext), F.lit(0)), F.get("types", F.lit(0)))).drop("types")
     uri = F.concat(F.lit("data:"), F.col("content_type"), F.lit(";base64,"), b64_encode(F.col("data")))
-    res = resources.select("md5", uri.alias("uri"))
-    resolved = refs.join(res, "md5", "left").select("doc_id", "pos", F.coalesce("uri", "ref").alias("rep"))
-    per_doc = resolved.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rep"))).alias("reps"))
-    j = docs.join(per_doc, "doc_id", "left")
+    resolved = taken.join(resources.select("md5", "content_type", uri.alias("uri")), ["md5", "content_type"]).select(
+        "doc_id", "ch__", "pos", "uri")
+    per_doc = resolved.groupBy("doc_id", "ch__").agg(F.map_from_entries(F.collect_list(F.struct("pos", "uri"))).alias("reps"))
+    d, r = docs.alias("d"), per_doc.alias("r")
+    j = d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.ch__") == F.col("r.ch__")), "left").select("d.*", "r.reps")
     parts = F.split(c, ref_re, -1)
-    merged = F.array_join(F.zip_with(parts, F.transform("reps", lambda r: r["rep"]),
-                                     lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    return j.withColumn(content, F.when(F.col("reps").isNull(), c).otherwise(merged)).drop("reps")
+    found = F.transform(F.regexp_extract_all(c, F.lit(ref_re), 0), lambda ref, i: F.coalesce(F.try_element_at("reps", i), ref))
+    merged = F.array_join(F.zip_with(parts, found, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return j.withColumn(content, F.when(F.col("reps").isNull(), c).otherwise(merged)).drop("reps", "ch__")
 
 
 def resolve_resources(refs: DataFrame, files: DataFrame, path_list: Column) -> DataFrame:

@@ -29,7 +29,6 @@ COMMENT_RE = r"(?s)<!--.*?-->"
 NON_ASCII_RE = r"[^\x00-\x7F]"
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 NBSP = "\u00a0"
-MAX_ABBREVIATIONS = 1000
 
 
 def strip_comments(t: Column) -> Column:
@@ -118,16 +117,8 @@ def abbreviation_pattern(abbreviations: list[str] | tuple[str, ...]) -> str:
 
 
 def abbreviations(t: Column, abbrevs) -> Column:
-    """The list is job configuration held on the driver and compiled into the plan. Long lists are applied as
-    successive patterns of at most ``MAX_ABBREVIATIONS`` entries each; every pass only turns the blank after one of
-    its own abbreviations into U+00A0, so the passes together give the same text as one pattern would."""
-    if not abbrevs:
-        return t
-    ordered = sorted(set(abbrevs), key=lambda a: (-len(a), a))
-    out = t
-    for i in range(0, len(ordered), MAX_ABBREVIATIONS):
-        out = F.regexp_replace(out, abbreviation_pattern(ordered[i:i + MAX_ABBREVIATIONS]), "$1" + NBSP)
-    return out
+    """The list is job configuration held on the driver and compiled into the plan as one pattern, whatever its length."""
+    return F.regexp_replace(t, abbreviation_pattern(abbrevs), "$1" + NBSP) if abbrevs else t
 
 
 def track_changes(t: Column, mode: str = "accept") -> Column:

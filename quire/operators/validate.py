@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.codecs import b64_valid, message_col
-from quire.model import DATA_PARAMS, ENUMS, HTTP_PARAMS, JobConfig
+from quire.model import DATA_PARAMS, ENUMS, HTTP_PARAMS, INT_RANGES, JobConfig
 from quire.plans.registry import driver_of
 from quire.sources.requests import compute_once
 
@@ -84,7 +84,8 @@ def _http_rules(params: Column, p: Column) -> tuple[Column, Column]:
 
 
 def option_errors(conv: Column) -> Column:
-    """Conversion-stage errors (rule 12 in our numbering): unsupported formats and unknown enumerated values."""
+    """Conversion-stage errors (rule 12 in our numbering): unsupported formats, unknown enumerated values, and integers
+    out of range."""
     out = F.lit(None).cast("string")
     checks = []
     frm, to = F.coalesce(conv["from"], F.lit("")), F.coalesce(conv["to"], F.lit(""))
@@ -96,6 +97,9 @@ def option_errors(conv: Column) -> Column:
             F.when(v.isNotNull() & (v != "") & ~v.isin(*allowed),
                    F.concat(F.lit("unknown value '"), v, F.lit(f"' for option {key}")))
         )
+    for key, (low, high) in INT_RANGES.items():
+        checks.append(F.when(~conv[key].between(low, high), F.concat(
+            F.lit("value "), conv[key].cast("string"), F.lit(f" for option {key} is not from {low} to {high}"))))
     checks.append(F.when(conv["email_obfuscation"] == "javascript", F.lit("email_obfuscation javascript is not built")))
     out = F.coalesce(*checks)
     return out

@@ -8,6 +8,8 @@ block array is computed once per row (generator barrier) and then read by every
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,13 @@ from quire.operators.templates import compile_template, includes, parse_template
 from quire.operators.validate import validate_requests
 from quire.sources.fetch import dispatch_fetch
 from quire.operators.links import link_array
-from quire.sources.files import resolve_file_options
-from quire.session import ensure_checkpoint_dir
+from quire.sources.files import refs_hash, resolve_file_options, without_files
+from quire.session import scratch_path
 from quire.sources.requests import compute_once
 
 DEFAULT_TEMPLATE = "default"
+#: Rows of two ids that may be broadcast: about 20 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def shift_block_levels(blocks: Column, base: Column) -> Column:
@@ -109,11 +113,11 @@ def file_text(files_col: Column | None, option: str) -> Column | None:
 
 
 def abbreviation_regex(lines_text: Column) -> Column:
-    """Per-row pattern from an abbreviations file (one per line): each quoted, longest first."""
+    """Per-row pattern from an abbreviations file (one per line): every metacharacter escaped, longest first."""
     lines = F.filter(F.transform(F.split(lines_text, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     ordered = F.array_sort(lines, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(
         F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    alts = F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "|")
+    alts = F.array_join(F.transform(ordered, lambda x: F.regexp_replace(x, r"([\\\[\](){}.*+?^$|])", r"\\$1")), "|")
     return F.concat(F.lit("\\b("), alts, F.lit(") "))
 
 
@@ -352,10 +356,14 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
         # rules 10/11: resolve file options (one row per request that has any); a left join on request_id whose
         # strategy AQE picks from the measured size of the resolution table
         fr = resolve_file_options(v.filter(F.col("rule").isNull()), files, conf.safe_dir, conf.safe_dir_mode)
-        f = f.join(fr, "request_id", "left")
+        f = f.withColumn("rh__", refs_hash()).alias("f").join(fr.alias("fr"), F.col("f.request_id").eqNullSafe(
+            F.col("fr.request_id")) & (F.col("rh__") == F.col("refs_hash")), "left").select(
+                "f.*", "file_rule", "file_error", "file_texts")
         files_col = F.col("file_texts")
-    else:
-        f = f.withColumn("file_rule", F.lit(None).cast("int")).withColumn("file_error", F.lit(None).cast("string")) \
+    else:  # a file option without a file table is an error, not ignored
+        file_rule, file_error = without_files()
+        unset = F.col("rule").isNull()
+        f = f.withColumn("file_rule", F.when(unset, file_rule)).withColumn("file_error", F.when(unset, file_error)) \
             .withColumn("file_texts", F.lit(None).cast("map<string,string>"))
     # W1 per request: warnings on the fetched source; with fail_if_warnings they make the request fail (rule 12)
     text = utf8_text(F.col("data"))
@@ -363,7 +371,7 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
         F.when(F.col("data").isNotNull() & ~utf8_valid(F.col("data")), F.lit("invalid_utf8")),
         F.when(F.col("data").isNotNull() & (conv["from"] == "html") & ~F.lower(text).contains("</body>"),
                F.lit("html_unclosed"))), lambda x: x.isNotNull())
-    warn_error = F.when(F.coalesce(conv["fail_if_warnings"], F.lit(False)) & (F.size(warn) > 0),
+    warn_error = F.when((F.coalesce(conv["fail_if_warnings"], F.lit(False)) | F.lit(conf.fail_if_warnings)) & (F.size(warn) > 0),
                         F.concat(F.lit("failing because there were warnings: "), F.array_join(warn, ", ")))
     conv_error = F.coalesce(F.col("conv_error"), warn_error)
     rule = F.coalesce(F.col("rule"), F.when(F.col("fetch_error").isNotNull(), F.lit(9)), F.col("file_rule"),
@@ -428,24 +436,34 @@ def outcome_view(out: DataFrame) -> DataFrame:
 
 def convert_distinct(docs: DataFrame, frm: str, to: str, options: dict | None = None,
                      content: str = "content") -> DataFrame:
-    """Convert each distinct (md5, length) of content once and join the result back to every document.
-
-    The dedup is a hash aggregate with a map-side partial step, so a text copied into a third of the corpus is
-    reduced per task before the shuffle; the join back is on the (hash, length) key, where AQE splits a hot key on
-    the many-rows side (the distinct side holds one row per key)."""
-    # one pass over the content computes the fingerprints; that small table (no text) is written to the shared
-    # checkpoint folder, so the later steps read it instead of hashing the whole corpus again, and a lost executor
-    # does not send them back through the content
-    ensure_checkpoint_dir(docs.sparkSession)
-    keyed = docs.select("doc_id", md5_text(F.col(content)).alias("h"), F.length(content).alias("n")).checkpoint()
-    # the representative of each distinct text is its smallest doc_id: a hash aggregate with a fixed-width buffer
-    reps = keyed.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"))
-    distinct = docs.select("doc_id", F.col(content).alias("c")).join(reps, "doc_id")
+    """Convert each distinct (md5, length) of content once and give the result to every document that has it.
+
+    ``doc_id`` identifies a document. Only fingerprints are read to find the repeats; every first document (smallest
+    ``doc_id`` of its text) is converted where it is read, without a shuffle of texts, and the repeats take over the
+    result of their first one. The fingerprint count is a hash aggregate with a map-side partial step, so a text copied
+    into a third of the corpus is reduced per task. A NULL content is no repeat of another. The ids of the repeats are
+    written to the shared checkpoint folder, so that a lost executor does not send later steps back through the content."""
+    spark = docs.sparkSession
+    keyed = docs.select("doc_id", md5_text(F.col(content)).alias("h"), F.length(content).alias("n"))
+    several = keyed.where("h is not null").groupBy("h", "n").agg(
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    path = scratch_path(spark, f"repeats-{uuid.uuid4().hex}")
+    keyed.join(several, ["h", "n"]).where("doc_id != first_id").select("doc_id", "first_id").write.parquet(path)
+    repeats = spark.read.schema(f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, first_id "
+                                f"{keyed.schema['doc_id'].dataType.simpleString()}").parquet(path)
+    few = repeats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    bounded = F.broadcast if few else (lambda df: df)
     conv = options if options is not None else {"from": frm, "to": to}
-    blocks = B.block_array(prepare_input(F.col("c"), frm, conv), frm)
-    converted = distinct.select("h", "n", finish_output(render_by_options(blocks, to, conv), to, conv)
-                                .alias("converted"))
-    return keyed.join(converted, ["h", "n"]).select("doc_id", "converted")
+
+    def converted(df: DataFrame) -> DataFrame:
+        blocks = B.block_array(prepare_input(F.col("c"), frm, conv), frm)
+        return df.select("doc_id", finish_output(render_by_options(blocks, to, conv), to, conv).alias("converted"))
+
+    rows = docs.select("doc_id", F.col(content).alias("c"))
+    first = converted(rows.join(bounded(repeats.select("doc_id")), "doc_id", "left_anti"))
+    origins = repeats.select(F.col("first_id").alias("doc_id")).distinct()
+    again = converted(rows.join(bounded(origins), "doc_id", "left_semi")).withColumnRenamed("doc_id", "first_id")
+    return first.unionByName(repeats.join(again, "first_id").select("doc_id", "converted"))
 
 
 def write_documents(out: DataFrame, path: str) -> None:

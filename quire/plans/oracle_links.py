@@ -72,8 +72,8 @@ SQL["extract_media"] = f"""SELECT z.doc_id, md5(CASE WHEN len(regexp_extract_all
     AS content_md5, CAST(len(regexp_extract_all(z.c, {U}, 0)) AS BIGINT) AS n_media
   FROM {S.zip_tokens(f"(SELECT doc_id, content AS c FROM {MEDIA_DOCS})", 'doc_id, c', 'c', INLINE_URI_RE,
                      _MEDIA_REF, 'r')} z"""
-SQL["extract_media_resources"] = f"""SELECT md5, min(ct) AS content_type, 'media/' || md5 || {ext('min(ct)')} AS path,
-  count(*) AS n_uses, CAST(octet_length(first(data)) AS BIGINT) AS n_bytes FROM {FOUND} GROUP BY md5"""
+SQL["extract_media_resources"] = f"""SELECT md5, ct AS content_type, 'media/' || md5 || {ext('ct')} AS path,
+  count(*) AS n_uses, CAST(octet_length(first(data)) AS BIGINT) AS n_bytes FROM {FOUND} GROUP BY md5, ct"""
 SQL["self_contained"] = f"SELECT doc_id, md5(content) AS content_md5 FROM {MEDIA_DOCS}"
 SQL["resolve_resources"] = f"SELECT * FROM {RESOLVED}"
 SQL["warnings"] = f"""SELECT page_id AS doc_id, 'html_unclosed' AS kind, 'no </body>' AS detail FROM pages

@@ -58,15 +58,16 @@ def html_blocks(src: str) -> str:
         f"{q(HTML_MARK_RE)}, chr(1) || '\\1' || chr(2), 'g'), {q(TAG_RE)}, ' ', 'g') AS x FROM {src}"
     )
     un = unescape(f"({prep})", "doc_id", "x", "y")
-    parts = f"SELECT doc_id, string_split(regexp_replace(y, '[ \\t\\r\\n]+', ' ', 'g'), chr(1))[2:] AS ps FROM {un}"
+    parts = f"SELECT doc_id, string_split(regexp_replace(y, '[ \\t\\r\\n]+', ' ', 'g'), chr(1)) AS ps FROM {un}"
     exploded = (
-        f"SELECT doc_id, CAST(generate_subscripts(ps, 1) AS INTEGER) AS block_no, unnest(ps) AS piece FROM ({parts})"
+        f"SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS block_no, unnest(ps) AS piece FROM ({parts})"
     )
     return f"""(SELECT doc_id, block_no,
         CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN 'heading' WHEN tag = 'li' THEN 'item' ELSE 'para' END AS kind,
         CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN CAST(substr(tag, 2, 1) AS INTEGER) ELSE 0 END AS level,
         trim(substr(piece, instr(piece, chr(2)) + 1)) AS text
-      FROM (SELECT *, lower(split_part(piece, chr(2), 1)) AS tag FROM ({exploded})))"""
+      FROM (SELECT *, CASE WHEN block_no > 0 THEN lower(split_part(piece, chr(2), 1)) ELSE '' END AS tag FROM ({exploded}))
+      WHERE block_no > 0 OR trim(piece) <> '')"""
 
 
 def plain_blocks(src: str) -> str:

@@ -52,6 +52,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(SPREAD, str(spark.sparkContext.defaultParallelism))
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -59,8 +60,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster the setting names a shared folder and is used as is. Only where it is unset (local tests) a scratch
-    folder is created and set.
+    On a cluster the setting names a shared folder and is used as is. Only where it is unset and the session is local
+    (tests) a scratch folder is created and set; on a cluster without the setting this raises, since a folder of one
+    machine would be lost to the others.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
@@ -70,6 +72,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             current = None
     if current:
         return current
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="quire-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     try:
@@ -85,32 +89,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-def spread(df: DataFrame, key: str | tuple[str, ...] = "doc_id", min_partitions: int | None = None) -> DataFrame:
-    """Hash-repartition by ``key`` only when the scan gives fewer partitions than the cluster has cores.
+#: Session setting: partitions that ``table`` deals small tables out to by their key. ``local_session`` sets it, since the
+#: test tables are one row group each and would run in one task; unset, as on a cluster, tables keep their splits, whose
+#: size is ``spark.sql.files.maxPartitionBytes``.
+SPREAD = "spark.quire.spread"
 
-    A large input already arrives in many splits and is left alone (no extra shuffle). A small input stored as one
-    row group would otherwise run every per-document expression in one task. Partitioning by the document key also
-    lets a later per-document regroup or window reuse this partitioning instead of shuffling again. The decision
-    reads plan metadata only (number of scan splits), never data."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD view behind a remote session: leave the plan as it is)
-        return df
-    if splits >= target:
-        return df
-    keys = (key,) if isinstance(key, str) else tuple(key)
-    return df.repartition(target, *keys)
+
+def spread(df: DataFrame, partitions: int, key: str | tuple[str, ...] = "doc_id") -> DataFrame:
+    """Hash-repartition by ``key``: an explicit choice of the caller, for inputs with too few splits. A later per-document
+    regroup or window reuses this partitioning."""
+    return df.repartition(partitions, *((key,) if isinstance(key, str) else key))
 
 
-# Document-like tables and their keys: these are spread (see ``spread``) when read. Each key is unique per row, so
+# Document-like tables and their keys. Each key is unique per row, so
 # the spread is even; a conversation is spread by (conv_id, turn), since one conversation may hold many turns.
 DOC_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": ("conv_id", "turn"), "benchmark": "item_id",
             "events": "event_id", "labels": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one test table. Column pruning and filters reach the Parquet scan."""
+    """Read one test table, spread by its key where the session sets ``SPREAD``. Column pruning and filters reach the
+    Parquet scan."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = DOC_KEYS.get(name)
-    return spread(df, key) if key else df
+    key, partitions = DOC_KEYS.get(name), spark.conf.get(SPREAD, None)
+    return spread(df, int(partitions), key) if key and partitions else df

@@ -51,7 +51,8 @@ def crawl_from_pages(pages: DataFrame) -> DataFrame:
 
 
 def fetch_snapshot(rows: DataFrame, options: dict) -> DataFrame:
-    """Resolve (url, method) against a crawl table ``(url, method, status, body)``, unique per (url, method).
+    """Resolve (url, method) against a crawl table ``(url, method, status, body)``. Of several rows per (url, method)
+    one counts (``one_per_url``); with the option ``unique`` the table is taken to have one.
 
     A left equi-join: AQE picks broadcast when the routed requests are small and sort-merge otherwise; a hot url is
     split by AQE skew handling (the crawl side holds one row per key). Status other than 200 and a url missing from
@@ -59,7 +60,8 @@ def fetch_snapshot(rows: DataFrame, options: dict) -> DataFrame:
     if options.get("crawl") is None:
         return rows.withColumn("data", F.lit(None).cast("binary")).withColumn(
             "fetch_error", F.lit("[fetcher-http]: no crawl snapshot table is configured"))
-    crawl = options["crawl"].select(
+    crawl = options["crawl"]
+    crawl = (crawl if options.get("unique") else one_per_url(crawl)).select(
         F.col("url").alias("c_url"), F.col("method").alias("c_method"), F.col("status").alias("c_status"),
         F.col("body").alias("c_body"),
     )
@@ -78,6 +80,17 @@ def fetch_snapshot(rows: DataFrame, options: dict) -> DataFrame:
     return out.drop("h_url", "h_method", "h_replace", "c_url", "c_method", "c_status", "c_body")
 
 
+def one_per_url(crawl: DataFrame) -> DataFrame:
+    """One row per (url, method): a status of 200 first, then the smallest status, then the smallest body. Only keys are read
+    to find those with several rows; bodies are compared among these alone."""
+    keys = ["url", "method"]
+    several = crawl.groupBy(*keys).agg(F.count(F.lit(1)).alias("n__")).where("n__ > 1").select(*keys)
+    order = F.struct((F.col("status") != 200).alias("bad"), "status", "body")
+    one = crawl.join(several, keys, "left_semi").groupBy(*keys).agg(F.min(order).alias("x__"))
+    return crawl.select(*keys, "status", "body").join(several, keys, "left_anti").unionByName(
+        one.select(*keys, "x__.status", "x__.body"))
+
+
 register_fetcher("data", fetch_inline, row_fn=inline_columns)
 register_fetcher("http", fetch_snapshot)
 

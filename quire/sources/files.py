@@ -45,35 +45,53 @@ def fetch_files(refs: DataFrame, files: DataFrame, safe_dir: str, mode: str = "s
 
 
 def file_option_refs(requests: DataFrame) -> DataFrame:
-    """(request_id, ord, option, ref) for every file-valued option a request sets, in emit order."""
+    """(request_id, refs_hash, ord, option, ref) for every file-valued option a request sets, in emit order."""
+    return requests.filter(F.col("converter").isNotNull()).select(
+        "request_id", refs_hash().alias("refs_hash"), file_options().alias("e__")).select(
+            "request_id", "refs_hash", F.inline("e__"))
+
+
+def file_options() -> Column:
+    """The file-valued options of the request in ``converter``: array of (ord, option, ref), in emit order."""
     from quire.model import OPTION_FIELDS
 
-    keys = [k for k, t in OPTION_FIELDS if t == "f"]
     conv = F.col("converter")
-    entries = F.filter(F.array(*[
+    return F.filter(F.array(*[
         F.when(F.coalesce(conv[k], F.lit("")) != "", F.struct(F.lit(i).alias("ord"), F.lit(k).alias("option"),
                                                               conv[k].alias("ref")))
-        for i, k in enumerate(keys)]), lambda x: x.isNotNull())
-    return requests.filter(conv.isNotNull()).select("request_id", entries.alias("e__")).select(
-        "request_id", F.inline("e__"))
+        for i, k in enumerate(k for k, t in OPTION_FIELDS if t == "f")]), lambda x: x.isNotNull())
+
+
+def refs_hash() -> Column:
+    """Tells requests of one id with different file options apart."""
+    return F.xxhash64(file_options())
+
+
+def without_files() -> tuple[Column, Column]:
+    """(rule, error) of a request with file options when the job has no file table."""
+    from quire.model import FILE_OPTIONS_STRICT
+
+    first = F.get(file_options(), F.lit(0))
+    rule = F.when(first["option"].isin(*FILE_OPTIONS_STRICT), F.lit(10)).when(first.isNotNull(), F.lit(11))
+    return rule, F.concat(first["option"], F.lit(": file "), first["ref"], F.lit(" not found (the job has no file table)"))
 
 
 def resolve_file_options(requests: DataFrame, files: DataFrame, safe_dir: str, mode: str = "strict") -> DataFrame:
     """Rules 10/11: every file option of a request resolved against the file table, below the safe folder.
 
-    Returns one row per request that sets file options: ``file_rule`` (10 for the eight options whose failure the
+    Returns one row per request id and set of file options (``refs_hash``): ``file_rule`` (10 for the eight options whose failure the
     reference reports, 11 for the six it swallows; both are errors here), ``file_error`` (first failing option in
     emit order) and ``file_texts`` (option -> UTF-8 text of each resolved file)."""
     from quire.model import FILE_OPTIONS_STRICT
 
-    got = fetch_files(file_option_refs(requests), files, safe_dir, mode)
+    got = fetch_files(file_option_refs(requests).distinct(), files, safe_dir, mode)
     errs = F.array_sort(F.collect_list(F.when(F.col("file_error").isNotNull(), F.struct(
         "ord", "option", "file_error"))))
     texts = F.collect_list(F.when(F.col("data").isNotNull(), F.struct("option", utf8_text(F.col("data")))))
-    per = got.groupBy("request_id").agg(errs.alias("errs"), texts.alias("texts"))
+    per = got.groupBy("request_id", "refs_hash").agg(errs.alias("errs"), texts.alias("texts"))
     first = F.element_at(F.col("errs"), 1)
     return per.select(
-        "request_id",
+        "request_id", "refs_hash",
         F.when(F.size("errs") > 0, F.when(first["option"].isin(*FILE_OPTIONS_STRICT), F.lit(10)).otherwise(F.lit(11)))
         .alias("file_rule"),
         F.when(F.size("errs") > 0, F.concat(first["option"], F.lit(": "), first["file_error"])).alias("file_error"),

@@ -48,17 +48,17 @@ def parse_requests(raw: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def _with_ids(lines: DataFrame) -> DataFrame:
-    rid = F.get_json_object("value", "$.request_id").cast("bigint")
+def with_ids(lines: DataFrame) -> DataFrame:
+    rid = F.get_json_object("value", "$.request_id").try_cast("bigint")
     fallback = F.xxhash64(F.input_file_name(), F.col("value"))
     return lines.select(F.coalesce(rid, fallback).alias("request_id"), F.col("value").alias("body"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """A file or directory of JSON lines. ``request_id`` comes from the body when present, else a hash of file
-    and line text (stable across task retries; identical lines of one file share it, so give ids in the body when
-    lines can repeat)."""
-    return parse_requests(_with_ids(spark.read.text(path)))
+    and line text (stable across task retries; identical lines of one file share it). An id that is not a whole number
+    counts as missing. Rows that share an id are converted one by one all the same."""
+    return parse_requests(with_ids(spark.read.text(path)))
 
 
 def read_requests_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -66,4 +66,4 @@ def read_requests_stream(spark: SparkSession, path: str, max_files_per_trigger:
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return parse_requests(_with_ids(reader.load(path)))
+    return parse_requests(with_ids(reader.load(path)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.model import JobConfig
 from quire.plans.convert import convert_job
-from quire.sources.requests import parse_requests
+from quire.sources.requests import parse_requests, with_ids
 
 RAW_SCHEMA = "request_id bigint, body string"
 
@@ -31,35 +31,25 @@ def outcome_rows(out: DataFrame) -> DataFrame:
 
 def convert_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                    conf: JobConfig = JobConfig(), fetch_options: dict | None = None,
-                   max_files_per_trigger: int | None = None, source_format: str = "parquet",
-                   trigger_interval: str | None = None):
+                   max_files_per_trigger: int = 1000, source_format: str = "parquet",
+                   trigger_interval: str | None = None, files: DataFrame | None = None,
+                   resources: DataFrame | None = None):
     """Start the stream. Without ``trigger_interval`` it processes what is there (``availableNow``), stops, and is
     waited for; with one (e.g. ``"10 seconds"``) it keeps running like the service did and the query handle is
     returned at once (stop it with ``.stop()``).
 
-    ``source_format`` ``parquet`` reads ``(request_id, body)`` files; ``text`` reads JSON lines (S2)."""
-    reader = spark.readStream.format(source_format)
-    if trigger_interval and not max_files_per_trigger:
-        max_files_per_trigger = 1000  # a running stream that starts on a backlog takes it in bounded batches
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    ``source_format`` ``parquet`` reads ``(request_id, body)`` files; ``text`` reads JSON lines (S2).
+    ``max_files_per_trigger`` bounds a micro-batch, also when the stream starts on a backlog; nothing is left out.
+    ``files`` and ``resources`` are the side tables of the batch job."""
+    reader = spark.readStream.format(source_format).option("maxFilesPerTrigger", str(max_files_per_trigger))
     if source_format == "parquet":
         raw = reader.schema(RAW_SCHEMA).load(source_dir)
     else:
-        raw = reader.load(source_dir).select(
-            F.get_json_object("value", "$.request_id").cast("bigint").alias("request_id"),
-            F.col("value").alias("body"))
+        raw = with_ids(reader.load(source_dir))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        # A micro-batch is bounded by the trigger (files per trigger), so its parsed requests are kept for the
-        # batch: the fetch routing reads them once per branch without re-reading and re-parsing the files. Lost
-        # blocks are recomputed from the source files.
-        requests = parse_requests(batch).persist()
-        try:
-            out = convert_job(requests, conf, fetch_options)
-            outcome_rows(out).write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
-        finally:
-            requests.unpersist()
+        out = convert_job(parse_requests(batch), conf, fetch_options, files=files, resources=resources)
+        outcome_rows(out).write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
 
     writer = raw.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     if trigger_interval:

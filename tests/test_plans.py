@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from quire.plans.catalog import QUERIES
 from quire.functions import codecs as C
 from quire.model import FetcherConf, JobConfig
 from quire.operators import blocks as B
@@ -85,23 +85,23 @@ def test_fail_if_warnings(spark):
 
 # --- plans ---------------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_evaluation_in_plans(spark, name):
     if name in ("convert_stream", "write_documents", "fetch_files", "read_requests_stream", "convert_with_files"):
         pytest.skip("writes scratch data when built")
-    plan = physical(entry.queries()[name](spark, SMALL))
+    plan = physical(QUERIES[name](spark, SMALL))
     assert "EvalPython" not in plan and "PythonUDF" not in plan and "MapInPandas" not in plan
 
 
 def test_scan_reads_only_needed_columns(spark):
-    plan = physical(entry.queries()["html_to_plain"](spark, SMALL))
+    plan = physical(QUERIES["html_to_plain"](spark, SMALL))
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan or "struct<page_id:bigint,html:string>" in plan
     assert "url" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
 def test_regroup_reuses_document_partitioning(spark):
     """explode -> filter -> groupBy(doc_id): one exchange at most (the spread of a single-split input)."""
-    plan = physical(entry.queries()["html_to_plain"](spark, SMALL))
+    plan = physical(QUERIES["html_to_plain"](spark, SMALL))
     assert plan.count("Exchange") <= 1
 
 
