@@ -10,13 +10,13 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Two docum
 2. Copies first. Nodes that share one of their smallest hashes are compared with the most central of them (the one with the
    largest part of its set shared, as an original among its copies). These links join large groups of near copies at once,
    with one comparison per member and not one per pair.
-3. DivideSkip. A node's lists are ordered by length; the T - 1 longest are long, the others short. A partner occurs in T of
-   the lists, so in a short one. For every node, its short lists are heap-merged, which counts each candidate's occurrences;
-   each candidate is then probed in the rest of the set by binary search, and stays if the overlap is reached. Since the
-   order is the same for all nodes (by length, then hash), a pair meets in lists that are short for both.
-   Lists whose members are in one group already can tell nothing new and are left out, as are the members of a list's
-   largest group as queries: every pair of different groups still meets. First the best candidate per group is probed, then,
-   groups joined, every one that is left. So no link between different groups is missed, and group ids are exact.
+3. DivideSkip. Of a pair, the node with the smaller part of its set shared asks: its shared shingles are the rarer ones. Of
+   its lists by length, the longest, one less than 0.75 n, are long and the others short; a partner occurs in a short one.
+   Its short lists, cut to the members that can reach the overlap by their sizes, are heap-merged, which counts each
+   candidate; one whose count falls short of the pair's overlap by more than the long lists could add is dropped, all
+   others are probed in the whole set by binary search. Lists whose members are in one group already can tell nothing new and are
+   left out, as are members of the asker's group. First the best candidate per group is probed, then, groups joined, every
+   one that is left. So no link between different groups is missed, and group ids are exact.
 
 Hot shingles (in 1/128 of all documents or more: a bounded number, see ``HOT``) are not counted in one bucket but marked
 shared and longest, so that no list of that length is ever gathered. Hash collisions: two of m distinct shingles in the same
@@ -46,6 +46,8 @@ PACKED, BUCKET = 1_500_000, 2_000_000
 HOT = 128
 #: Hashes of a node that lead it to a central one, members of a block of an inverted list, and the count that stands for hot.
 SEEDS, BLOCK, LONGEST = 8, 4096, 1 << 40
+#: Rows of one or two longs that may be broadcast: 8 or 16 MB.
+BROADCAST_ROWS = 1_000_000
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -224,6 +226,16 @@ def _shared(buckets: int):
     return run
 
 
+def _long(n: int) -> int:
+    """How many lists of an asker of n shingles are long. Fewer would be right too: more lists to merge, fewer candidates."""
+    return -(-PERCENT * n // 100) - 1
+
+
+def _overlap(n: int, m: int) -> int:
+    """The least overlap of linked sets of these sizes."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
 _CORE = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("hs", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))])
 _CORE_DDL = "node bigint, n bigint, hs array<bigint>, short array<bigint>"
 
@@ -244,7 +256,7 @@ def _core(table: pa.Table) -> pa.Table:
         least = (PERCENT * n + 99) // 100
         if b - a >= least:
             by_length = np.lexsort((h[a:b], count[a:b]))
-            rows.append({"node": int(node[a]), "n": n, "hs": h[a:b], "short": np.sort(h[a:b][by_length[: b - a - least + 1]])})
+            rows.append({"node": int(node[a]), "n": n, "hs": h[a:b], "short": np.sort(h[a:b][by_length[: b - a - _long(n)]])})
     return pa.Table.from_pylist(rows, _CORE)
 
 
@@ -272,8 +284,14 @@ def probed(xs: np.ndarray, ys: np.ndarray) -> int:
     return int((ys[np.minimum(np.searchsorted(ys, xs), len(ys) - 1)] == xs).sum())
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _linked(pairs: DataFrame, core: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the overlap."""
+    pairs = stored(pairs, "pairs")
 
     @F.arrow_udf("boolean")
     def reach(n: pa.Array, m: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
@@ -283,9 +301,10 @@ def _linked(pairs: DataFrame, core: DataFrame) -> DataFrame:
             out.append(100 * both >= PERCENT * (a + b - both))
         return pa.array(out, pa.bool_())
 
-    x = core.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha"))
-    y = core.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb"))
-    sized = pairs.join(x, "a").join(y, "b").where("100 * least(na, nb) >= 75 * greatest(na, nb)")
+    x = core.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha")).join(_bounded(pairs), "a")
+    y = core.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb")).join(
+        _bounded(pairs.select("b").distinct()), "b")  # only the sets that are asked for are shuffled
+    sized = x.join(y, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     return sized.where(reach("na", "nb", "ha", "hb")).select("a", "b")
 
 
@@ -296,33 +315,44 @@ def _central(core: DataFrame) -> DataFrame:
     return seeds.join(best, "h").select(F.col("node").alias("a"), F.col("best.node").alias("b")).where("a != b").distinct()
 
 
-def _candidates(core: DataFrame, groups: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups that meet in short lists; ``best``: only one per node and other group."""
-    short = core.select("node", "n", F.explode("short").alias("h")).join(groups, "node", "left").select(
-        "node", "n", "h", F.coalesce("root", "node").alias("root"))
-    sizes = short.groupBy("h", "root").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("groups")).where(
-        "groups > 1").select("h", F.col("m.root").alias("largest"))
-    mixed = short.join(largest, "h")
+def _lists(core: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The short lists whose members are of different groups: askers (a, na, ma, h) and members (h, node, n, m)."""
+    roots = core.join(groups, "node", "left").select(F.coalesce("root", "node").alias("root"), F.explode("hs").alias("h"))
+    mixed = roots.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("h")
+    nodes = core.withColumn("m", F.size("hs"))
+    asked = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.explode("short").alias("h"))
+    asked = stored(asked.join(mixed, "h"), "asked")
+    members = nodes.select("node", "n", "m", F.explode("hs").alias("h")).join(_bounded(asked.select("h").distinct()), "h")
+    return asked, stored(members, "members")
+
+
+def _candidates(asked: DataFrame, members: DataFrame, groups: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that may link; ``best``: only one per asker and other group."""
+    groups = _bounded(groups)
+    members = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    asked = asked.join(groups.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").withColumn("ra", F.coalesce("ra", "a"))
     # list blocks: no list is gathered whole
-    lists = mixed.groupBy("h", F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("salt0"), "node", "n", "root").agg(
-        F.lit(1).alias("_")).drop("_").join(short.groupBy("h").agg(F.count("*").alias("len")), "h")
-    lists = lists.groupBy("h", F.pmod("salt0", F.ceil(F.col("len") / BLOCK).cast("long")).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("node", "root", "n"))).alias("members"))
-    asked = mixed.where("root != largest").select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), "h")
-    met = asked.join(lists, "h").select(
-        "a", "ra", "na", "h", "block", F.expr("members.node").alias("nodes"), F.expr("members.root").alias("roots"),
-        F.expr("members.n").alias("sizes")).repartition("a").sortWithinPartitions("a", "h", "block")
+    lengths = members.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    lists = members.join(lengths, "h").groupBy("h", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("node", "root", "n", "m"))).alias("members"))
+    na, ma, a = F.col("na"), F.col("ma"), F.col("a")
+    able = F.filter("members", lambda y: (y["root"] != F.col("ra")) & (
+        (na + y["n"]) * PERCENT <= F.least(ma, y["m"]) * (100 + PERCENT)) & (
+        F.greatest(na, y["n"]) * PERCENT <= F.least(na, y["n"]) * 100) & (
+        (ma * y["n"] < y["m"] * na) | ((ma * y["n"] == y["m"] * na) & (a < y["node"]))))
+    met = asked.join(lists, "h").select("a", "na", able.alias("members")).where(F.size("members") > 0)
+    met = met.select("a", "na", F.expr("members.node").alias("nodes"), F.expr("members.root").alias("roots"),
+                     F.expr("members.n").alias("sizes")).repartition("a").sortWithinPartitions("a")
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        def answer(a, ra, na, lists, about):
+        def answer(a, na, lists, about):
             chosen = {}
             for b, count in merged(lists):
                 rb, nb = about[b]
-                if rb == ra or 100 * min(na, nb) < PERCENT * max(na, nb):
-                    continue
+                if count + _long(na) < _overlap(na, nb):
+                    continue  # the long lists can't add what is missing
                 if not best:
                     yield {"a": a, "b": b}
                 elif count > chosen.get(rb, (0, 0))[0]:
@@ -337,7 +367,7 @@ def _candidates(core: DataFrame, groups: DataFrame, best: bool) -> DataFrame:
                 if now is not None and r["a"] != now[0]:
                     out.extend(answer(*now, lists, about))
                     lists, about = [], {}
-                now = (r["a"], r["ra"], r["na"])
+                now = (r["a"], r["na"])
                 lists.append(r["nodes"])
                 about.update(zip(r["nodes"], zip(r["roots"], r["sizes"])))
             yield pa.RecordBatch.from_pylist(out, schema)
@@ -368,10 +398,11 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     core = stored(shared.groupBy("part").applyInArrow(_core, _CORE_DDL), "core")
 
     links = stored(_linked(_central(core), core), "links")
+    groups = components(links)
+    asked, members = _lists(core, groups)
     for best in (True, False):
+        links = stored(links.unionByName(_linked(_candidates(asked, members, groups, best), core)), "links")
         groups = components(links)
-        links = stored(links.unionByName(_linked(_candidates(core, groups, best), core)), "links")
-    groups = components(links)
 
     rows = rows.join(groups, "node", "left").select(
         "key", "node", "n", F.coalesce("root", "node").alias("root"))
