@@ -12,6 +12,7 @@ some 30 numbers, go with the scoring function, which runs on whole texts, row by
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -172,8 +173,19 @@ def calibrate(q: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def scores(texts: list[bytes], model: Model) -> np.ndarray:
-    """The score of each text."""
+def scores(texts: Iterable[bytes], model: Model, together: int = 4 << 20) -> np.ndarray:
+    """The score of each text, some megabytes of text at a time."""
+    out, held, size = [np.empty(0)], [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > together:
+            out.append(_scores(held, model))
+            held, size = [], 0
+    return np.concatenate([*out, _scores(held, model)])
+
+
+def _scores(texts: list[bytes], model: Model) -> np.ndarray:
     doc, size, x = line_features(texts)
     q = qualities(x, doc, size, len(texts), model.weights)
     return np.where(np.isnan(q), model.empty, _logistic(model.slope * _logit(np.nan_to_num(q, nan=0.5)) + model.offset))
@@ -219,7 +231,7 @@ def quality_score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(scores([(t.as_py() or "").encode() for t in texts], model))
+        return pa.array(scores(((t.as_py() or "").encode() for t in texts), model))
 
     return score(text)
 
