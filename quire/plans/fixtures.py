@@ -58,18 +58,24 @@ def _case(key, pairs, default):
     return out.otherwise(default)
 
 
+def rows_of(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a table: what its ids are drawn from (Parquet footers only)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").count()
+
+
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversion requests derived from documents (one per document), as raw JSON bodies ``(request_id, body)``.
 
     fetcher name by id % 10: 0 '', 1 'ftp', 2-3 'http', else 'data'; http requests point at the page with
-    page_id = id % 300 (so some miss the crawl); data requests carry the defective payloads of ``bad_payloads``;
+    page_id = id % (6/5 of the number of pages) (so every page is asked for and some requests miss the crawl); data requests carry the defective payloads of ``bad_payloads``;
     fetcher missing if id % 23 = 0, converter missing if id % 29 = 0; data_dir by id % 7; template by id % 4;
     ``to`` by id % 3 (pdf, markdown, html); a few more options vary with the id. Bodies: id % 41 -> '',
     id % 37 -> 'null', id % 31 -> cut by one character."""
     i = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pk"), "url")
-    d = docs.join(pages, (i % 300) == F.col("pk"), "left")
+    ids = rows_of(spark, sf_dir, "pages") * 6 // 5
+    d = docs.join(pages, (i % ids) == F.col("pk"), "left")
     name = _case(i % 10, [(0, F.lit("")), (1, F.lit("ftp")), (2, F.lit("http")), (3, F.lit("http"))], F.lit("data"))
     d = d.select("doc_id", "lang", "source", "url", b64_encode(utf8(F.col("text"))).alias("p__"))
     p = F.col("p__")
@@ -79,7 +85,7 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((i % 13 == 0) & p.endswith("="), F.expr("substring(p__, 1, length(p__) - 1)"))
         .otherwise(p)
     )
-    url = F.coalesce(F.col("url"), F.concat(F.lit("http://missing.example/"), (i % 300).cast("string")))
+    url = F.coalesce(F.col("url"), F.concat(F.lit("http://missing.example/"), (i % ids).cast("string")))
     params = F.when(name == "http", F.concat(F.lit('{"url":"'), url, F.lit('","method":"get"}'))).otherwise(
         F.concat(F.lit('{"data":"'), payload, F.lit('"}')))
     fetcher = F.concat(F.lit('{"name":"'), name, F.lit('","params":'), params, F.lit("}"))

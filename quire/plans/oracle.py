@@ -65,7 +65,7 @@ REQ_BODIES = """(SELECT request_id, CASE WHEN i % 41 = 0 THEN '' WHEN i % 37 = 0
  FROM (SELECT i AS request_id, i, '{' || CASE WHEN i % 23 = 0 THEN '' ELSE '"fetcher":' || fetcher || ',' END
          || CASE WHEN i % 29 = 0 THEN '' ELSE '"converter":' || conv || ',' END || '"template":"' || tmpl || '"}' AS f
    FROM (SELECT i, '{"name":"' || name || '","params":' || CASE WHEN name = 'http' THEN '{"url":"'
-           || coalesce(url, 'http://missing.example/' || CAST(i % 300 AS VARCHAR)) || '","method":"get"}'
+           || coalesce(url, 'http://missing.example/' || CAST(i % (SELECT count(*) * 6 // 5 FROM pages) AS VARCHAR)) || '","method":"get"}'
            ELSE '{"data":"' || payload || '"}' END || '}' AS fetcher,
          '{"from":"' || CASE WHEN name = 'http' THEN 'html' ELSE 'plain' END || '","to":"'
            || CASE i % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' ELSE 'html' END || '"'
@@ -83,7 +83,7 @@ REQ_BODIES = """(SELECT request_id, CASE WHEN i % 41 = 0 THEN '' WHEN i % 37 = 0
                WHEN d.doc_id % 13 = 0 AND ends_with(b, '=') THEN substr(b, 1, length(b) - 1) ELSE b END AS payload,
              CASE d.doc_id % 7 WHEN 0 THEN '/app/x' WHEN 1 THEN '/app2' WHEN 2 THEN '/app/../etc' END AS dd
            FROM (SELECT *, to_base64(encode(text)) AS b FROM documents) d
-           LEFT JOIN pages p ON p.page_id = d.doc_id % 300))))"""
+           LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) * 6 // 5 FROM pages)))))"""
 
 PARSED = f"""(SELECT request_id, body, bad,
     CASE WHEN NOT bad THEN json_extract(body, '$.fetcher') END AS fet,

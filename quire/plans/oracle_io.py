@@ -24,5 +24,5 @@ _MDB = S.markdown_blocks(MD_DOCS)
 SQL["convert_with_files"] = f"""SELECT d.doc_id AS request_id, CAST(0 AS BIGINT) AS code,
   md5({page("''", "CASE WHEN d.doc_id % 3 = 0 THEN b.text || chr(10) ELSE '' END",
             "concat_ws(chr(10), b.text || chr(10), coalesce(h.content, ''))")}) AS data_md5
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
   LEFT JOIN {S.render_html_agg(_MDB)} h ON h.doc_id = d.doc_id"""

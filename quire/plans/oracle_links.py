@@ -18,8 +18,8 @@ LINKS = f"""(SELECT doc_id, CAST(generate_subscripts(ls, 1) AS INTEGER) AS n, un
     FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(content, {S.q(HTML_STRIP_RE)}, '', 'g'),
             {S.q(HTML_MARK_RE)}, chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM {PAGES})))"""
 
-CITE_DOCS = """(SELECT doc_id, text || ' [@k' || CAST(doc_id % 50 AS VARCHAR) || '] and [@k'
-  || CAST((doc_id * 7) % 50 AS VARCHAR) || ']' AS content FROM documents)"""
+CITE_DOCS = """(SELECT doc_id, text || ' [@k' || CAST(doc_id % (SELECT count(*) * 5 // 4 FROM benchmark) AS VARCHAR) || '] and [@k'
+  || CAST((doc_id * 7) % (SELECT count(*) * 5 // 4 FROM benchmark) AS VARCHAR) || ']' AS content FROM documents)"""
 CITES = f"""(SELECT doc_id, CAST(generate_subscripts(ks, 1) AS INTEGER) AS n, unnest(ks) AS key
   FROM (SELECT doc_id, regexp_extract_all(content, {S.q(CITE_RE)}, 1) AS ks FROM {CITE_DOCS}))"""
 BIB = "(SELECT 'k' || CAST(item_id AS VARCHAR) AS key, text AS entry FROM benchmark)"

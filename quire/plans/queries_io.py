@@ -95,7 +95,7 @@ def read_requests_stream(spark, sf_dir):
 @query
 def convert_with_files(spark, sf_dir):
     """The conversion job with file options: benchmark texts are written as one file per item under a fresh scratch
-    folder (the safe folder of the job); every markdown document request includes item ``id % 40`` before its body
+    folder (the safe folder of the job); every markdown document request includes item ``id % (number of items)`` before its body
     and, when id % 3 = 0, in the page head; html standalone output."""
     from quire.model import JobConfig
 
@@ -106,7 +106,7 @@ def convert_with_files(spark, sf_dir):
                            F.col("f_path").alias("path"))
     md = X.markdown_docs(spark, sf_dir)
     i = F.col("doc_id")
-    j = md.join(listing, (i % 40) == F.col("item"))
+    j = md.join(listing, (i % X.rows_of(spark, sf_dir, "benchmark")) == F.col("item"))
     head = F.when(i % 3 == 0, F.concat(F.lit(',"include_in_header":"file://'), F.col("path"), F.lit('"')))
     conv = F.concat(F.lit('{"from":"markdown","to":"html","standalone":true,"include_before_body":"'), F.col("path"),
                     F.lit('"'), F.coalesce(head, F.lit("")), F.lit("}"))
