@@ -193,11 +193,13 @@ def test_bpe_table(spark, bpe, monkeypatch):
     for r in got:
         assert r.ids == bpe[1].encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert o2.encoded(empty(spark)).count() == 0
-    monkeypatch.setattr(o2, "CACHED", 50)
-    monkeypatch.setattr(o2, "TOGETHER", 200)
     texts = [r[1] or "" for r in rows()] * 2
-    fresh = o2.Codec(public_tokenizers.path(o2.VOCABULARY), public_tokenizers.PATTERN)
-    assert [x.tolist() for x in fresh.encode_all(texts)] == [bpe[1].encode_ordinary(t) for t in texts]
+    for name, value in (("CACHED", 50), ("TOGETHER", 200), ("GATHERED", 100), ("CACHED_CHARS", 500)):
+        monkeypatch.setattr(o2, name, value)
+        fresh = o2.Codec(public_tokenizers.path(o2.VOCABULARY), public_tokenizers.PATTERN)
+        ids, counts = (np.concatenate(x) for x in zip(*fresh.encode_all(texts)))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [bpe[1].encode_ordinary(t) for t in texts]
 
 
 def test_bpe_digests(spark, bpe, tmp_path):
