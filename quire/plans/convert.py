@@ -20,6 +20,7 @@ from quire.operators import inrow as I
 from quire.operators import media as M
 from quire.operators import normalize as N
 from quire.operators import render as R
+from quire.plans import registry
 from quire.operators.results import envelope, render_binary, render_default, render_embed
 from quire.operators.templates import compile_template, includes, parse_template
 from quire.operators.validate import validate_requests
@@ -385,6 +386,11 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     refs_on = ok & (conv["from"] == "html") & F.coalesce(conv["reference_links"], F.lit(False))
     f = compute_once(src.df, blocks__=F.when(ok, parse_blocks(F.col("src__"), conv["from"])),
                      links__=F.when(refs_on, link_array(F.col("src__")))).drop("data", "src__")
+    if conf.enable_filter:
+        chain = Chain(df=f, name="blocks__")
+        for name, fn in sorted(registry.filters().items()):
+            chain.stage(ok & (F.coalesce(conv["filter"], F.lit("")) == name), fn)
+        f = chain.flush().df
     f = apply_block_options(Chain(df=f, name="blocks__"), conv).df
     blocks = F.col("blocks__")
     rendered = write_text(blocks, conv["to"], conv, files_col, F.col("links__"))
@@ -404,7 +410,8 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
         f = f.filter(~on).unionByName(embedded.select(*f.columns))
     outcome = envelope(F.col("error"), utf8(F.col("rendered__")))
     to = conv["to"]
-    used = select_template(F.col("template"), conf.templates)
+    custom = registry.templates()
+    used = select_template(F.col("template"), tuple(dict.fromkeys([*conf.templates, *custom])))
     out = f.select(
         "request_id", conv["from"].alias("src_format"), to.alias("dst_format"), "template", "driver",
         F.coalesce("rule", F.lit(0)).cast("int").alias("rule"), outcome.alias("outcome"), used.alias("template_used"),
@@ -415,8 +422,11 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     response = (
         F.when(F.col("template_used") == "binary", binary["body"])
         .when(F.col("template_used") == "render-html", utf8(render_embed(o, F.col("dst_format"))))
-        .otherwise(utf8(render_default(o)))
     )
+    for name, fn in sorted(custom.items()):  # X2: text from (outcome, format)
+        if name not in ("binary", "render-html"):
+            response = response.when(F.col("template_used") == name, utf8(fn(o, F.col("dst_format"))))
+    response = response.otherwise(utf8(render_default(o)))
     return out.select(
         "*", o["code"].alias("code"), o["message"].alias("message"),
         F.when(F.col("template_used") == "binary", binary["status"]).otherwise(F.lit(200)).alias("status"),

@@ -18,10 +18,12 @@ from quire.model import JobConfig, message
 FetchDriver = Callable[[DataFrame, dict], DataFrame]
 TemplateFn = Callable[[Column, Column], Column]
 BlockFilter = Callable[[DataFrame], DataFrame]
+RowFilter = Callable[[Column], Column]
 
 _DRIVERS: dict[str, FetchDriver] = {}
 _ROW_DRIVERS: dict[str, Callable] = {}
 _TEMPLATES: dict[str, TemplateFn] = {}
+_FILTERS: dict[str, RowFilter] = {}
 
 
 class RegistryError(ValueError):
@@ -106,6 +108,22 @@ def templates() -> dict[str, TemplateFn]:
     return dict(_TEMPLATES)
 
 
+def register_filter(name: str, fn: RowFilter) -> None:
+    """X3 inside the conversion job: ``fn`` takes and gives a document's block array (a column). A request whose ``filter``
+    option is ``name`` goes through it when the job enables filters."""
+    if not name:
+        raise RegistryError("filter name is empty")
+    if not callable(fn):
+        raise RegistryError(f"filter {name} is not callable")
+    if name in _FILTERS:
+        raise RegistryError(f"filter {name} already exist")
+    _FILTERS[name] = fn
+
+
+def filters() -> dict[str, RowFilter]:
+    return dict(_FILTERS)
+
+
 def block_filter(blocks: DataFrame, fn: BlockFilter | None, enabled: bool) -> DataFrame:
     """A user transform over the block table, applied only when the job enables filters."""
     if fn is None or not enabled:

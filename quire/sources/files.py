@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import utf8_text
+from quire.functions.codecs import b64_decode, utf8_text
 from quire.operators.validate import normalize_path, within_safe_dir
 
 
@@ -30,17 +30,22 @@ def file_table(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 
 def fetch_files(refs: DataFrame, files: DataFrame, safe_dir: str, mode: str = "strict", ref: str = "ref") -> DataFrame:
     """``refs`` + (data, file_error). Unsafe or missing files are errors; the reference's check applied to all
-    file options (D2)."""
+    file options (D2). A ``data:`` reference is decoded in its row and needs no file."""
+    from quire.sources.fetch import DATA_URI_RE
+
     p = local_path(F.col(ref))
+    inline = F.lower(F.col(ref)).startswith("data:")
+    payload = F.when(inline, b64_decode(F.regexp_extract(ref, DATA_URI_RE, 3)))
     safe = within_safe_dir(p, safe_dir, mode)
     r = refs.withColumn("r_path", normalize_path(p)).withColumn("r_safe", F.coalesce(safe, F.lit(False)))
     j = r.join(files, (F.col("r_path") == F.col("f_path")) & F.col("r_safe"), "left")
     err = (
-        F.when(p.isNull(), F.lit("unsupported scheme"))
+        F.when(inline, F.when(~F.col(ref).rlike(DATA_URI_RE) | payload.isNull(), F.lit("not a base64 data uri")))
+        .when(p.isNull(), F.lit("unsupported scheme"))
         .when(~F.col("r_safe"), F.concat(F.lit("file "), F.col(ref), F.lit(" is not in safe dir")))
         .when(F.col("f_path").isNull(), F.concat(F.lit("file "), F.col(ref), F.lit(" not found")))
     )
-    return j.withColumn("data", F.when(err.isNull(), F.col("f_bytes"))).withColumn("file_error", err).drop(
+    return j.withColumn("data", F.when(err.isNull(), F.coalesce(payload, F.col("f_bytes")))).withColumn("file_error", err).drop(
         "r_path", "r_safe", "f_path", "f_bytes")
 
 

@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quire.model import JobConfig
 from quire.operators import blocks as B
 from quire.operators import media as M
 from quire.operators import normalize as N
@@ -113,3 +114,33 @@ def test_one_crawl_row_per_url(spark):
     rows = spark.createDataFrame([(1, ("http", '{"url": "u"}'))], "request_id int, fetcher struct<name:string,params:string>")
     out = fetch_snapshot(rows, {"crawl": crawl}).collect()
     assert [bytes(r.data) for r in out] == [b"a"]
+
+
+def test_custom_templates_and_filters_in_the_job(spark):
+    from quire.plans import registry as X
+
+    X.register_template("upper-json", lambda o, to: F.upper(F.concat(to, F.lit(":"), o["message"], F.lit(":"), o["code"].cast("string"))))
+    X.register_filter("no-items", lambda b: F.filter(b, lambda x: x["kind"] != "item"))
+    raw = [json.dumps(json.loads(body("# A\n- i", to="plain", filter="no-items")) | {"template": "upper-json"}), body("# A\n- i", filter="no-items")]
+    on = convert(spark, raw, conf=JobConfig(enable_filter=True))
+    off = convert(spark, raw)
+    assert bytes(on[0].response) == b"PLAIN::0" and on[0].template_used == "upper-json"
+    assert bytes(on[1].outcome.result.data) == b"A" and bytes(off[1].outcome.result.data) == b"A\n\n- i"
+
+
+def test_data_uri_file_options(spark):
+    files = spark.createDataFrame([], "f_path string, f_bytes binary")
+    got = convert(spark, [body(to="html", standalone=True, include_in_header="data:text/html;base64,PGI+"),
+                          body(to="html", standalone=True, include_in_header="data:text/html;base64,P!")], files=files)
+    assert got[0].code == 0 and b"<b>" in bytes(got[0].outcome.result.data) and got[1].code == 400
+
+
+def test_binary_and_embed_success(spark):
+    from quire.operators.results import envelope, render_binary, render_embed
+
+    df = spark.createDataFrame([(None, b"%PDF", "pdf"), (None, b"x", "html"), ("a<b", None, "pdf")], "e string, d binary, t string")
+    o = envelope(F.col("e"), F.col("d"))
+    got = df.select(render_binary(o, F.col("t")).alias("b"), render_embed(o, F.col("t")).alias("h")).collect()
+    assert [(r.b.status, r.b.content_type, bytes(r.b.body)) for r in got] == [
+        (200, "application/pdf", b"%PDF"), (200, None, b"x"), (400, None, b"a<b")]
+    assert 'src="data:application/pdf;base64,JVBERg=="' in got[0].h and "embed" not in got[1].h and "a&lt;b" in got[2].h
