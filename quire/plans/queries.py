@@ -152,7 +152,7 @@ def _crawl(spark, sf_dir):
 
 
 def _fetched(spark, sf_dir, conf=JobConfig()):
-    return S.dispatch_fetch(_validated(spark, sf_dir, conf), conf, {"http": {"crawl": _crawl(spark, sf_dir)}})
+    return S.dispatch_fetch(_validated(spark, sf_dir, conf), conf, {"http": {"crawl": _crawl(spark, sf_dir), "unique": True}})
 
 
 @query

@@ -28,7 +28,7 @@ def convert_stream(spark, sf_dir):
     run = _run_dir(spark, "stream")
     X.request_bodies(spark, sf_dir).repartition(4, "request_id").write.parquet(f"{run}/in")
     run_stream(spark, f"{run}/in", f"{run}/out", f"{run}/checkpoint",
-               fetch_options={"http": {"crawl": _crawl(spark, sf_dir)}}, max_files_per_trigger=1)
+               fetch_options={"http": {"crawl": _crawl(spark, sf_dir), "unique": True}}, max_files_per_trigger=1)
     out = spark.read.parquet(f"{run}/out")
     return out.select("request_id", "code", "rule", "message", F.md5("data").alias("data_md5"), "template_used",
                       F.md5("response").alias("response_md5"))
@@ -37,7 +37,7 @@ def convert_stream(spark, sf_dir):
 @query
 def write_documents(spark, sf_dir):
     run = _run_dir(spark, "documents")
-    out = C.convert_job(_requests(spark, sf_dir), fetch_options={"http": {"crawl": _crawl(spark, sf_dir)}})
+    out = C.convert_job(_requests(spark, sf_dir), fetch_options={"http": {"crawl": _crawl(spark, sf_dir), "unique": True}})
     C.write_documents(out, f"{run}/docs")
     back = spark.read.parquet(f"{run}/docs")
     return back.select("request_id", "name", "dst_format", F.octet_length("content").cast("bigint").alias("n_bytes"),

@@ -24,7 +24,7 @@ TEMPLATE = (
 
 
 def _outcomes(spark, sf_dir):
-    return C.convert_job(_requests(spark, sf_dir), fetch_options={"http": {"crawl": _crawl(spark, sf_dir)}})
+    return C.convert_job(_requests(spark, sf_dir), fetch_options={"http": {"crawl": _crawl(spark, sf_dir), "unique": True}})
 
 
 @query
