@@ -41,7 +41,7 @@ WORDS = 5
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 75
 #: Shingles that a task packs at once, and that a bucket gets on average.
-PACKED, BUCKET = 1_500_000, 2_000_000
+PACKED, BUCKET = 1_000_000, 2_000_000
 #: Hot: in 1/HOT of the documents or more. At most HOT * (mean set size) shingles can be; they go to every task.
 HOT = 128
 #: Hashes of a node that lead it to a central one, members of a block of an inverted list, and the count that stands for hot.
