@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import read, sha256_hex, text_of, unused
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Matches that a worker remembers, and their characters: about 60 MB.
-CACHED, CACHED_CHARS = 300_000, 15_000_000
+#: Matches that a worker remembers, and their characters: about 100 MB.
+CACHED, CACHED_CHARS = 500_000, 20_000_000
 #: Characters of text whose new matches are merged by one queue, and matches gathered at once.
-TOGETHER, GATHERED = 10_000_000, 250_000
+TOGETHER, GATHERED = 16_000_000, 250_000
 
 
 class RankQueue:
