@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -86,7 +87,8 @@ class Encoder:
         self.words = _Words(self.whole)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
