@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -163,6 +164,52 @@ def test_line_dedup_long_and_empty(spark):
     assert sorted(map(tuple, o5.dedup_lines(nulls).collect())) == [(1, None, 0, 0), (2, "", 0, 0)]
 
 
+def wide_docs():
+    """Near copies at all lengths, by a word and by single characters (scattered to the limit in short lines), and lines without blanks."""
+    rng, out = random.Random(7), []
+    for k, each in enumerate((2, 3, 4, 6, 8, 9, 11, 14, 20, 40) * 3):
+        base = lines(700 + k, 1, each=each)
+        chars = list(base)
+        for _ in range(len(norm(base)) // (10 if len(norm(base)) < o5.SHORT else 40)):
+            chars[rng.randrange(1, len(chars) - 1)] = rng.choice("xyz")
+        words = base.split(" ")
+        words[each // 2] = words[each // 2][::-1]
+        out += [(400 + 3 * k, base), (401 + 3 * k, "".join(chars)), (402 + 3 * k, " ".join(words))]
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
+    return out + [(600, han), (601, han[:50] + "\u3400" + han[51:]), (602, han[:20]), (603, han[:7] + "\u3400" + han[8:20])]
+
+
+def copies_brute(docs, min_words):
+    """Documents (one line each) that are no first of their group, by edit similarity alone; how many pairs there are."""
+    root, n = {d: d for d, _ in docs}, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    norms = [(d, norm(t)) for d, t in docs if len(norm(t).split()) >= min_words]
+    for i, (d, a) in enumerate(norms):
+        for e, b in norms[:i]:
+            most = int(max(len(a), len(b)) * 0.1 + 1e-9)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+                n += 1
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    return {d for d in root if find(d) != d}, n
+
+
+def test_line_dedup_by_edit_similarity_alone(spark):
+    docs = wide_docs()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want, pairs = copies_brute(docs, 1)
+    assert pairs > 30 and 601 in want and 603 in want
+    got = {r.doc_id for r in o5.dedup_lines(df, min_words=1, wide=True).collect() if r.n_removed}
+    short = {d for d, t in docs if len(norm(t)) < o5.SHORT}
+    assert got <= want and got & short == want & short  # short lines: none is missed; long ones: MinHashes find almost all
+    assert len(want & short) > 10 and len(got - short) >= 0.95 * len(want - short)
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 def rules_brute(t):
