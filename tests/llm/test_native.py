@@ -210,6 +210,13 @@ def test_line_dedup_by_edit_similarity_alone(spark):
     assert len(want & short) > 10 and len(got - short) >= 0.95 * len(want - short)
 
 
+def test_line_dedup_query_takes_short_lines(spark, tmp_path):
+    texts = ["Home\nContact us\n\n---\nAll mine", "home!\n\n---\nContact us", "\u7981\u6b62\u5438\u70df", "\u7981\u6b62\u5438\u70df\u3002", "Homes"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: (r.n_lines, r.n_removed, r.kept_chars) for r in o5.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {0: (5, 0, len(texts[0])), 1: (4, 2, 4), 2: (1, 0, 4), 3: (1, 1, 0), 4: (1, 0, 5)}
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 def rules_brute(t):
