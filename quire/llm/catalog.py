@@ -13,6 +13,9 @@ from quire.llm import (
     op8_chat_format,
     op9_sharding,
     op10_secrets,
+    op11_topk,
+    op12_structure,
+    op13_merkle,
 )
 
 QUERIES = {
@@ -26,10 +29,16 @@ QUERIES = {
     "op8_chat_format": op8_chat_format.op8_chat_format,
     "op9_sharding": op9_sharding.op9_sharding,
     "op10_secrets": op10_secrets.op10_secrets,
+    "op11_topk": op11_topk.op11_topk,
+    "op12_structure": op12_structure.op12_structure,
+    "op13_merkle": op13_merkle.op13_merkle,
 }
 SQL = {
     "op3_decontamination": op3_decontamination.SQL,
     "op6_quality_rules": op6_quality_rules.SQL,
     "op8_chat_format": op8_chat_format.SQL,
     "op9_sharding": op9_sharding.SQL,
+    "op11_topk": op11_topk.SQL,
+    "op12_structure": op12_structure.SQL,
+    "op13_merkle": op13_merkle.SQL,
 }
