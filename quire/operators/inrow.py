@@ -3,8 +3,9 @@
 The block-table forms in ``quire.operators.outline`` are the analytics versions (rows, windows); these are the same
 definitions evaluated inside one document row, so a conversion with options still needs no shuffle. Spark evaluates the
 body of a lambda once per element and does not hoist what it captures, so everything that belongs to the whole document
-is bound once with ``let``, and headings are put back among the other blocks by a sort on their place. What is left beyond
-linear work is that sort and the copying of references where an ``aggregate`` appends to an array.
+is bound once with ``let``, headings are put back among the other blocks by a sort on their place, and what belongs together
+(equal slugs, the links of a scope) is a run of a sorted array, cut out by ``slice``. What is left beyond linear work are the
+sorts and the bytes copied where the section counters append to a string.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from quire.functions.codecs import html_escape, let
 from quire.operators.normalize import wrap_columns
 from quire.operators.outline import MAX_LEVEL, slug
 
-_STRINGS = "array<string>"
-
 
 def _block(b, text: Column | None = None, kind: Column | None = None, level: Column | None = None) -> Column:
     return F.struct(b["block_no"].alias("block_no"), (kind if kind is not None else b["kind"]).alias("kind"),
@@ -55,10 +54,11 @@ def section_numbers(blocks: Column, offset: Column) -> Column:
         c = bump(acc["c"], h["level"])
         shown = F.transform(F.slice(c, 1, h["level"]), lambda v, k: F.when(k == 0, v + offset).otherwise(v))
         num = F.array_join(F.transform(shown, lambda v: v.cast("string")), ".")
-        return F.struct(c.alias("c"), F.concat(acc["out"], F.array(num)).alias("out"))
+        return F.struct(c.alias("c"), F.concat(acc["out"], num, F.lit(",")).alias("out"))
 
-    init = F.struct(zero.alias("c"), F.array().cast(_STRINGS).alias("out"))
-    return F.aggregate(heads, init, step)["out"]
+    # one string, not an array: appending copies bytes and not an object per heading before
+    init = F.struct(zero.alias("c"), F.lit("").alias("out"))
+    return F.split(F.aggregate(heads, init, step)["out"], ",", -1)
 
 
 def number_headings(blocks: Column, offset: Column) -> Column:
@@ -68,18 +68,17 @@ def number_headings(blocks: Column, offset: Column) -> Column:
 
 
 def heading_ids(blocks: Column, prefix: Column) -> Column:
-    """ids of the headings in order (the rule of ``outline.header_ids``): repeats get ``-1``, ``-2``. Repeats are counted
-    along the sorted slugs, then put back in order."""
+    """ids of the headings in order (the rule of ``outline.header_ids``): repeats get ``-1``, ``-2``. Equal slugs are runs of
+    the sorted slugs; a heading's place in its run is the number of its repeat. Two sorts, no growing array."""
     slugs = F.transform(F.filter(blocks, _is_heading), lambda b, j: F.struct(slug(b["text"]).alias("s"), j.alias("j")))
-    init = F.struct(F.lit(None).cast("string").alias("s"), F.lit(0).alias("n"),
-                    F.array().cast("array<struct<j:int,s:string,n:int>>").alias("out"))
 
-    def step(acc, x):
-        return let(F.when(acc["s"] == x["s"], acc["n"] + 1).otherwise(F.lit(0)), lambda n: F.struct(
-            x["s"].alias("s"), n.alias("n"),
-            F.concat(acc["out"], F.array(F.struct(x["j"].alias("j"), x["s"].alias("s"), n.alias("n")))).alias("out")))
+    def numbered(ss):
+        opens = F.transform(ss, lambda x, i: F.when(~F.coalesce(F.get(ss, i - 1)["s"] == x["s"], F.lit(False)), i))
+        return let(F.filter(opens, lambda i: i.isNotNull()), lambda starts: F.flatten(F.transform(starts, lambda at, k: F.transform(
+            F.slice(ss, at + 1, F.coalesce(F.get(starts, k + 1), F.size(ss)) - at),
+            lambda x, n: F.struct(x["j"].alias("j"), x["s"].alias("s"), n.alias("n"))))))
 
-    return F.transform(F.sort_array(F.aggregate(F.sort_array(slugs), init, step)["out"]), lambda x: F.concat(
+    return F.transform(F.sort_array(let(F.sort_array(slugs), numbered)), lambda x: F.concat(
         prefix, x["s"], F.when(x["n"] > 0, F.concat(F.lit("-"), x["n"].cast("string"))).otherwise(F.lit(""))))
 
 
@@ -104,15 +103,15 @@ def section_closes(levels: Column) -> Column:
     """For each heading (levels in order): how many open sections it closes (those of its level or deeper), and as
     the last element the sections still open at the end. The open levels form a strictly increasing stack of at most
     six entries, kept by one ``aggregate``."""
-    init = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<int>").alias("closes"))
+    init = F.struct(F.array().cast("array<int>").alias("stack"), F.lit("").alias("closes"))
 
     def step(acc, lvl):
         popped = F.size(F.filter(acc["stack"], lambda v: v >= lvl))
         return F.struct(F.concat(F.filter(acc["stack"], lambda v: v < lvl), F.array(lvl)).alias("stack"),
-                        F.concat(acc["closes"], F.array(popped)).alias("closes"))
+                        F.concat(acc["closes"], popped.cast("string")).alias("closes"))  # a digit each
 
-    done = F.aggregate(levels, init, step)
-    return F.concat(done["closes"], F.array(F.size(done["stack"])))
+    done = F.aggregate(levels, init, step, lambda acc: F.concat(acc["closes"], F.size(acc["stack"]).cast("string")))
+    return F.transform(F.filter(F.split(done, ""), lambda d: d != ""), lambda d: d.cast("int"))
 
 
 def render_html_ids(blocks: Column, prefix: Column, sections: Column | None = None) -> Column:
@@ -171,24 +170,23 @@ def render_markdown_refs(blocks: Column, links: Column, location: Column, atx: C
         F.transform(blocks, lambda b, i: event(b["block_no"], 0, i, _is_heading(b) & (b["level"] <= 1),
                                                F.when(b["text"] != "", piece(b)))),
         F.transform(links, lambda lk, i: event(lk["block_no"], 1, i, F.lit(False), lk["href"]))))
-    none = F.array().cast(_STRINGS)
-    state = F.struct(none.alias("hrefs"), none.alias("out"), F.lit(None).cast("int").alias("no"))
-    noted = lambda acc: F.concat(acc["out"], F.filter(F.array(_notes(acc["hrefs"])), lambda x: x.isNotNull()))
-
-    def read(due, takes):
-        """All texts and notes in order. ``due``: whether the notes so far come before this block; ``takes``: whether a
-        link counts, given the last block's number (null when it has no text)."""
-        def step(acc, e):
-            link = F.struct(F.when(takes(acc["no"], e), F.concat(acc["hrefs"], F.array(e["text"]))).otherwise(acc["hrefs"])
-                            .alias("hrefs"), acc["out"].alias("out"), acc["no"].alias("no"))
-            block = F.struct(F.when(due(e), none).otherwise(acc["hrefs"]).alias("hrefs"), F.concat(
-                F.when(due(e), noted(acc)).otherwise(acc["out"]), F.filter(F.array(e["text"]), lambda x: x.isNotNull()))
-                .alias("out"), F.when(e["text"].isNotNull(), e["no"]).alias("no"))
-            return F.when(e["link"] == 1, link).otherwise(block)
-
-        return F.array_join(F.aggregate(events, state, step, noted), "\n\n")
+    def read(opens, takes):
+        """All texts and notes in order. The events are cut into groups, a new one where ``opens`` holds; after the texts of a
+        group come the notes of those of its links that ``takes`` counts, given the group's first event."""
+        def group(part):
+            first = F.get(part, F.lit(0))
+            notes = _notes(F.transform(F.filter(part, lambda e: (e["link"] == 1) & takes(first, e)), lambda e: e["text"]))
+            return F.filter(F.concat(F.transform(F.filter(part, lambda e: e["link"] == 0), lambda e: e["text"]), F.array(notes)),
+                            lambda x: x.isNotNull())
+
+        def grouped(ev):
+            return let(F.filter(F.transform(ev, lambda e, i: F.when((i == 0) | opens(e), i)), lambda i: i.isNotNull()), lambda starts: F.flatten(
+                F.transform(starts, lambda at, k: let(F.slice(ev, at + 1, F.coalesce(F.get(starts, k + 1), F.size(ev)) - at), group))))
+
+        return F.array_join(let(events, grouped), "\n\n")
 
     doc_notes = _notes(F.transform(links, lambda lk: lk["href"]))
-    return (F.when(location == "block", read(lambda e: F.lit(True), lambda no, e: F.coalesce(no == e["no"], F.lit(False))))
-            .when(location == "section", read(lambda e: e["top"], lambda no, e: F.lit(True)))
+    in_block = lambda first, e: first["text"].isNotNull() & (first["link"] == 0) & (first["no"] == e["no"])
+    return (F.when(location == "block", read(lambda e: e["link"] == 0, in_block))
+            .when(location == "section", read(lambda e: e["top"], lambda first, e: F.lit(True)))
             .otherwise(F.concat_ws("\n\n", F.array_join(F.transform(kept, piece), "\n\n"), doc_notes)))
