@@ -92,6 +92,14 @@ def with_toc(blocks: Column, depth: Column) -> Column:
     return F.concat(items, blocks)
 
 
+def with_references(blocks: Column, entries: Column) -> Column:
+    """The list of cited entries, a numbered paragraph each, after the last block."""
+    last = F.coalesce(F.try_element_at(blocks, F.lit(-1))["block_no"], F.lit(0))
+    return F.concat(blocks, F.transform(entries, lambda e, i: F.struct(
+        (last + i + 1).cast("int").alias("block_no"), F.lit("para").alias("kind"), F.lit(0).alias("level"),
+        F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), e).alias("text"))))
+
+
 def wrap_paragraphs(blocks: Column, mode: Column, columns: Column) -> Column:
     """wrap auto / none applied to paragraph texts (headings and items stay on one line)."""
     return F.transform(blocks, lambda b: F.when(b["kind"] == "para", _block(

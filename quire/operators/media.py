@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.codecs import b64_decode, b64_encode
 from quire.model import MIME_EXT
+from quire.operators.validate import normalize_path, within_safe_dir
 
 INLINE_URI_RE = r"data:([A-Za-z0-9.+-]+/[A-Za-z0-9.+-]+);base64,([A-Za-z0-9+/]+={0,2})"
 
@@ -110,6 +111,39 @@ def resolve_resources(refs: DataFrame, files: DataFrame, path_list: Column) -> D
     return best.select("doc_id", "n", "ref", resolved.alias("resolved"))
 
 
+#: A relative reference to a resource: a Markdown image, or a src attribute. The first group goes before it.
+RESOURCE_RE = r"""(!\[[^\]\n]*\]\(|\bsrc\s*=\s*["'])([^()\s"']+)"""
+
+
+def _relative(ref: Column) -> Column:
+    return ~ref.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|/|#)")
+
+
+def resource_refs(text: Column) -> Column:
+    """The distinct relative resource references of a text, in order."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(RESOURCE_RE), 2), _relative))
+
+
+def rewrite_refs(text: Column, paths: Column) -> Column:
+    """Each relative resource reference in ``paths`` (map reference -> path) is replaced; others stay."""
+    refs = F.regexp_extract_all(text, F.lit(RESOURCE_RE), 2)
+    tags = F.regexp_extract_all(text, F.lit(RESOURCE_RE), 1)
+    put = F.zip_with(tags, refs, lambda tag, ref: F.concat(tag, F.when(_relative(ref), F.coalesce(F.try_element_at(paths, ref), ref)).otherwise(ref)))
+    return F.array_join(F.zip_with(F.split(text, RESOURCE_RE, -1), put, lambda part, x: F.concat(part, F.coalesce(x, F.lit("")))), "")
+
+
+def resource_paths(refs: DataFrame, files: DataFrame, safe_dir: str, mode: str = "strict") -> DataFrame:
+    """M3 for a job: ``refs(request_id, refs_hash, ref, resource_path)`` -> (request_id, refs_hash, paths map<ref, path>). The
+    first directory of the ``:``-separated resource path that holds the reference wins; only files below the safe folder
+    count. ``files(f_path)`` has one row per normalised path; no text and no content takes part."""
+    tried = refs.select("request_id", "refs_hash", "ref", F.posexplode(F.split("resource_path", ":", -1)).alias("pos", "dir"))
+    tried = tried.withColumn("path", F.concat(F.regexp_replace("dir", "/+$", ""), F.lit("/"), F.col("ref"))).where(F.col("dir") != "")
+    tried = tried.withColumn("n_path", normalize_path(F.col("path"))).where(within_safe_dir(F.col("path"), safe_dir, mode))
+    best = tried.join(files.select("f_path"), F.col("n_path") == F.col("f_path")).groupBy("request_id", "refs_hash", "ref").agg(
+        F.min(F.struct("pos", "path")).alias("b"))
+    return best.groupBy("request_id", "refs_hash").agg(F.map_from_entries(F.collect_list(F.struct("ref", "b.path"))).alias("paths"))
+
+
 def warnings(*parts: DataFrame) -> DataFrame:
     """Union of ``(doc_id, kind, detail)`` warning tables."""
     out = parts[0].select("doc_id", "kind", "detail")

@@ -17,16 +17,18 @@ from quire.functions.codecs import html_escape, let, md5_text, utf8, utf8_text,
 from quire.model import CONVERTER_SCHEMA, JobConfig
 from quire.operators import blocks as B
 from quire.operators import inrow as I
+from quire.operators import links as L
 from quire.operators import media as M
 from quire.operators import normalize as N
 from quire.operators import render as R
 from quire.plans import registry
 from quire.operators.results import envelope, render_binary, render_default, render_embed
+from quire.operators.metadata import ENTRIES, document_metadata, without_head
+from quire.operators.rowtemplate import render_row
 from quire.operators.templates import compile_template, includes, parse_template
 from quire.operators.validate import validate_requests
-from quire.sources.fetch import dispatch_fetch
-from quire.operators.links import link_array
-from quire.sources.files import refs_hash, resolve_file_options, without_files
+from quire.sources.fetch import dispatch_fetch, one_per_url
+from quire.sources.files import refs_hash, resolve_file_options, table_files, without_files
 from quire.session import scratch_path
 from quire.sources.requests import compute_once
 
@@ -304,10 +306,10 @@ def finish_output(text, to, conv):
     return t.flush() if isinstance(text, Chain) else t.value
 
 
-def request_vars(conv: Column, files_col: Column | None = None) -> Column:
-    """Template variables of one request: ``variable`` (single values) first, then ``metadata`` (lists); the first
-    source of a name wins. ``title_prefix`` is put in front of every title (``prefix - title``) and is the title
-    when there is none."""
+def request_vars(conv: Column, files_col: Column | None = None, doc_meta: Column | None = None) -> Column:
+    """Template variables of one request: ``variable`` (single values) first, then ``metadata`` (lists), the metadata file,
+    and what the document brings along (``doc_meta``, ``document_metadata``); the first source of a name wins.
+    ``title_prefix`` is put in front of every title (``prefix - title``) and is the title when there is none."""
     var_e = F.transform(F.map_entries(F.coalesce(conv["variable"], F.create_map().cast("map<string,string>"))),
                         lambda e: F.struct(e["key"].alias("key"), F.array(e["value"]).alias("value")))
     meta_e = F.transform(
@@ -323,6 +325,8 @@ def request_vars(conv: Column, files_col: Column | None = None) -> Column:
             t = file_text(files_col, opt)
             parts.append(F.when(t.isNotNull(), F.array(F.struct(F.lit(var).alias("key"), F.array(t).alias("value"))))
                          .otherwise(F.array().cast("array<struct<key:string,value:array<string>>>")))
+    if doc_meta is not None:
+        parts.append(F.coalesce(doc_meta, F.array().cast(ENTRIES)))
     # the first entry of a name stays
     keep = let(F.concat(*parts), lambda es: let(F.transform(es, lambda e: e["key"]), lambda ks: F.filter(
         es, lambda e, i: F.array_position(ks, e["key"]) == i + 1)))
@@ -343,6 +347,53 @@ def select_template(name: Column, registered: tuple[str, ...]) -> Column:
         DEFAULT_TEMPLATE)
 
 
+def _empty_map() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+def side_table(valid: DataFrame, fetched: DataFrame, files: DataFrame, conf: JobConfig, crawl: DataFrame | None) -> DataFrame:
+    """What the side files give each request, one row per (request_id, refs_hash): ``file_rule``, ``file_error``, ``file_texts``
+    (rules 10/11), ``cites`` (citation key -> entry, from ``bibliography`` and ``citation_abbreviations``) and ``paths`` (resource
+    reference -> path, from ``resource_path``). The last two are null for requests without these options.
+
+    Documents of requests with such options are read once for the keys and references they use, which are written to
+    the shared folder; bibliographies are parsed once per file and shortened once per pair of files; the joins see only
+    keys, references and paths, and no document moves."""
+    spark = valid.sparkSession
+    fr = resolve_file_options(valid, files, conf.safe_dir, conf.safe_dir_mode, crawl)
+    conv, text = F.col("converter"), utf8_text(F.col("data"))
+    cites, paths = (F.coalesce(conv[k], F.lit("")) != "" for k in ("bibliography", "resource_path"))
+    used = fetched.where(F.col("rule").isNull() & F.col("fetch_error").isNull() & (cites | paths)).select(
+        "request_id", refs_hash().alias("refs_hash"), conv["resource_path"].alias("resource_path"),
+        F.when(cites, L.cited_keys(text)).alias("keys"), F.when(paths, M.resource_refs(text)).alias("refs"))
+    path = scratch_path(spark, f"used-{uuid.uuid4().hex}")
+    used.write.parquet(path)
+    used = spark.read.schema(used.schema).parquet(path)
+    if not used.limit(1).count():
+        return fr.withColumns({"cites": F.lit(None).cast("map<string,string>"), "paths": F.lit(None).cast("map<string,string>")})
+    tables = table_files(valid, files, conf.safe_dir, conf.safe_dir_mode, crawl)
+    by_option = lambda option: tables.where(F.col("option") == option).select("source", "text")
+    bib_id, abbr_id = (F.try_element_at("file_ids", F.lit(k)).alias(a) for k, a in (("bibliography", "bib_id"), ("citation_abbreviations", "abbr_id")))
+    named = fr.select(F.col("request_id").alias("f_id"), F.col("refs_hash").alias("f_hash"), bib_id, abbr_id).where("bib_id is not null")
+    entries = L.citation_entries(named.select("bib_id", "abbr_id").distinct(), L.bibliography_entries(by_option("bibliography")),
+                                 L.abbreviation_entries(by_option("citation_abbreviations")))
+    asked = used.select("request_id", "refs_hash", F.explode("keys").alias("c_key")).distinct().join(
+        named, F.col("request_id").eqNullSafe(F.col("f_id")) & (F.col("refs_hash") == F.col("f_hash"))).select(
+            "request_id", "refs_hash", "c_key", F.col("bib_id").alias("c_bib"), F.col("abbr_id").alias("c_abbr"))
+    cited = asked.join(entries, (F.col("c_bib") == F.col("bib_id")) & F.col("c_abbr").eqNullSafe(F.col("abbr_id")) & (
+        F.col("c_key") == F.col("key"))).groupBy("request_id", "refs_hash").agg(
+            F.map_from_entries(F.collect_list(F.struct("key", "entry"))).alias("cites"))
+    found = M.resource_paths(used.select("request_id", "refs_hash", "resource_path", F.explode("refs").alias("ref")).distinct(),
+                             files, conf.safe_dir, conf.safe_dir_mode)
+    parts = [fr.drop("file_ids"), cited, found]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    # each column comes from one of the tables, so a group has one value of it
+    return both.groupBy("request_id", "refs_hash").agg(*[F.first(c, ignorenulls=True).alias(c) for c in (
+        "file_rule", "file_error", "file_texts", "cites", "paths")])
+
+
 def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_options: dict | None = None,
                 files: DataFrame | None = None, resources: DataFrame | None = None) -> DataFrame:
     """E1 over parsed requests. Output: request_id, src_format, dst_format, template, driver, rule, code, message,
@@ -354,12 +405,14 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     conv = F.col("converter")
     files_col = None
     if files is not None:
-        # rules 10/11: resolve file options (one row per request that has any); a left join on request_id whose
-        # strategy AQE picks from the measured size of the resolution table
-        fr = resolve_file_options(v.filter(F.col("rule").isNull()), files, conf.safe_dir, conf.safe_dir_mode)
-        f = f.withColumn("rh__", refs_hash()).alias("f").join(fr.alias("fr"), F.col("f.request_id").eqNullSafe(
-            F.col("fr.request_id")) & (F.col("rh__") == F.col("refs_hash")), "left").select(
-                "f.*", "file_rule", "file_error", "file_texts")
+        # one row per request that has side files; a left join on request_id whose strategy AQE picks from the measured
+        # size of that table
+        crawl = (fetch_options or {}).get("http", {})
+        crawl = crawl.get("crawl") if crawl.get("unique") or crawl.get("crawl") is None else one_per_url(crawl["crawl"])
+        side = side_table(v.filter(F.col("rule").isNull()), f, files, conf, crawl)
+        f = f.withColumn("rh__", refs_hash()).alias("f").join(side.alias("s"), F.col("f.request_id").eqNullSafe(
+            F.col("s.request_id")) & (F.col("rh__") == F.col("refs_hash")), "left").select(
+                "f.*", "file_rule", "file_error", "file_texts", "cites", "paths")
         files_col = F.col("file_texts")
     else:  # a file option without a file table is an error, not ignored
         file_rule, file_error = without_files()
@@ -368,10 +421,15 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
             .withColumn("file_texts", F.lit(None).cast("map<string,string>"))
     # W1 per request: warnings on the fetched source; with fail_if_warnings they make the request fail (rule 12)
     text = utf8_text(F.col("data"))
-    warn = F.filter(F.array(
-        F.when(F.col("data").isNotNull() & ~utf8_valid(F.col("data")), F.lit("invalid_utf8")),
-        F.when(F.col("data").isNotNull() & (conv["from"] == "html") & ~F.lower(text).contains("</body>"),
-               F.lit("html_unclosed"))), lambda x: x.isNotNull())
+    kinds = [F.when(F.col("data").isNotNull() & ~utf8_valid(F.col("data")), F.lit("invalid_utf8")),
+             F.when(F.col("data").isNotNull() & (conv["from"] == "html") & ~F.lower(text).contains("</body>"), F.lit("html_unclosed"))]
+    cites_on, paths_on = (F.coalesce(conv[k], F.lit("")) != "" for k in ("bibliography", "resource_path"))
+    if files is not None:
+        f = f.withColumn("cites", F.coalesce("cites", _empty_map())).withColumn("paths", F.coalesce("paths", _empty_map()))
+        kinds += [F.when(F.col("data").isNotNull() & cites_on & L.missing_citations(text, F.col("cites")), F.lit("unresolved_citation")),
+                  F.when(F.col("data").isNotNull() & paths_on & F.exists(M.resource_refs(text), lambda r: F.try_element_at("paths", r).isNull()),
+                         F.lit("unresolved_resource"))]
+    warn = F.filter(F.array(*kinds), lambda x: x.isNotNull())
     warn_error = F.when((F.coalesce(conv["fail_if_warnings"], F.lit(False)) | F.lit(conf.fail_if_warnings)) & (F.size(warn) > 0),
                         F.concat(F.lit("failing because there were warnings: "), F.array_join(warn, ", ")))
     conv_error = F.coalesce(F.col("conv_error"), warn_error)
@@ -379,13 +437,25 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
                       F.when(conv_error.isNotNull(), F.lit(12)))
     err = F.coalesce(F.col("message"), F.col("fetch_error"), F.col("file_error"), conv_error)
     f = f.select("request_id", "converter", "template", "driver", rule.alias("rule"), err.alias("error"), "data",
-                 "file_texts", warn.alias("warnings"))
+                 "file_texts", warn.alias("warnings"), *(["cites", "paths"] if files is not None else []))
     ok = F.col("error").isNull()
     # each option stage below is a projection of its own (``Chain`` frame mode)
-    src = prepare_input(Chain(F.when(ok, utf8_text(F.col("data"))), f, "src__"), conv["from"], conv, files_col)
+    raw = F.when(conv["from"] == "markdown", without_head(utf8_text(F.col("data")))).otherwise(utf8_text(F.col("data")))
+    src = prepare_input(Chain(F.when(ok, raw), f, "src__"), conv["from"], conv, files_col)
+    if files is not None:
+        src.df = src.df.withColumn("entries__", F.when(ok & cites_on, L.reference_list(F.col("src__"), F.col("cites"))))
+        src.stage(ok & cites_on, lambda y: L.cite_in_text(y, F.col("cites")))
+        src.stage(ok & paths_on, lambda y: M.rewrite_refs(y, F.col("paths")))
+        src.flush()
+    standalone = F.coalesce(conv["standalone"], F.lit(False))
+    own_template = F.lit(False) if files_col is None else file_text(files_col, "template").isNotNull()
+    templated = own_template if conf.document_template is None else own_template | standalone
+    if conf.document_template is not None or files is not None:
+        src.df = src.df.withColumn("vars__", F.when(ok & templated, request_vars(conv, files_col, document_metadata(
+            utf8_text(F.col("data")), conv["from"]))))
     refs_on = ok & (conv["from"] == "html") & F.coalesce(conv["reference_links"], F.lit(False))
     f = compute_once(src.df, blocks__=F.when(ok, parse_blocks(F.col("src__"), conv["from"])),
-                     links__=F.when(refs_on, link_array(F.col("src__")))).drop("data", "src__")
+                     links__=F.when(refs_on, L.link_array(F.col("src__")))).drop("data", "src__")
     if conf.enable_filter:
         chain = Chain(df=f, name="blocks__")
         for name, fn in sorted(registry.filters().items()):
@@ -393,14 +463,22 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
         f = chain.flush().df
     f = apply_block_options(Chain(df=f, name="blocks__"), conv).df
     blocks = F.col("blocks__")
-    rendered = write_text(blocks, conv["to"], conv, files_col, F.col("links__"))
+    if files is not None:  # the reference list goes after the document
+        f = f.withColumn("blocks__", F.when(F.size("entries__") > 0, I.with_references(blocks, F.col("entries__"))).otherwise(blocks))
+    # the body first, as a column: pages and templates then read it as often as they like
+    f = f.withColumn("body__", F.when(ok, write_text(blocks, conv["to"], conv, files_col, F.col("links__"), standalone=False)))
+    header, before, after = page_parts(conv, files_col)
+    body = F.col("body__")
+    rendered = F.when(standalone & (conv["to"] == "html"), includes(body, header, before, after, True, F.lit(""))).otherwise(body)
     if conf.document_template is not None:
-        standalone = F.coalesce(conv["standalone"], F.lit(False))
-        body = write_text(blocks, conv["to"], conv, None, F.col("links__"), standalone=F.lit(False))
-        page = compile_template(conf.document_template, request_vars(conv, files_col), body)
-        rendered = F.when(standalone, page).otherwise(rendered)
+        rendered = F.when(standalone, compile_template(conf.document_template, F.col("vars__"), body)).otherwise(rendered)
+    if files is not None:  # a template of the request's own; like the job's it is a standalone page by itself
+        f = compute_once(f, page__=F.when(ok & own_template, render_row(file_text(files_col, "template"), F.col("vars__"), body)))
+        failed = F.concat(F.lit("template: "), F.col("page__.error"))
+        f = f.withColumn("rule", F.coalesce("rule", F.when(failed.isNotNull(), F.lit(12)))).withColumn("error", F.coalesce("error", failed))
+        rendered = F.when(own_template, F.col("page__.text")).otherwise(rendered)
     f = finish_output(Chain(F.when(ok, rendered), f, "rendered__"), conv["to"], conv).df
-    f = f.drop("file_texts", "blocks__", "links__")
+    f = f.drop("file_texts", "blocks__", "links__", "body__", "vars__", "page__", "entries__", "cites", "paths")
     if resources is not None:
         # self_contained (M2): only requests with the option go through the reference join; the option filter reads
         # the converter struct only, so it is pushed down next to the parse and the conversion runs once per request
