@@ -6,7 +6,8 @@ fingerprint chosen from it: no shared span of ``n`` words is missed. Fingerprint
 match fixes an alignment (a diagonal), on which the words of text and item are then compared: all windows of ``n`` equal
 words are hit. Items of fewer than ``n`` words are one window; of those lengths, all windows of a text are fingerprints.
 
-The search folds case in all alphabets, which can only add candidates; the comparison folds A to Z alone.
+The search folds case in all alphabets character by character (``loose``), which can only add candidates; the comparison
+folds A to Z alone.
 
 Rows: texts are only shuffled once, for the join with their alignments. The fingerprint table of the items is broadcast
 only if it has ``BROADCAST_ROWS`` rows at most (counted first); beyond, both sides are shuffled by fingerprint.
@@ -30,6 +31,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAPS, -1), "")
 
 
+def loose(text: Column) -> Column:
+    """Lower case in all alphabets. The capital sigma goes first: it alone has two lower-case forms, and which one it gets
+    would depend on the letters around it, so words that are equal but for A to Z could come out unlike."""
+    return F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def hashes(words: Column) -> Column:
     return F.transform(words, lambda x: F.xxhash64(x))
 
@@ -74,7 +81,7 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", key: st
     rows = docs.withColumn(th, F.xxhash64(F.col(text)))
 
     goods = bench.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("t")).distinct()
-    goods = goods.select("item", hashes(words_of(F.lower("t"))).alias("loose"),
+    goods = goods.select("item", hashes(words_of(loose(F.col("t")))).alias("loose"),
                          hashes(words_of(ascii_lower(F.col("t")))).alias("w")).where(F.size("w") > 0)
     # at most n - 1 numbers
     sizes = sorted(r[0] for r in goods.where(F.size("w") < n).select(F.size("w")).distinct().collect())
@@ -87,7 +94,7 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", key: st
     if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
 
-    prints = let(hashes(words_of(F.lower(text))), lambda w: F.concat(F.coalesce(winnowed(w, n, k), none), *_whole(w, sizes)))
+    prints = let(hashes(words_of(loose(F.col(text)))), lambda w: F.concat(F.coalesce(winnowed(w, n, k), none), *_whole(w, sizes)))
     found = rows.select(F.col(key).alias("key"), F.col(th).alias("th"), F.inline(prints)).join(marks, "fp").select(
         "key", "th", "item", (F.col("pos") - F.col("item_pos")).alias("diag")).distinct()
     found = found.join(goods.select(F.col("item").alias("item2"), "w"), F.col("item").eqNullSafe(F.col("item2"))).groupBy(
@@ -107,7 +114,7 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", key: st
             F.sort_array(F.array_distinct(F.transform(F.filter(r, lambda x: (F.size(x["at"]) > 0) & x["item"].isNotNull()),
                                                       lambda x: x["item"]))).alias("items")))
 
-    rows = rows.withColumn("n_words", F.size(words_of(F.lower(text))).cast("long"))
+    rows = rows.withColumn("n_words", F.size(words_of(loose(F.col(text)))).cast("long"))
     a, b = rows.alias("a"), found.alias("b")
     joined = a.join(b, F.col(f"a.`{key}`").eqNullSafe(F.col("b.key")) & (F.col(f"a.`{th}`") == F.col("b.th")), "left")
     result = F.when(F.col("b.found").isNotNull(), let(

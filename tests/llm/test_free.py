@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -221,20 +222,27 @@ def test_planes_round_trip():
         assert o4.unplanes(o4.planes(ids), n) == ids
 
 
-def test_words_like_the_library():
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_words_like_the_library(special_as_text):
     path = public_tokenizers.path(o4.VOCABULARY)
-    mine, library = o4.Encoder(path), Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    mine, library = o4.Encoder(path, special_as_text), Tokenizer.from_file(path)
+    library.encode_special_tokens = special_as_text
     assert mine.findall is not None
     every = "".join(map(chr, range(1, 0x250)))
-    for t in [r[1] or "" for r in rows()] + hard_texts() + [every, " ".join(every), "It's we'LL ÀÉ İstanbul ǅ ŉ 12 3.5", "é   \x85x"]:
+    plain = "".join(c for c in every if regex.fullmatch(o4.PLAIN, c))
+    special = ["abc <|endoftext|> def", "<|startoftext|><|ENDOFTEXT|>x<|endoftext|", "<|endoftext|>"]
+    assert (library.encode(special[0], add_special_tokens=False).ids == [5334, 49407, 11649]) != special_as_text
+    rng = random.Random(9)
+    mixed = ["".join(rng.choice(plain) for _ in range(300)) for _ in range(40)] + [
+        " ".join(rng.choice(plain) + "s'll 1½" for _ in range(99)) for _ in range(20)]
+    for t in [r[1] or "" for r in rows()] + hard_texts() + special + mixed + [
+            every, " ".join(every), plain, " ".join(plain), "It's we'LL ÀÉ İstanbul ǅ ŉ 12 3.5", "é   \x85x"]:
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("block", [64, 65_536])
 def test_id_files(spark, block):
     library = Tokenizer.from_file(public_tokenizers.path(o4.VOCABULARY))
-    library.encode_special_tokens = True
     df = documents(spark).withColumn("start", F.lit(1))
     path = shared_path(spark, "test-ids")
     o4.write_ids(df, path, block=block)

@@ -58,6 +58,18 @@ def test_decontamination(spark):
     assert set(CLASHING) <= set(o3.contamination(df, bench).columns)
 
 
+def test_decontamination_beyond_ascii(spark):
+    """Case is folded for A to Z alone, whatever the search does: capital sigma, dotted and dotless i, Kelvin and Angstrom signs."""
+    items = [(1, "ΑΣ Β"), (2, "İstanbul KELVIN \u212a"), (3, "ςα ΣΑ σ"), (4, "ısı ISI Ǆ"), (5, " ".join(["ΟΔΟΣ", "a", "İx", "\u212bB", "Σ", "ΣΣ", "σς", "k", "ß", "ẞ", "ſ"]))]
+    texts = ["x ΑΣ.Β y", "ας β", "αΣ Β ΑΣ,Β", "İSTANBUL kelvin \u212a", "istanbul kelvin k", "Σα ςΑ", "ςα ΣΑ σ!", "ıSı isi Ǆ ǆ", "ΟΔΟΣ.A İX \u212bb Σ ΣΣ:σς K ß ẞ ſ",
+             "ΟΔΟΣ a i̇x \u212bb Σ ΣΣ σς k ß ẞ ſ", "ΣΑΣ ΑΣ Β1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in o3.contamination(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got[0].n_hit == 2 and got[0]["items"] == ["1"]
+    for k, (n, hit, found) in enumerate(contaminated_brute(texts, items)):
+        assert (got[k].n_words, got[k].hit_words, got[k]["items"]) == (n, hit, found), texts[k]
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     bench = spark.createDataFrame([(1, rows()[0][1])], "item_id bigint, text string")
     want = sorted(map(str, o3.contamination(documents(spark), bench).select("doc_id", "n_hit").collect()))
