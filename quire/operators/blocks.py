@@ -33,6 +33,16 @@ MD_HEADING_RE = r"^(#{1,6}) "
 MD_ITEM_RE = r"^[-*+] "
 
 
+def unmarked(text: Column) -> Column:
+    """U+0001 and U+0002 mark block starts while a document is split; where a document holds them itself, or HTML references
+    to them, they become U+FFFD, so that no text can pass for a mark."""
+    return F.replace(F.replace(text, F.lit(MARK), F.lit("\ufffd")), F.lit(ENDTAG), F.lit("\ufffd"))
+
+
+def _unreferenced(html: Column) -> Column:
+    return F.when(F.instr(html, "&#") > 0, F.regexp_replace(html, "&#(?:0*[12]|[xX]0*[12]);", "\ufffd")).otherwise(html)
+
+
 def _block(no: Column, kind: Column, level: Column, text: Column) -> Column:
     return F.struct(
         no.cast("int").alias("block_no"), kind.alias("kind"), level.cast("int").alias("level"), text.alias("text")
@@ -42,7 +52,7 @@ def _block(no: Column, kind: Column, level: Column, text: Column) -> Column:
 def html_block_array(html: Column) -> Column:
     """B1. Remove script/style/head/comments, start a block at each opening block tag, drop other tags, decode
     character references, collapse blanks. Text before the first block tag is a para, block 0."""
-    s = F.regexp_replace(html, HTML_STRIP_RE, "")
+    s = F.regexp_replace(_unreferenced(unmarked(html)), HTML_STRIP_RE, "")
     s = F.regexp_replace(s, HTML_MARK_RE, MARK + "$1" + ENDTAG)
     s = F.regexp_replace(s, TAG_RE, " ")
     s = F.regexp_replace(html_unescape(s), r"[ \t\r\n]+", " ")
@@ -65,7 +75,7 @@ def plain_block_array(text: Column) -> Column:
 def markdown_block_array(text: Column) -> Column:
     """B2, from=markdown: a line ``#{1,6} text`` is a heading, a line ``[-*+] text`` an item, other lines form
     paragraphs separated by blank lines (inner newlines kept)."""
-    s = F.regexp_replace(text, r"\r\n", "\n")
+    s = F.regexp_replace(unmarked(text), r"\r\n", "\n")
     s = F.regexp_replace(s, r"(?m)^((#{1,6}|[-*+]) [^\n]*)$", MARK + "$1" + MARK)
     s = F.regexp_replace(s, r"\n([ \t]*\n)+", MARK)
     pieces = F.filter(F.split(s, "\n?" + MARK + "+\n?", -1), lambda x: F.trim(x) != "")

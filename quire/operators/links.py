@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.codecs import let
-from quire.operators.blocks import ENDTAG, HTML_MARK_RE, HTML_STRIP_RE, MARK
+from quire.operators.blocks import ENDTAG, HTML_MARK_RE, HTML_STRIP_RE, MARK, unmarked
 
 ANCHOR_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
 CITE_RE = r"\[@([A-Za-z0-9_:.-]+)\]"
@@ -23,7 +23,7 @@ def _anchor_text(t: Column) -> Column:
 
 def link_array(html: Column) -> Column:
     """array<struct<block_no, href, text>> in document order; block 0 = before the first block tag."""
-    s = F.regexp_replace(F.regexp_replace(html, HTML_STRIP_RE, ""), HTML_MARK_RE, MARK + "$1" + ENDTAG)
+    s = F.regexp_replace(F.regexp_replace(unmarked(html), HTML_STRIP_RE, ""), HTML_MARK_RE, MARK + "$1" + ENDTAG)
     pieces = F.split(s, MARK, -1)
 
     def per_piece(p, i):
@@ -130,7 +130,7 @@ def abbreviation_entries(files: DataFrame) -> DataFrame:
 
 
 def entry_text(author: Column, title: Column, container: Column, year: Column) -> Column:
-    return F.concat(F.concat_ws(". ", author, title, container, year), F.lit("."))
+    return F.concat(F.concat_ws(". ", *[F.regexp_replace(c, r"\.$", "") for c in (author, title, container, year)]), F.lit("."))
 
 
 def citation_entries(pairs: DataFrame, bib: DataFrame, abbr: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every window is partitioned by ``doc_id`` (never over the whole corpus) and ordered by ``block_no``; operators that
 need two passes use the same window spec twice, so Spark sorts once. Groupings by ``(doc_id, x)`` after such a window
-reuse its ``doc_id`` hash partitioning and add no shuffle.
+reuse its ``doc_id`` hash partitioning and add no shuffle. ``by`` names the columns of one numbering: the document, or
+``PARTS`` (document and part) for combined documents with ``file_scope``, whose inputs keep numberings of their own.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from pyspark.sql import functions as F
 from quire.operators.render import render_plain
 
 MAX_LEVEL = 6
+DOCUMENT, PARTS = ("doc_id",), ("doc_id", "part")
 
 
-def doc_window():
-    return Window.partitionBy("doc_id").orderBy("block_no")
+def doc_window(by: tuple[str, ...] = DOCUMENT):
+    return Window.partitionBy(*by).orderBy("block_no")
 
 
-def running():
-    return doc_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def running(by: tuple[str, ...] = DOCUMENT):
+    return doc_window(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def shift_headings(blocks: DataFrame, base: int) -> DataFrame:
@@ -36,21 +38,21 @@ def shift_headings(blocks: DataFrame, base: int) -> DataFrame:
     })
 
 
-def number_sections(blocks: DataFrame, offset: int = 0) -> DataFrame:
+def number_sections(blocks: DataFrame, offset: int = 0, by: tuple[str, ...] = DOCUMENT) -> DataFrame:
     """O2: counter path ``1.2.3`` for every heading. A heading resets the counters of all deeper levels; ``offset`` is
     added to the level-1 counter; missing intermediate levels show as 0.
 
     counter_k = (level-k headings so far) - (that count at the last heading shallower than k)."""
-    h = blocks.filter(F.col("kind") == "heading").select("doc_id", "block_no", "level", "text")
+    h = blocks.filter(F.col("kind") == "heading").select(*by, "block_no", "level", "text")
     # one select per pass: Spark evaluates all window functions of a select with the same spec in one operator
-    h = h.select("*", *[F.sum(F.when(F.col("level") == k, 1).otherwise(0)).over(running()).alias(f"cum{k}")
+    h = h.select("*", *[F.sum(F.when(F.col("level") == k, 1).otherwise(0)).over(running(by)).alias(f"cum{k}")
                         for k in range(1, MAX_LEVEL + 1)])
     h = h.select("*", *[F.coalesce(F.last(F.when(F.col("level") < k, F.col(f"cum{k}")), ignorenulls=True)
-                                   .over(running()), F.lit(0)).alias(f"base{k}") for k in range(2, MAX_LEVEL + 1)])
+                                   .over(running(by)), F.lit(0)).alias(f"base{k}") for k in range(2, MAX_LEVEL + 1)])
     parts = [F.when(F.col("level") >= 1, (F.col("cum1") + offset).cast("string"))]
     parts += [F.when(F.col("level") >= k, (F.col(f"cum{k}") - F.col(f"base{k}")).cast("string"))
               for k in range(2, MAX_LEVEL + 1)]
-    return h.select("doc_id", "block_no", "level", "text", F.concat_ws(".", *parts).alias("number"))
+    return h.select(*by, "block_no", "level", "text", F.concat_ws(".", *parts).alias("number"))
 
 
 def slug(text: Column) -> Column:
@@ -62,38 +64,38 @@ def slug(text: Column) -> Column:
     return F.when(s == "", F.lit("section")).otherwise(s)
 
 
-def header_ids(blocks: DataFrame, prefix: str = "") -> DataFrame:
-    """O3: one id per heading; repeats within a document get ``-1``, ``-2`` in order; ``prefix`` in front."""
+def header_ids(blocks: DataFrame, prefix: str = "", by: tuple[str, ...] = DOCUMENT) -> DataFrame:
+    """O3: one id per heading; repeats within a document (a part, with ``PARTS``) get ``-1``, ``-2`` in order; ``prefix`` in front."""
     h = blocks.filter(F.col("kind") == "heading").withColumn("slug", slug(F.col("text")))
-    n = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("block_no")) - 1
+    n = F.row_number().over(Window.partitionBy(*by, "slug").orderBy("block_no")) - 1
     ident = F.when(n == 0, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("-"), n.cast("string")))
-    return h.select("doc_id", "block_no", "level", "text", F.concat(F.lit(prefix), ident).alias("id"))
+    return h.select(*by, "block_no", "level", "text", F.concat(F.lit(prefix), ident).alias("id"))
 
 
-def toc(blocks: DataFrame, depth: int = 3) -> DataFrame:
+def toc(blocks: DataFrame, depth: int = 3, by: tuple[str, ...] = DOCUMENT) -> DataFrame:
     """Per document, the headings of level <= depth in order, as a nested dash list (two blanks per level)."""
     h = blocks.filter((F.col("kind") == "heading") & (F.col("level") <= depth))
     entries = F.array_sort(F.collect_list(F.struct("block_no", "level", "text")))
     line = lambda e: F.concat(F.repeat(F.lit("  "), e["level"] - 1), F.lit("- "), e["text"])
-    return h.groupBy("doc_id").agg(entries.alias("e")).select(
-        "doc_id", F.size("e").cast("bigint").alias("n_entries"), F.array_join(F.transform("e", line), "\n").alias("toc")
+    return h.groupBy(*by).agg(entries.alias("e")).select(
+        *by, F.size("e").cast("bigint").alias("n_entries"), F.array_join(F.transform("e", line), "\n").alias("toc")
     )
 
 
-def split_sections(blocks: DataFrame, level: int = 1, unit: str = "section") -> DataFrame:
+def split_sections(blocks: DataFrame, level: int = 1, unit: str = "section", by: tuple[str, ...] = DOCUMENT) -> DataFrame:
     """A section starts at each heading of level <= ``level``; section 0 is the preamble. One row per section:
     title (the opening heading), block count and the plain text of its other blocks. Serves section_divs,
     top_level_division (unit label), epub_chapter_level and slide_level."""
     opens = (F.col("kind") == "heading") & (F.col("level") <= level)
-    b = blocks.withColumn("section_no", F.sum(F.when(opens, 1).otherwise(0)).over(running())).withColumn("opens", opens)
-    g = b.groupBy("doc_id", "section_no").agg(
+    b = blocks.withColumn("section_no", F.sum(F.when(opens, 1).otherwise(0)).over(running(by))).withColumn("opens", opens)
+    g = b.groupBy(*by, "section_no").agg(
         F.max(F.when(F.col("opens"), F.col("text"))).alias("title"),
         F.count(F.lit(1)).alias("n_blocks"),
         F.array_sort(F.collect_list(F.struct("block_no", "kind", "level", "text", "opens"))).alias("bl"),
     )
     body = F.filter("bl", lambda x: ~x["opens"])
     return g.select(
-        "doc_id", F.col("section_no").cast("bigint").alias("section_no"), F.lit(unit).alias("unit"), "title",
+        *by, F.col("section_no").cast("bigint").alias("section_no"), F.lit(unit).alias("unit"), "title",
         "n_blocks", render_plain(body).alias("text"),
     )
 
@@ -120,7 +122,7 @@ def concat_blocks(blocks: DataFrame, groups: DataFrame, by: str, order: str, fil
     file_scope=false: one numbering runs over the combined document (so ids and section numbers run across
     inputs): ``block_no`` becomes the order key ``part * 2^32 + block_no`` (gaps allowed, as after B4), computed in
     the row, so no window has to hold a whole combined document; true: block numbers stay per input and the input's
-    position is kept in ``part``."""
+    position is kept in ``part``; number such blocks with ``by=PARTS``, and order them by ``part``, then ``block_no``."""
     j = blocks.join(groups, "doc_id")
     if file_scope:
         return j.select(F.col(by).alias("doc_id"), F.col(order).alias("part"), "block_no", "kind", "level", "text")

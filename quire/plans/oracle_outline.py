@@ -72,3 +72,12 @@ SQL["concat_header_ids"] = f"""SELECT doc_id, block_no, CASE WHEN n = 0 THEN slu
     FROM (SELECT *, {_SLUG} AS slug FROM (SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(lower(text),
             '[^a-z0-9_ -]', '', 'g')), ' +', '-', 'g'), '^[^a-z]+', '') AS s3
           FROM {COMBINED} WHERE kind = 'heading')))"""
+
+_TURN_HEADS = """(SELECT conv_id, turn, 1 AS block_no, 2 AS level, role AS text FROM conversations
+  UNION ALL SELECT conv_id, turn, 1000001 + i, 3, ls[i] FROM (
+    SELECT conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations)))"""
+_TURN_SLUGS = f"""(SELECT *, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(
+    lower(text), '[^a-z0-9_ -]', '', 'g')), ' +', '-', 'g'), '^[^a-z]+', '') AS s FROM {_TURN_HEADS}))"""
+SQL["concat_file_scope"] = f"""SELECT conv_id AS doc_id, turn AS part, CAST(block_no AS BIGINT) AS block_no,
+  slug || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS id, CASE level WHEN 2 THEN '0.1' ELSE '0.1.' || (block_no - 1000001) END AS number
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, slug ORDER BY block_no) - 1 AS n FROM {_TURN_SLUGS})"""

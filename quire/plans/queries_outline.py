@@ -93,3 +93,16 @@ def concat_blocks(spark, sf_dir):
 @query
 def concat_header_ids(spark, sf_dir):
     return O.header_ids(_combined(spark, sf_dir)).select("doc_id", "block_no", "id")
+
+
+@query
+def concat_file_scope(spark, sf_dir):
+    """O6 with file_scope: conversations put together turn by turn, section numbers and ids of each turn's own."""
+    tb = turn_blocks(spark, sf_dir).drop("doc_id").withColumn("doc_id", F.struct("conv_id", "turn"))
+    second = tb.where("kind = 'para'").withColumns({"block_no": F.col("block_no") + 1_000_000, "kind": F.lit("heading"), "level": F.lit(3)})
+    groups = tb.select("doc_id", "conv_id", "turn").distinct()
+    both = O.concat_blocks(tb.unionByName(second).drop("conv_id", "turn"), groups, "conv_id", "turn", file_scope=True)
+    ids = O.header_ids(both, by=O.PARTS).select("doc_id", "part", "block_no", "id")
+    numbers = O.number_sections(both, by=O.PARTS).select("doc_id", "part", "block_no", "number")
+    return ids.join(numbers, ["doc_id", "part", "block_no"]).select(
+        "doc_id", "part", F.col("block_no").cast("bigint").alias("block_no"), "id", "number")
