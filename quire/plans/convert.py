@@ -23,6 +23,7 @@ from quire.operators import normalize as N
 from quire.operators import render as R
 from quire.plans import registry
 from quire.operators.results import envelope, render_binary, render_default, render_embed
+from quire.operators.options import option_entries
 from quire.operators.metadata import ENTRIES, document_metadata, without_head
 from quire.operators.rowtemplate import render_row
 from quire.operators.templates import compile_template, includes, parse_template
@@ -480,10 +481,14 @@ def convert_job(requests: DataFrame, conf: JobConfig = JobConfig(), fetch_option
     f = finish_output(Chain(F.when(ok, rendered), f, "rendered__"), conv["to"], conv).df
     f = f.drop("file_texts", "blocks__", "links__", "body__", "vars__", "page__", "entries__", "cites", "paths")
     if resources is not None:
-        # self_contained (M2): only requests with the option go through the reference join; the option filter reads
-        # the converter struct only, so it is pushed down next to the parse and the conversion runs once per request
+        # self_contained (M2): only requests with the option go through the reference join. Their conversions are written to
+        # the shared folder, since the join reads them twice (for the references, and to put the payloads in); the option
+        # filter reads the converter struct only, so it is pushed down next to the parse, and every request is converted once
         on = F.coalesce(conv["self_contained"], F.lit(False)) & F.col("error").isNull()
-        embedded = M.self_contained(f.filter(on).withColumnRenamed("request_id", "doc_id"), resources, None,
+        path = scratch_path(f.sparkSession, f"converted-{uuid.uuid4().hex}")
+        f.filter(on).write.parquet(path)
+        done = f.sparkSession.read.schema(f.schema).parquet(path)
+        embedded = M.self_contained(done.withColumnRenamed("request_id", "doc_id"), resources, None,
                                     "rendered__").withColumnRenamed("doc_id", "request_id")
         f = f.filter(~on).unionByName(embedded.select(*f.columns))
     outcome = envelope(F.col("error"), utf8(F.col("rendered__")))
@@ -522,32 +527,49 @@ def outcome_view(out: DataFrame) -> DataFrame:
     )
 
 
-def convert_distinct(docs: DataFrame, frm: str, to: str, options: dict | None = None,
-                     content: str = "content") -> DataFrame:
-    """Convert each distinct (md5, length) of content once and give the result to every document that has it.
+def options_fingerprint(conv: Column) -> Column:
+    """One value for converter structs that ask for the same: unset fields and fields at their neutral value (false, 0, empty) are
+    alike, and the order of map entries does not matter (the option table J1 drops and sorts them)."""
+    return md5_text(F.to_json(option_entries(conv)))
+
+
+def convert_distinct(docs: DataFrame, frm: str | None = None, to: str | None = None, options: dict | None = None,
+                     content: str = "content", converter: str | None = None) -> DataFrame:
+    """Convert each distinct (md5, length) of content once and give the result to every document that has it. With
+    ``converter``, a column of converter structs, each row has options of its own (``from`` and ``to`` included), and only
+    documents with the same content and the same options (``options_fingerprint``) share a conversion.
 
     ``doc_id`` identifies a document. Only fingerprints are read to find the repeats; every first document (smallest
     ``doc_id`` of its text) is converted where it is read, without a shuffle of texts, and the repeats take over the
     result of their first one. The fingerprint count is a hash aggregate with a map-side partial step, so a text copied
     into a third of the corpus is reduced per task. A NULL content is no repeat of another. The ids of the repeats are
-    written to the shared checkpoint folder, so that a lost executor does not send later steps back through the content."""
+    written to the shared checkpoint folder, so that a lost executor does not send later steps back through the content;
+    without any repeat the documents are read just once more."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", md5_text(F.col(content)).alias("h"), F.length(content).alias("n"))
-    several = keyed.where("h is not null").groupBy("h", "n").agg(
+    asked = F.lit("") if converter is None else options_fingerprint(F.col(converter))
+    keyed = docs.select("doc_id", md5_text(F.col(content)).alias("h"), F.length(content).alias("n"), asked.alias("o"))
+    several = keyed.where("h is not null").groupBy("h", "n", "o").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     path = scratch_path(spark, f"repeats-{uuid.uuid4().hex}")
-    keyed.join(several, ["h", "n"]).where("doc_id != first_id").select("doc_id", "first_id").write.parquet(path)
+    keyed.join(several, ["h", "n", "o"]).where("doc_id != first_id").select("doc_id", "first_id").write.parquet(path)
     repeats = spark.read.schema(f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, first_id "
                                 f"{keyed.schema['doc_id'].dataType.simpleString()}").parquet(path)
-    few = repeats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    bounded = F.broadcast if few else (lambda df: df)
+    found = repeats.limit(BROADCAST_ROWS + 1).count()
+    bounded = F.broadcast if found <= BROADCAST_ROWS else (lambda df: df)
     conv = options if options is not None else {"from": frm, "to": to}
 
     def converted(df: DataFrame) -> DataFrame:
+        if converter is not None:
+            own = F.col("conv")
+            src = prepare_input(F.col("c"), own["from"], own)
+            text = render_by_options(parse_blocks(src, own["from"]), own["to"], own)
+            return df.select("doc_id", finish_output(text, own["to"], own).alias("converted"))
         blocks = B.block_array(prepare_input(F.col("c"), frm, conv), frm)
         return df.select("doc_id", finish_output(render_by_options(blocks, to, conv), to, conv).alias("converted"))
 
-    rows = docs.select("doc_id", F.col(content).alias("c"))
+    rows = docs.select("doc_id", F.col(content).alias("c"), *([] if converter is None else [F.col(converter).alias("conv")]))
+    if not found:
+        return converted(rows)
     first = converted(rows.join(bounded(repeats.select("doc_id")), "doc_id", "left_anti"))
     origins = repeats.select(F.col("first_id").alias("doc_id")).distinct()
     again = converted(rows.join(bounded(origins), "doc_id", "left_semi")).withColumnRenamed("doc_id", "first_id")

@@ -82,3 +82,8 @@ SQL["convert_file_schemes"] = view(f"""(SELECT w.doc_id, 11 AS rule,
       WHEN w.doc_id % 3 = 2 AND failed THEN 'include_before_body: [fetcher-http]: fetch url by GET failure <' || url || '>, status code is 404' END AS message,
     {page("''", "''", "concat_ws(chr(10), CASE w.doc_id % 3 WHEN 0 THEN item WHEN 1 THEN '<p>in ' || w.lang || '</p>' ELSE html END, coalesce(h.content, ''))")} AS r
   FROM {_BEFORE} w LEFT JOIN {S.render_html_agg(S.plain_blocks(DOCS))} h ON h.doc_id = w.doc_id)""")
+
+_PB = S.plain_blocks(DOCS)
+SQL["convert_distinct_options"] = f"""SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN {S.eol_crlf('r')} ELSE r END) AS content_md5
+  FROM (SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN coalesce(p.content, '') ELSE coalesce(h.content, '') END AS r FROM documents d
+    LEFT JOIN {S.render_plain_agg(_PB)} p ON p.doc_id = d.doc_id LEFT JOIN {S.render_html_agg(_PB)} h ON h.doc_id = d.doc_id)"""

@@ -174,3 +174,15 @@ def convert_file_schemes(spark, sf_dir):
     return view(C.convert_job(reqs, fetch_options={"http": {"crawl": _crawl(spark, sf_dir), "unique": True}}, files=files))
 
 
+
+
+@query
+def convert_distinct_options(spark, sf_dir):
+    """E2 with options per row: copies of a text share a conversion only where their options agree."""
+    i = F.col("doc_id")
+    conv = C.converter_struct(**{"from": "plain"})
+    for name, value in (("to", F.when(i % 2 == 0, "plain").otherwise("html")), ("eol", F.when(i % 3 == 0, "crlf")), ("ascii", F.when(i % 5 == 0, False))):
+        conv = conv.withField(name, value)
+    docs = X.documents_docs(spark, sf_dir).withColumn("conv", conv)
+    out = C.convert_distinct(docs, converter="conv")
+    return out.select("doc_id", F.md5(utf8(F.col("converted"))).alias("content_md5"))

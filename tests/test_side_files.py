@@ -126,3 +126,20 @@ def test_block_marks_cannot_be_forged(spark):
     r = df.select(B.html_block_array(F.col("h")).alias("h"), B.markdown_block_array(F.col("m")).alias("m")).first()
     assert [(b.kind, b.text) for b in r.h] == [("para", "a �h1�fake � b"), ("para", "c�h1�d")]
     assert [(b.kind, b.text) for b in r.m] == [("para", "x�y"), ("heading", "h�")]
+
+
+def test_distinct_by_content_and_options(spark):
+    from quire.plans.convert import convert_distinct, converter_struct, options_fingerprint
+
+    conv = converter_struct(**{"from": "markdown", "to": "html"})
+    m = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    rows = [conv, conv.withField("ascii", F.lit(False)).withField("toc_depth", F.lit(0)), conv.withField("variable", m("a", "1", "b", "2")),
+            conv.withField("variable", m("b", "2", "a", "1")), conv.withField("variable", m("a", "1")), conv.withField("to", F.lit("plain"))]
+    df = spark.range(1).select(*[options_fingerprint(c).alias(f"f{k}") for k, c in enumerate(rows)]).first()
+    assert df[0] == df[1] and df[2] == df[3] and len(set(df)) == 4
+    docs = spark.range(6).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 5, "# A").alias("content")).withColumn("conv", conv.withField(
+        "to", F.when(F.col("doc_id") % 2 == 0, "html").otherwise("plain")).withField("ascii", F.when(F.col("doc_id") == 2, False)))
+    got = {r.doc_id: r.converted for r in convert_distinct(docs, converter="conv").collect()}
+    assert got == {0: "<h1>A</h1>", 1: "A", 2: "<h1>A</h1>", 3: "A", 4: "<h1>A</h1>", 5: got[5]}
+    one = {r.doc_id: r.converted for r in convert_distinct(docs.where("doc_id < 2"), converter="conv").collect()}
+    assert one == {0: "<h1>A</h1>", 1: "A"}
