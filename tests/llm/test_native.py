@@ -92,11 +92,6 @@ def norm(line):
     return " ".join(regex.findall(r"[\p{L}\p{N}]+", re.sub("[0-9]", "0", line.lower())))
 
 
-def simhash(text):
-    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in text.split(" ")]
-    return sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def distance(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -107,14 +102,20 @@ def distance(a, b):
     return prev[-1]
 
 
+def similar(a, b, similarity=0.9):
+    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    x, y = Counter(a), Counter(b)
+    return max((x - y).total(), (y - x).total()) <= most and distance(a, b) <= most
+
+
 def dedup_brute(docs, similarity=0.9):
-    """Texts by (doc_id, text) after removal."""
+    """Texts by (doc_id, text) after removal, by edit similarity alone: nothing here knows how lines are searched."""
     seen = sorted({(d is not None, d or 0, xxhash.xxh64_intdigest(t.encode(), seed=42) - (1 << 64 if xxhash.xxh64_intdigest(
         t.encode(), seed=42) >= 1 << 63 else 0), t) for d, t in docs if t is not None})
     occ = [(i, no, norm(line)) for i, (_, _, _, t) in enumerate(seen) for no, line in enumerate(t.split("\n"))]
-    occ = [x for x in occ if len(x[2].split()) >= 5]
+    occ = [x for x in occ if x[2]]
     distinct = sorted({x[2] for x in occ})
-    sims, root = [simhash(x) for x in distinct], list(range(len(distinct)))
+    root = list(range(len(distinct)))
 
     def find(x):
         while root[x] != x:
@@ -123,10 +124,8 @@ def dedup_brute(docs, similarity=0.9):
 
     for i in range(len(distinct)):
         for j in range(i):
-            if (sims[i] ^ sims[j]).bit_count() <= 2:
-                most = int(max(len(distinct[i]), len(distinct[j])) * (1 - similarity) + 1e-9)
-                if distance(distinct[i], distinct[j]) <= most:
-                    root[find(i)] = find(j)
+            if similar(distinct[i], distinct[j], similarity):
+                root[find(i)] = find(j)
     index, first, gone = {x: k for k, x in enumerate(distinct)}, set(), defaultdict(set)
     for i, no, x in occ:
         g = find(index[x])
@@ -176,13 +175,13 @@ def test_line_dedup_long_and_empty(spark):
     assert sorted(map(tuple, o5.dedup_lines(nulls).collect())) == [(1, None, 0, 0), (2, "", 0, 0)]
 
 
-def wide_docs():
-    """Near copies at all lengths, by a word and by single characters (scattered to the limit in short lines), and lines without blanks."""
+def near_docs(apart=120):
+    """Near copies of lines of all lengths, by a word and by a character in every ``apart``, and lines without blanks."""
     rng, out = random.Random(7), []
-    for k, each in enumerate((2, 3, 4, 6, 8, 9, 11, 14, 20, 40) * 3):
+    for k, each in enumerate((6, 8, 9, 11, 14, 17, 20, 33, 40, 60) * 3):
         base = lines(700 + k, 1, each=each)
         chars = list(base)
-        for _ in range(len(norm(base)) // (10 if len(norm(base)) < o5.SHORT else 40)):
+        for _ in range(1 + len(base) // apart):
             chars[rng.randrange(1, len(chars) - 1)] = rng.choice("xyz")
         words = base.split(" ")
         words[each // 2] = words[each // 2][::-1]
@@ -191,7 +190,7 @@ def wide_docs():
     return out + [(600, han), (601, han[:50] + "\u3400" + han[51:]), (602, han[:20]), (603, han[:7] + "\u3400" + han[8:20])]
 
 
-def copies_brute(docs, min_words):
+def copies_brute(docs):
     """Documents (one line each) that are no first of their group, by edit similarity alone; how many pairs there are."""
     root, n = {d: d for d, _ in docs}, 0
 
@@ -200,26 +199,37 @@ def copies_brute(docs, min_words):
             x = root[x]
         return x
 
-    norms = [(d, norm(t)) for d, t in docs if len(norm(t).split()) >= min_words]
+    norms = [(d, norm(t)) for d, t in docs if norm(t)]
     for i, (d, a) in enumerate(norms):
         for e, b in norms[:i]:
-            most = int(max(len(a), len(b)) * 0.1 + 1e-9)
-            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+            if similar(a, b):
                 n += 1
                 x, y = find(d), find(e)
                 root[max(x, y)] = min(x, y)
     return {d for d in root if find(d) != d}, n
 
 
-def test_line_dedup_by_edit_similarity_alone(spark):
-    docs = wide_docs()
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    want, pairs = copies_brute(docs, 1)
-    assert pairs > 30 and 601 in want and 603 in want
-    got = {r.doc_id for r in o5.dedup_lines(df, min_words=1, wide=True).collect() if r.n_removed}
-    short = {d for d, t in docs if len(norm(t)) < o5.SHORT}
-    assert got <= want and got & short == want & short  # short lines: none is missed; long ones: MinHashes find almost all
-    assert len(want & short) > 10 and len(got - short) >= 0.95 * len(want - short)
+def test_line_dedup_recall(spark):
+    docs = near_docs()
+    want, pairs = copies_brute(docs)
+    assert pairs > 60 and 601 in want and 603 in want
+    got = {r.doc_id for r in o5.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() if r.n_removed}
+    assert got <= want and len(got) >= 0.9 * len(want), sorted(want - got)
+
+
+def test_line_dedup_by_hot_lines(spark, monkeypatch):
+    df = documents(spark).where("doc_id is null or doc_id not in (8, 9, 10)").select("doc_id", "text")
+    want = sorted(map(str, o5.dedup_lines(df).collect()))
+    monkeypatch.setattr(o5, "HOT_KEYS", 30)
+    assert sorted(map(str, o5.dedup_lines(df).collect())) == want
+
+
+def test_line_dedup_block_of_many_tokens(spark):
+    words = " ".join(f"w{i % 977}q" for i in range(700_000)).translate(str.maketrans("0123456789", "abcdefghij"))
+    df = spark.createDataFrame([(1, words), (2, words + " one"), (3, "one two")], "doc_id bigint, text string")
+    marks = o5._marked(df, "doc_id", "text").orderBy("key").collect()
+    assert [m.tokens for m in marks] == [700_000, 700_001, 2] and all(0 <= m[f"b{i}"] for m in marks[:2] for i in range(o5.GROUPS))
+    assert sum(marks[0][f"b{i}"] == marks[1][f"b{i}"] for i in range(o5.GROUPS)) >= o5.GROUPS - 1
 
 
 def test_line_dedup_query_takes_short_lines(spark, tmp_path):
