@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions.codecs import md5_text
+from quire.functions.codecs import b64_encode, md5_text, utf8
 from quire.operators import templates as T
 from quire.operators.results import outcome_summary as _summary
 from quire.operators.results import render_binary, render_default, render_embed
@@ -170,7 +170,7 @@ def option_request_bodies(spark, sf_dir):
         F.lit('","atx_headers":true,"number_sections":'), flag(i % 3 == 0),
         F.lit(',"number_offset":'), (i % 2).cast("string"), F.lit(',"ascii":'), flag(i % 7 == 0),
         F.lit(',"eol":"'), F.when(i % 5 == 0, F.lit("crlf")).otherwise(F.lit("lf")), F.lit('"}'))
-    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    payload = b64_encode(utf8(F.col("content")))
     body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
                     conv, F.lit("}"))
     return md.select(i.alias("request_id"), body.alias("body"))
@@ -196,7 +196,7 @@ def option_request_bodies_2(spark, sf_dir):
         F.lit('","atx_headers":true,"toc":'), flag(i % 2 == 0), F.lit(',"toc_depth":2,"id_prefix":"'),
         F.when(i % 2 == 0, F.lit("x-")).otherwise(F.lit("")), F.lit('","wrap":"'),
         F.when(i % 4 == 1, F.lit("none")).otherwise(F.lit("preserve")), F.lit('"}'))
-    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    payload = b64_encode(utf8(F.col("content")))
     body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
                     conv, F.lit("}"))
     return md.select(i.alias("request_id"), body.alias("body"))
@@ -220,7 +220,7 @@ def option_request_bodies_3(spark, sf_dir):
     conv = F.concat(
         F.lit('{"from":"markdown","to":"html","section_divs":true,"number_sections":'), flag(i % 2 == 0),
         F.lit(',"base_header_level":'), F.when(i % 5 == 0, F.lit("2")).otherwise(F.lit("0")), F.lit("}"))
-    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    payload = b64_encode(utf8(F.col("content")))
     body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
                     conv, F.lit("}"))
     return md.select(i.alias("request_id"), body.alias("body"))
@@ -255,7 +255,7 @@ def option_request_bodies_4(spark, sf_dir):
         F.lit('","email_obfuscation":"'), F.when(i % 5 == 0, F.lit("references")).otherwise(F.lit("none")),
         F.lit('","wrap":"'), F.when(i % 7 == 0, F.lit("auto")).otherwise(F.lit("preserve")),
         F.lit('","columns":40,"preserve_tabs":'), flag(i % 11 == 0), F.lit("}"))
-    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    payload = b64_encode(utf8(F.col("content")))
     body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
                     conv, F.lit("}"))
     return md.select(i.alias("request_id"), body.alias("body"))
@@ -281,7 +281,7 @@ def option_request_bodies_5(spark, sf_dir):
         F.lit('{"from":"html","to":"'), F.when(i % 2 == 0, F.lit("markdown")).otherwise(F.lit("plain")),
         F.lit('","reference_links":true,"reference_location":"'), loc, F.lit('","fail_if_warnings":'),
         flag(i % 4 == 3), F.lit("}"))
-    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    payload = b64_encode(utf8(F.col("content")))
     body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
                     conv, F.lit("}"))
     return pg.select(i.alias("request_id"), body.alias("body"))
@@ -311,7 +311,7 @@ def option_request_bodies_6(spark, sf_dir):
         F.lit('{"from":"markdown","to":"'), F.when(i % 2 == 0, F.lit("markdown")).otherwise(F.lit("html")),
         F.lit('","standalone":true,"variable":'), var, F.lit(',"metadata":'), meta, F.lit(',"title_prefix":"'),
         F.when(i % 5 == 0, F.lit("P")).otherwise(F.lit("")), F.lit('"}'))
-    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    payload = b64_encode(utf8(F.col("content")))
     body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
                     conv, F.lit("}"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -344,7 +344,7 @@ def option_request_bodies_7(spark, sf_dir):
         .otherwise(F.lit("")), F.lit('","default_image_extension":"'),
         F.when(i % 5 == 0, F.lit("dat")).otherwise(F.lit("")), F.lit('","standalone":'), flag(i % 7 == 0),
         F.lit(',"css":"s.css"}'))
-    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    payload = b64_encode(utf8(F.col("content")))
     body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
                     conv, F.lit("}"))
     return md.select(i.alias("request_id"), body.alias("body"))
@@ -373,7 +373,7 @@ def convert_self_contained(spark, sf_dir):
     flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
     conv = F.concat(F.lit('{"from":"markdown","to":"'), F.when(i % 2 == 0, F.lit("markdown")).otherwise(F.lit("html")),
                     F.lit('","self_contained":'), flag(i % 3 != 0), F.lit("}"))
-    payload = F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", "")
+    payload = b64_encode(utf8(F.col("content")))
     body = F.concat(F.lit('{"fetcher":{"name":"data","params":{"data":"'), payload, F.lit('"}},"converter":'),
                     conv, F.lit("}"))
     reqs = parse_requests(rewritten.select(i.alias("request_id"), body.alias("body")))

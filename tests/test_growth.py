@@ -25,6 +25,30 @@ def requests(spark, **options):
     return queries_side.requests(docs, **{"from": "plain"}, to="html", **options)
 
 
+def test_base64_of_all_forms(spark):
+    long = bytes(range(256)) * 3
+    texts = [base64.b64encode(long).decode(), base64.encodebytes(long).decode(), "QQ==", "QQ=\r\n=", "", "QQ", "Q===", "QQ=Q", "Q$==", "QQE ", "QQ==\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select(
+        "i", b64_valid(F.col("s")).alias("v"), b64_decode(F.col("s")).alias("d"), b64_encode(b64_decode(F.col("s"))).alias("e")).orderBy("i").collect()
+    assert [None if r.d is None else bytes(r.d) for r in rows] == [long, long, b"A", b"A", b"", None, None, None, None, None, b"A"]
+    assert [r.v for r in rows][:9] == [True] * 5 + [False] * 4
+    assert rows[0].e == rows[1].e == texts[0]
+
+
+def test_job_builds_no_string_per_character(spark):
+    assert "translate(" not in optimized(C.convert_job(requests(spark)))
+
+
+def test_job_without_crawl_reads_requests_once(spark):
+    f = dispatch_fetch(validate_requests(requests(spark)), JobConfig())
+    assert "Union" not in optimized(f)
+    bodies = [(1, '{"fetcher":{"name":"http","params":{"url":"http://a.b/"}},"converter":{"from":"html","to":"plain"}}')]
+    from quire.sources.requests import parse_requests
+
+    r = C.convert_job(parse_requests(spark.createDataFrame(bodies, "request_id long, body string"))).first()
+    assert (r.code, r.rule, r.message) == (400, 9, "[fetcher-http]: no crawl snapshot table is configured")
+
+
 def test_file_scheme_of_a_page_crawled_twice(spark, tmp_path):
     for name, rows, schema in (
             ("documents", [(i, f"text {i}", "en", "s", 6) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long"),
