@@ -49,6 +49,15 @@ def test_job_without_crawl_reads_requests_once(spark):
     assert (r.code, r.rule, r.message) == (400, 9, "[fetcher-http]: no crawl snapshot table is configured")
 
 
+def test_side_files_do_not_parse_requests_again(spark):
+    files = spark.createDataFrame([("/app/b.bib", bytearray(b"@article{k1,\n  title = {T}\n}\n")), ("/app/d/img/1.png", bytearray())], FILES)
+    f = dispatch_fetch(validate_requests(requests(spark, bibliography="/app/b.bib", resource_path="/app/d")), JobConfig())
+    side = C.side_table(f, files, JobConfig(), None)
+    assert "from_json(body" not in optimized(side)
+    got = {r.request_id: (r.cites, r.paths) for r in side.collect()}
+    assert got == {1: ({"k1": "T."}, None), 2: (None, {"img/1.png": "/app/d/img/1.png"})}
+
+
 def test_file_scheme_of_a_page_crawled_twice(spark, tmp_path):
     for name, rows, schema in (
             ("documents", [(i, f"text {i}", "en", "s", 6) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long"),
