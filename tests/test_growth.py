@@ -69,3 +69,10 @@ def test_file_scheme_of_a_page_crawled_twice(spark, tmp_path):
     assert {r.request_id: r.code for r in got if r.request_id % 3 == 2} == {2: 0, 5: 0, 8: 0, 11: 0}
 
 
+def test_media_reference_in_nested_folders(spark):
+    h = "0123456789abcdef" * 2
+    texts = [f"a/b.c/{h}.png", f"x{h}.png", f"d/{h}.png/zzz", f"a//{h}.gif", "a/b/c", f"q {h[:31]}.png"]
+    old = r"(?:[A-Za-z0-9_.~-]+/)*([0-9a-f]{32})\.[A-Za-z0-9]+"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(*[
+        F.regexp_extract_all("t", F.lit(p), 0) for p in (M.ANY_MEDIA_REF_RE, old)]).collect()
+    assert all(r[0] == r[1] for r in rows) and sum(len(r[0]) for r in rows) == 4
