@@ -69,6 +69,13 @@ def test_file_scheme_of_a_page_crawled_twice(spark, tmp_path):
     assert {r.request_id: r.code for r in got if r.request_id % 3 == 2} == {2: 0, 5: 0, 8: 0, 11: 0}
 
 
+def test_summary_runs_each_stage_once(spark):
+    docs = spark.createDataFrame([(1, "a", "x\ty a@b.cd"), (2, "a", "plain")], "doc_id long, source string, content string")
+    out = N.normalize_summary(N.normalize_corpus(docs, N.NormalizeOptions(), keep=("source",)))
+    assert not any("regexp" in line for line in optimized(out).splitlines() if "Filter" in line.split("(")[0])
+    assert {(r.stage, r.n_docs) for r in out.collect()} == {("expand_tabs", 1), ("email_obfuscation", 1), ("wrap", 1)}
+
+
 def test_media_reference_in_nested_folders(spark):
     h = "0123456789abcdef" * 2
     texts = [f"a/b.c/{h}.png", f"x{h}.png", f"d/{h}.png/zzz", f"a//{h}.gif", "a/b/c", f"q {h[:31]}.png"]
