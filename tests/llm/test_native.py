@@ -238,6 +238,71 @@ def test_line_dedup_query_takes_short_lines(spark, tmp_path):
     assert out == {0: (5, 0, len(texts[0])), 1: (4, 2, 4), 2: (1, 0, 4), 3: (1, 1, 0), 4: (1, 0, 5)}
 
 
+def counted(monkeypatch, name, rows):
+    """The row counts of the tables that the line dedup stores as ``name``, once it runs."""
+    stored = o5.stored
+
+    def count(df, of):
+        out = stored(df, of)
+        if of == name:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(o5, "stored", count)
+    return rows
+
+
+def test_line_dedup_compares_near_copies_once(spark, monkeypatch):
+    """A large group of near copies: comparisons follow the lines, not the keys that they share."""
+    base = lines(910, 1, each=40).split(" ")
+    docs = [(k, " ".join(w if i != k % 40 else f"{w}q{'abcdefghij'[k // 40]}" for i, w in enumerate(base))) for k in range(400)]
+    compared, similar_pairs = [], o5._similar
+
+    def similar_counted(pairs, *args):
+        compared.append(pairs.count())
+        return similar_pairs(pairs, *args)
+
+    monkeypatch.setattr(o5, "_similar", similar_counted)
+    out = o5.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted(r.n_removed for r in out) == [0] + [1] * 399
+    assert sum(compared) <= 1.5 * len(docs)
+
+
+def test_line_dedup_asks_no_pair_twice(spark, monkeypatch):
+    """Two lines under a key that were compared and are unlike are not asked again."""
+    docs = []
+    for k in range(60):
+        words, other = lines(1000 + k, 1, each=30).split(" "), lines(2000 + k, 1, each=30).split(" ")
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:20] + other[20:]))]
+    met, mixed = counted(monkeypatch, "met", []), []
+    counted(monkeypatch, "mixed", mixed)
+    out = o5.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sum(r.n_removed for r in out) == 0
+    assert met[0] >= 10 and mixed == [0]
+
+
+def test_line_dedup_normalises_texts_once(spark):
+    df = spark.createDataFrame([(1, "A b\nc")], "doc_id bigint, text string")
+    plan = o5._marked(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0") == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_bound_of_moved_words(spark, seed):
+    rng, pairs = random.Random(seed), []
+    for _ in range(300):
+        x = [rng.choice(["a", "bb", "cde", "fghij", "\u00e9t\u00e9"]) for _ in range(rng.randrange(1, 9))]
+        y = list(x)
+        for _ in range(rng.randrange(3)):
+            y.insert(rng.randrange(len(y) + 1), rng.choice(["a", "xyz"]))
+        if rng.random() < 0.5:
+            y[rng.randrange(len(y))] = "bc"
+        pairs.append((x, y))
+    got = spark.createDataFrame(pairs, "x array<string>, y array<string>").select("x", "y", o5._moved(F.col("x"), F.col("y")).alias("d")).collect()
+    exact = [(r.d, distance(" ".join(r.x), " ".join(r.y))) for r in got]
+    assert all(d >= e for d, e in exact) and sum(d == e for d, e in exact) > 150
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 def rules_brute(t):
