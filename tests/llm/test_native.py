@@ -217,6 +217,47 @@ def test_line_dedup_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want), sorted(want - got)
 
 
+def edited(line, edits, rng):
+    """The line with characters replaced, put in or taken out."""
+    for _ in range(edits):
+        at = rng.randrange(len(line))
+        line = line[:at] + rng.choice(["", rng.choice("abcdefghijklmnopqrstuvwxyz"), line[at] + rng.choice("aeiou tsk")]) + line[at + 1 :]
+    return line
+
+
+def test_line_dedup_finds_all_copies_of_few_words(spark):
+    """Lines of one to three words, with as many characters changed as copies may have; one script has no blanks."""
+    rng, docs = random.Random(3), []
+    word = lambda n: "".join(rng.choice("eeetaoinsrhldcumfpgbwvk") for _ in range(n))
+    for k in range(120):
+        line = " ".join(word(rng.randrange(5, 16)) for _ in range(k % 3 + 1))
+        if len(line) < 10:
+            line += word(5)
+        docs += [(3 * k, line), (3 * k + 1, edited(line, len(line) // 10, rng)), (3 * k + 2, edited(line, 1, rng))]
+    docs += [(500, "\u9690\u79c1\u653f\u7b56\u548c\u4f7f\u7528\u6761\u6b3e\u4e00"), (501, "\u9690\u79c1\u653f\u7b56\u4e0e\u4f7f\u7528\u6761\u6b3e\u4e00")]
+    want, pairs = copies_brute(docs)
+    assert pairs > 200 and 501 in want
+    got = {r.doc_id for r in o5.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() if r.n_removed}
+    assert got == want, want - got
+
+
+@pytest.mark.parametrize(("n", "replaced", "least"), [(6, 1, 0.99), (8, 1, 0.99), (10, 2, 0.97), (12, 2, 0.97), (20, 2, 0.97)])
+def test_line_dedup_keys_of_few_tokens(spark, n, replaced, least):
+    """Lines that differ in a word or two meet under a key, also where what they share is in few blocks."""
+    rng, words = random.Random(n), []
+    for _ in range(200):
+        x = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n)]
+        y, at = list(x), rng.sample(range(n), replaced)
+        for i in at:
+            y[i] = "0" + y[i][1:]
+        words.append((" ".join(x), " ".join(y)))
+    docs = [(2 * k + j, t) for k, pair in enumerate(words) for j, t in enumerate(pair)]
+    marks = o5._marked(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text")
+    filed = o5._filed(marks.withColumn("copies", F.lit(1))).join(marks.select("k", "key"), "k").select("bk", "key").distinct()
+    met = filed.groupBy("bk", F.floor(F.col("key") / 2).alias("pair")).count().where("count = 2").select("pair").distinct().count()
+    assert met >= least * len(words)
+
+
 def test_line_dedup_by_hot_lines(spark, monkeypatch):
     df = documents(spark).where("doc_id is null or doc_id not in (8, 9, 10)").select("doc_id", "text")
     want = sorted(map(str, o5.dedup_lines(df).collect()))
