@@ -15,7 +15,7 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Two docum
    Its short lists, cut to the members that can reach the overlap by their sizes, are heap-merged, which counts each
    candidate; one whose count falls short of the pair's overlap by more than the long lists could add is dropped, all
    others are probed in the whole set by binary search. Lists whose members are in one group already can tell nothing new and are
-   left out, as are members of the asker's group. First the best candidate per group is probed, then, groups joined, every
+   left out, as are members of the asker's group. The lists are searched once: first the best candidate per group is probed, then, groups joined, every
    one that is left. So no link between different groups is missed, and group ids are exact.
 
 Hot shingles (in 1/128 of all documents or more: a bounded number, see ``HOT``) are not counted in one bucket but marked
@@ -125,43 +125,60 @@ def _facts(batches):
     yield pa.RecordBatch.from_pylist(frequent(), schema)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers as byte planes: planes of equal bytes vanish when Spark compresses its shuffle files."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def _packs(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The numbers between cuts as byte planes: planes of equal bytes vanish when Spark compresses its shuffle files. A pack costs
+    a copy of its bytes and no more, since there are as many as there are blocks of documents times buckets."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    ends = cuts.tolist()
+    return pa.array([planes[:, a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
 
 
-def _unpack(b: bytes, dtype) -> np.ndarray:
+def _unpacked(packs: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all packs, and how many each has."""
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    planes = [np.frombuffer(b, dtype=np.uint8).reshape(size, -1) for b in packs.to_pylist()]
+    lengths = np.fromiter((p.shape[1] for p in planes), dtype=np.int64, count=len(planes))
+    return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(dtype).ravel(), lengths
+
+
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal numbers begins, and the end."""
+    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
 
 
 _PACKS = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("h", "at", "nodes", "sizes")])
 
 
-def _postings(hot: np.ndarray, buckets: int):
+def _postings(hot: np.ndarray, buckets: int, hot_buckets: int):
     """Packs (hash, node) postings by bucket: hash ranges first, then, for hot shingles, ranges of nodes."""
 
-    def flush(held: dict[int, np.ndarray]):
+    def flush(held: dict[int, np.ndarray]) -> pa.RecordBatch:
         nodes = np.fromiter(held, dtype=np.int64, count=len(held))
         sets = list(held.values())
         sizes = np.array([len(s) for s in sets], dtype=np.uint32)
         at = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
         h = np.concatenate(sets)
-        order = np.argsort(h)
-        h, at = h[order], at[order]
-        bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        kind = np.uint16 if buckets + hot_buckets < 1 << 16 else np.int64
+        bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(kind)
         if len(hot):
             is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-            by_node = ((nodes.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) + buckets
+            by_node = (((nodes.view(np.uint64) >> np.uint64(32)) * np.uint64(hot_buckets) >> np.uint64(32)) + np.uint64(buckets)).astype(kind)
             bucket = np.where(is_hot, by_node[at], bucket)
-            order = np.argsort(bucket, kind="stable")
-            h, at, bucket = h[order], at[order], bucket[order]
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(h))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            used, local = np.unique(at[a:b], return_inverse=True)
-            steps = np.diff(h[a:b], prepend=np.uint64(0))
-            yield {"bucket": int(bucket[a]), "h": _pack(steps), "at": _pack(local.astype(np.uint32)),
-                   "nodes": _pack(nodes[used]), "sizes": _pack(sizes[used])}
+        # postings stand by node: dealt to buckets in this order, those of one node lie side by side in each
+        order = np.argsort(bucket, kind="stable")
+        b, a = bucket[order], at[order]
+        new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]))
+        cuts, used, used_cuts = _cuts(b), a[new], _cuts(b[new])
+        local = np.empty(len(h), dtype=np.uint32)
+        local[order] = np.cumsum(new) - 1 - np.repeat(used_cuts[:-1], np.diff(cuts))
+        order = np.argsort(h)
+        order = order[np.argsort(bucket[order], kind="stable")] if len(hot) else order
+        h = h[order]
+        steps = np.diff(h, prepend=np.uint64(0))
+        steps[cuts[:-1]] = h[cuts[:-1]]
+        return pa.RecordBatch.from_arrays([
+            pa.array(b[cuts[:-1]].astype(np.int32)), _packs(steps, cuts), _packs(local[order], cuts), _packs(nodes[used], used_cuts),
+            _packs(sizes[used], used_cuts)], schema=_PACKS)
 
     def run(batches):
         held, size = {}, 0
@@ -172,10 +189,10 @@ def _postings(hot: np.ndarray, buckets: int):
                     held[node] = s
                     size += len(s)
                 if size > PACKED:
-                    yield pa.RecordBatch.from_pylist(list(flush(held)), _PACKS)
+                    yield flush(held)
                     held, size = {}, 0
         if held:
-            yield pa.RecordBatch.from_pylist(list(flush(held)), _PACKS)
+            yield flush(held)
 
     return run
 
@@ -187,14 +204,17 @@ def _shared(buckets: int):
     """Of one bucket's postings, those of shingles in two or more nodes, packed by range of nodes."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, hs, nodes, sizes = None, [], [], []
-        for r in table.to_pylist():
-            bucket = r["bucket"]
-            at = _unpack(r["at"], np.uint32)
-            hs.append(np.cumsum(_unpack(r["h"], np.uint64), dtype=np.uint64))
-            nodes.append(_unpack(r["nodes"], np.int64)[at])
-            sizes.append(_unpack(r["sizes"], np.uint32)[at])
-        h, node, size = np.concatenate(hs), np.concatenate(nodes), np.concatenate(sizes)
+        bucket = table.column("bucket")[0].as_py()
+        steps, lengths = _unpacked(table.column("h"), np.uint64)
+        at, _ = _unpacked(table.column("at"), np.uint32)
+        nodes, used = _unpacked(table.column("nodes"), np.int64)
+        sizes, _ = _unpacked(table.column("sizes"), np.uint32)
+        # sums of a pack's steps: sums of all, less what came before the pack, modulo 2 ** 64
+        starts = np.cumsum(lengths) - lengths
+        h = np.cumsum(steps, dtype=np.uint64)
+        h -= np.repeat(h[starts] - steps[starts], lengths)
+        at = at + np.repeat(np.cumsum(used) - used, lengths)
+        node, size = nodes[at], sizes[at]
         if bucket < buckets:  # only hashes that come twice are worth the full sort
             order = np.argsort(h)
             s = h[order]
@@ -208,8 +228,7 @@ def _shared(buckets: int):
         new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])) if len(h) else np.empty(0, bool)
         h, node, size = h[new], node[new], size[new]
         if bucket < buckets:
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-            lengths = np.diff(np.append(starts, len(h)))
+            lengths = np.diff(_cuts(h))
             count = np.repeat(lengths, lengths)
             many = count >= 2
             h, node, size, count = h[many], node[many], size[many], count[many]
@@ -218,10 +237,9 @@ def _shared(buckets: int):
         part = ((node.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         h, node, size, count, part = h[order], node[order], size[order], count[order], part[order]
-        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(h)) if len(h) else [0]
-        rows = [{"part": int(part[a]), "h": _pack(h[a:b]), "node": _pack(node[a:b]), "size": _pack(size[a:b]),
-                 "count": _pack(count[a:b].astype(np.int64))} for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.Table.from_pylist(rows, _SHARED)
+        cuts = _cuts(part)
+        return pa.Table.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), *[_packs(x, cuts) for x in (
+            h, node, size, count.astype(np.int64))]], schema=_SHARED)
 
     return run
 
@@ -242,11 +260,8 @@ _CORE_DDL = "node bigint, n bigint, hs array<bigint>, short array<bigint>"
 
 def _core(table: pa.Table) -> pa.Table:
     """The nodes of one range that share enough: their shared shingles, ascending, and those of their short lists."""
-    cols = {c: [] for c in ("h", "node", "size", "count")}
-    for r in table.to_pylist():
-        for c, kind in (("h", np.int64), ("node", np.int64), ("size", np.uint32), ("count", np.int64)):
-            cols[c].append(_unpack(r[c], kind))
-    h, node, size, count = (np.concatenate(v) for v in cols.values())
+    h, node, size, count = (_unpacked(table.column(c), kind)[0] for c, kind in (
+        ("h", np.int64), ("node", np.int64), ("size", np.uint32), ("count", np.int64)))
     order = np.lexsort((h, node))
     h, node, size, count = h[order], node[order], size[order], count[order]
     starts = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
@@ -326,39 +341,41 @@ def _lists(core: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked, stored(members, "members")
 
 
-def _candidates(asked: DataFrame, members: DataFrame, groups: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups that may link; ``best``: only one per asker and other group."""
+def _candidates(asked: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that may link; best: the one of an asker and other group."""
     groups = _bounded(groups)
     members = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     asked = asked.join(groups.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").withColumn("ra", F.coalesce("ra", "a"))
-    # list blocks: no list is gathered whole
-    lengths = members.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    lists = members.join(lengths, "h").groupBy("h", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("node", "root", "n", "m"))).alias("members"))
-    na, ma, a = F.col("na"), F.col("ma"), F.col("a")
-    able = F.filter("members", lambda y: (y["root"] != F.col("ra")) & (
-        (na + y["n"]) * PERCENT <= F.least(ma, y["m"]) * (100 + PERCENT)) & (
-        F.greatest(na, y["n"]) * PERCENT <= F.least(na, y["n"]) * 100) & (
-        (ma * y["n"] < y["m"] * na) | ((ma * y["n"] == y["m"] * na) & (a < y["node"]))))
-    met = asked.join(lists, "h").select("a", "na", able.alias("members")).where(F.size("members") > 0)
+    # Members are tried one by one in the join, whose compiled condition most of them fail; in list blocks, so that no list is
+    # one task's. Fewer lists than members / BLOCK are longer than a block.
+    blocks = F.broadcast(members.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"))
+    last = F.coalesce("blocks", F.lit(1)) - 1
+    x = asked.join(blocks, "h", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("blocks").alias("x")
+    y = members.join(blocks, "h", "left").withColumn("block", F.pmod(F.xxhash64("node"), last + 1)).drop("blocks").alias("y")
+    na, ma, n, m = (F.col(c) for c in ("x.na", "x.ma", "y.n", "y.m"))
+    able = (F.col("y.root") != F.col("x.ra")) & ((na + n) * PERCENT <= F.least(ma, m) * (100 + PERCENT)) & (
+        F.greatest(na, n) * PERCENT <= F.least(na, n) * 100) & (
+        (ma * n < m * na) | ((ma * n == m * na) & (F.col("x.a") < F.col("y.node"))))
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.block") == F.col("y.block")) & able).groupBy(
+        "x.h", "x.block", "x.a", "x.na").agg(F.sort_array(F.collect_list(F.struct("y.node", "y.root", "y.n"))).alias("members"))
     met = met.select("a", "na", F.expr("members.node").alias("nodes"), F.expr("members.root").alias("roots"),
                      F.expr("members.n").alias("sizes")).repartition("a").sortWithinPartitions("a")
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("best", pa.bool_())])
 
     def run(batches):
         def answer(a, na, lists, about):
-            chosen = {}
+            passed, chosen = [], {}
             for b, count in merged(lists):
                 rb, nb = about[b]
                 if count + _long(na) < _overlap(na, nb):
                     continue  # the long lists can't add what is missing
-                if not best:
-                    yield {"a": a, "b": b}
-                elif count > chosen.get(rb, (0, 0))[0]:
+                passed.append(b)
+                if count > chosen.get(rb, (0, 0))[0]:
                     chosen[rb] = (count, b)
-            for _, b in chosen.values():
-                yield {"a": a, "b": b}
+            best = {b for _, b in chosen.values()}
+            for b in passed:
+                yield {"a": a, "b": b, "best": b in best}
 
         now, lists, about = None, [], {}
         for batch in batches:
@@ -374,8 +391,16 @@ def _candidates(asked: DataFrame, members: DataFrame, groups: DataFrame, best: b
         if now is not None:
             yield pa.RecordBatch.from_pylist(list(answer(*now, lists, about)), schema)
 
-    return met.mapInArrow(run, "a bigint, b bigint").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.mapInArrow(run, "a bigint, b bigint, best boolean").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "best")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of different groups."""
+    groups = _bounded(groups)
+    for c in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,19 +414,21 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     facts = stored(docs.mapInArrow(_facts, "key bigint, node bigint, n bigint, hot bigint"), "facts")
     rows = facts.where("hot is null").select("key", "node", "n")
     total, n_docs = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = facts.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("c")).where(F.col("c") * HOT >= n_docs)
-    hot = np.sort(np.array([r[0] for r in hot.select("hot").collect()], dtype=np.int64).view(np.uint64))
+    hot = facts.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("c")).where(F.col("c") * HOT >= n_docs).collect()
+    hot_buckets = max(64, -(-sum(r.c for r in hot) // BUCKET))
+    hot = np.sort(np.array([r.hot for r in hot], dtype=np.int64).view(np.uint64))
     buckets = max(64, -(-total // BUCKET))
 
-    packs = docs.mapInArrow(_postings(hot, buckets), "bucket int, h binary, at binary, nodes binary, sizes binary")
+    packs = docs.mapInArrow(_postings(hot, buckets, hot_buckets), "bucket int, h binary, at binary, nodes binary, sizes binary")
     shared = packs.groupBy("bucket").applyInArrow(_shared(buckets), "part int, h binary, node binary, size binary, count binary")
     core = stored(shared.groupBy("part").applyInArrow(_core, _CORE_DDL), "core")
 
     links = stored(_linked(_central(core), core), "links")
     groups = components(links)
-    asked, members = _lists(core, groups)
-    for best in (True, False):
-        links = stored(links.unionByName(_linked(_candidates(asked, members, groups, best), core)), "links")
+    # what the lists tell of a pair stays as it is when groups are joined, so they are searched once
+    found = stored(_candidates(*_lists(core, groups), groups), "candidates")
+    for pairs in (found.where("best").select("a", "b"), found.where("not best")):
+        links = stored(links.unionByName(_linked(_apart(pairs, groups), core)), "links")
         groups = components(links)
 
     rows = rows.join(groups, "node", "left").select(

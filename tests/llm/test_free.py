@@ -128,6 +128,40 @@ def test_ngram_jaccard_hot_and_small_blocks(spark, monkeypatch):
     check_groups(spark.createDataFrame(families(3), "doc_id bigint, text string").repartition(2))
 
 
+def test_ngram_jaccard_packs(monkeypatch):
+    """A pack is cut out of arrays made for all: there are as many packs as blocks of documents times buckets."""
+    import pyarrow as pa
+
+    texts, calls, unique = [prose(8000 + k, 80) for k in range(30)], [], np.unique
+    sets = list(o1.shingles([t.encode() for t in texts]))
+    hot = np.sort(sets[0][:20])
+    want = sorted((o1._node(s), len(s), int(h)) for s in sets for h in s)
+    monkeypatch.setattr(np, "unique", lambda *a, **b: calls.append(1) or unique(*a, **b))
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(30), pa.int64()), "text": texts})
+    for buckets in (3, 500):
+        out = pa.Table.from_batches(o1._postings(hot, buckets, 2)([batch]))
+        got = []
+        for r in out.to_pylist():
+            one = pa.table({c: pa.chunked_array([pa.array([r[c]])]) for c in r})
+            steps, at, nodes, sizes = (o1._unpacked(one.column(c), kind)[0] for c, kind in (
+                ("h", np.uint64), ("at", np.uint32), ("nodes", np.int64), ("sizes", np.uint32)))
+            h = np.cumsum(steps, dtype=np.uint64)
+            got += zip(nodes[at].tolist(), sizes[at].tolist(), h.tolist())
+            assert {x in set(hot.tolist()) for x in h.tolist()} == {r["bucket"] >= buckets}
+        assert sorted(got) == want and not calls
+
+
+def test_ngram_jaccard_tries_members_in_the_join(spark):
+    """Of an asker's list, members that cannot link are dropped where the list is joined, before lists are gathered."""
+    asked = spark.createDataFrame([(k, 10, 10, h) for k in range(6) for h in (7, 8)], "a bigint, na bigint, ma int, h bigint")
+    members = spark.createDataFrame([(h, k, 10, 10) for k in range(6) for h in (7, 8)], "h bigint, node bigint, n bigint, m int")
+    groups = spark.createDataFrame([(k, 0) for k in range(5)], "node bigint, root bigint")
+    out = o1._candidates(asked, members, groups)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "root" in plan.split("Join Inner", 1)[1].split("\n", 1)[0]
+    assert sorted(map(tuple, out.collect())) == [(k, 5, True) for k in range(5)]
+
+
 def test_merged_and_probed():
     assert o1.merged([[1, 4, 9], [4], [], [1, 4, 10]]) == [(1, 2), (4, 3), (9, 1), (10, 1)] and o1.merged([]) == []
     a, b = np.array([1, 5, 7]), np.array([0, 5, 6, 7, 9])
