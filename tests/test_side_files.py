@@ -145,14 +145,15 @@ def test_distinct_by_content_and_options(spark):
     assert one == {0: "<h1>A</h1>", 1: "A"}
 
 
-def test_resource_paths_are_not_broadcast(spark):
+def test_resource_paths_are_not_broadcast(spark, tmp_path):
     """References times folders grow with the requests: however small they look to Spark, they are no task's and no driver's."""
-    from pyspark.sql import functions as F
-
     from quire.operators.media import resource_paths
 
     refs = spark.createDataFrame([(k, k, f"img/{k}.png", "/app/a:/app/b") for k in range(4)], "request_id bigint, refs_hash bigint, ref string, resource_path string")
     files = spark.createDataFrame([("/app/b/img/1.png",), ("/app/a/img/2.png",), ("/app/b/img/2.png",)], "f_path string")
+    for name, df in (("refs", refs), ("files", files)):  # tables of known size, as the job has them
+        df.write.parquet(str(tmp_path / name))
+    refs, files = (spark.read.parquet(str(tmp_path / name)) for name in ("refs", "files"))
     found = resource_paths(refs, files, "/app")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.select("request_id", F.map_values("paths")).collect())) == [(1, ["/app/b/img/1.png"]), (2, ["/app/a/img/2.png"])]
